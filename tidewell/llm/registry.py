@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewell.llm import quality
+from tidewell.llm import decontaminate, quality
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op7_decontamination": decontaminate.query,
 }
 
 SQL = {
     "op1_quality_rules": quality.SQL,
+    "op7_decontamination": decontaminate.SQL,
 }
