@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, quality
+from tidewell.llm import decontaminate, packing, quality, sharding, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op3_token_counts": tokens.query,
+    "op5_best_fit_packing": packing.query,
     "op7_decontamination": decontaminate.query,
+    "op9_sharding": sharding.query,
 }
 
 SQL = {
