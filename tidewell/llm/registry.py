@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, packing, quality, sharding, tokens
+from tidewell.llm import decontaminate, jaccard, packing, quality, sharding, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_ngram_jaccard": jaccard.query,
     "op3_token_counts": tokens.query,
     "op5_best_fit_packing": packing.query,
     "op7_decontamination": decontaminate.query,
