@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontaminate, jaccard, packing, quality, sharding, tokens
+from tidewell.llm import chat, decontaminate, jaccard, langid, packing, quality, sharding, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_ngram_jaccard": jaccard.query,
     "op3_token_counts": tokens.query,
+    "op4_chat_perspectives": chat.query,
     "op5_best_fit_packing": packing.query,
+    "op6_url_reputation": urls.query,
     "op7_decontamination": decontaminate.query,
     "op9_sharding": sharding.query,
+    "op10_language_id": langid.query,
 }
 
 SQL = {
     "op1_quality_rules": quality.SQL,
+    "op4_chat_perspectives": chat.SQL,
+    "op6_url_reputation": urls.SQL,
     "op7_decontamination": decontaminate.SQL,
 }
