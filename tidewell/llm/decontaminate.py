@@ -135,6 +135,13 @@ def judged(found: DataFrame, share: int = SHARE) -> DataFrame:
     return found.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that aren't contaminated, with all their columns, in one pass over the texts."""
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col(text).alias("t"))
+    got = judged(find(row, items, key="r", text="t")).where(~F.col("contaminated"))
+    return got.select(*[F.col("r")[c].alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = judged(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

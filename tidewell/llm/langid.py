@@ -245,11 +245,9 @@ def predict(net: Network | None, texts: list[str | None], known: dict | None = N
     return names, scores
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 2, net: Network | None = None) -> DataFrame:
-    """Rows (key, held_out, lang_pred, score)."""
-    net = net or train(docs, key, text, lang, held_out)
+def _predicted(docs: DataFrame, net: Network | None, kind: str) -> DataFrame:
+    """(k, lang_pred, score) of rows (k, t)."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    kind = docs.schema[key].dataType.simpleString()
     mark = zlib.crc32(b"".join(net.p[k].tobytes() for k in sorted(net.p))) if net else 0
 
     def run(batches):
@@ -267,10 +265,24 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             got = predict(shared.value, block, _KNOWN[mark])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names + got[0], pa.string()), pa.array(scores + got[1], pa.float64())], names=["k", "lang_pred", "score"])
 
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"k {kind}, lang_pred string, score double")
+
+
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 2, net: Network | None = None) -> DataFrame:
+    """Rows (key, held_out, lang_pred, score)."""
+    net = net or train(docs, key, text, lang, held_out)
+    out = _predicted(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), net, docs.schema[key].dataType.simpleString())
     held = F.coalesce(fold_of(F.col("k")) == held_out, F.lit(False))
     return out.select(F.col("k").alias(key), held.alias("held_out"), "lang_pred", "score")
 
 
+def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 2, net: Network | None = None) -> DataFrame:
+    """The rows with all their columns, and lang_pred and score."""
+    net = net or train(docs, key, text, lang, held_out)
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("k"), F.col(text).alias("t"))
+    got = _predicted(row, net, row.schema["k"].dataType.simpleString())
+    return got.select(*[F.col("k")[c].alias(c) for c in docs.columns], "lang_pred", "score")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

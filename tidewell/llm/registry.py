@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidewell.llm import chat, decontaminate, jaccard, langid, packing, quality, sharding, tokens, urls
+import corpus_pipeline
+from tidewell.llm import chat, decontaminate, htmltext, jaccard, langid, packing, quality, sharding, tokens, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -12,8 +13,10 @@ QUERIES = {
     "op5_best_fit_packing": packing.query,
     "op6_url_reputation": urls.query,
     "op7_decontamination": decontaminate.query,
+    "op8_html_text": htmltext.query,
     "op9_sharding": sharding.query,
     "op10_language_id": langid.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
@@ -22,3 +25,5 @@ SQL = {
     "op6_url_reputation": urls.SQL,
     "op7_decontamination": decontaminate.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
