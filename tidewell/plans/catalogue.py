@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidewell.plans import detection
+
+QUERIES: dict = {**detection.QUERIES}
+SQL: dict = {**detection.SQL}
