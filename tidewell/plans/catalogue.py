@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidewell.plans import detection
+from tidewell.plans import datasets, detection, text_queries
 
-QUERIES: dict = {**detection.QUERIES}
-SQL: dict = {**detection.SQL}
+_PARTS = (detection, datasets, text_queries)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}
