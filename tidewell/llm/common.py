@@ -39,9 +39,8 @@ def unstash(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = f"{work_dir(spark)}/tidewell/"
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidewell/" in name and name.startswith(root.split("://")[-1].join(["", ""]) or root) or "/tidewell/" in name:
+        if "/tidewell/" in name:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
 

@@ -43,11 +43,15 @@ from tidewell.llm.common import stash, table, unstash
 from tidewell.llm.components import components
 
 #: Words of a shingle; a link needs NUM / DEN; classes of a block without a tree, of a tile; groups of the count vectors.
-WORDS, NUM, DEN, SMALL, TILE, GROUPS = 5, 75, 100, 48, 8192, 64
+WORDS, NUM, DEN, SMALL, TILE, GROUPS = 5, 75, 100, 48, 8192, 512
 #: Prefix entries of a bucket; documents of the frequency sample, occurrences there that make a shingle frequent, most such shingles; ids that are broadcast.
 ENTRIES, SAMPLE, FREQUENT, MOST_FREQUENT, BROADCAST_IDS = 1_000_000, 4000, 4, 100_000, 400_000
 #: Words whose hash a Python worker remembers.
 REMEMBERED = 1_000_000
+#: Pairs whose bound is computed at once.
+BLOCK = 8192
+#: Largest count of a vector; it bounds nothing.
+MANY = 65_535
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _seen: dict[bytes, int] = {}
@@ -98,7 +102,8 @@ def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+    """Group counts of a set, as 16-bit numbers; the largest stands for itself and all beyond."""
+    return np.minimum(np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups), MANY).astype(np.uint16)
 
 
 class CountTree:
@@ -107,7 +112,9 @@ class CountTree:
     FAN = 16
 
     def __init__(self, vec: np.ndarray, n: np.ndarray):
-        self.vec, self.n = vec.astype(np.int32), n.astype(np.int64)
+        vec = vec.astype(np.int32)
+        vec[vec == MANY] = 1 << 20
+        self.vec, self.n = vec, n.astype(np.int64)
         order = np.lexsort((vec[:, np.argmax(vec.var(axis=0))], n)) if len(n) else np.empty(0, np.int64)
         # tiles of sizes, in each tile by the coordinate that varies most
         run = max(self.FAN, int(np.ceil(np.sqrt(len(n) / self.FAN))) * self.FAN)
@@ -128,13 +135,13 @@ class CountTree:
     def _kept(self, q: np.ndarray, node: np.ndarray, hi: np.ndarray, lo_n: np.ndarray, hi_n: np.ndarray) -> np.ndarray:
         """Which (query, node) pairs may hold a link: by sizes, and by summed coordinate minima."""
         out = np.zeros(len(q), bool)
-        for at in range(0, len(q), 65_536):
-            a, b = q[at : at + 65_536], node[at : at + 65_536]
+        for at in range(0, len(q), BLOCK):
+            a, b = q[at : at + BLOCK], node[at : at + BLOCK]
             na = self.n[a]
             size = np.maximum(lo_n[b], need(na))
             may = (size <= hi_n[b]) & (DEN * na >= NUM * lo_n[b])
             a, b, na, size = a[may], b[may], na[may], size[may]
-            out[at : at + 65_536][may] = np.minimum(self.vec[a], hi[b]).sum(axis=1) >= need2(na, size)
+            out[at : at + BLOCK][may] = np.minimum(self.vec[a], hi[b]).sum(axis=1) >= need2(na, size)
         return out
 
     def pairs(self, queries: np.ndarray | None = None):
@@ -307,7 +314,7 @@ def _searched(t: pa.Table) -> pa.Table:
     dig, n, label = (t[c].to_numpy() for c in ("dig", "n", "label"))
     _, first = np.unique(dig, return_index=True)
     dig, n, label = dig[first], n[first], label[first]
-    vec = np.frombuffer(b"".join(t["vec"].take(pa.array(first)).to_pylist()), np.int32).reshape(-1, GROUPS)
+    vec = np.frombuffer(b"".join(t["vec"].take(pa.array(first)).to_pylist()), np.uint16).reshape(-1, GROUPS)
     out = [(dig[i][k], dig[j][k]) for i, j in CountTree(vec, n).pairs() for k in [(dig[i] < dig[j]) & (label[i] != label[j])]]
     a, b = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in (0, 1))
     return pa.table([_long(a), _long(b)], names=["a", "b"])
@@ -324,7 +331,7 @@ def _sets(docs: DataFrame, classes: DataFrame, digs: DataFrame, k: int, tag: str
     ids = stash(classes.join(digs.distinct(), "dig").select("k").distinct(), tag + "-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "k", "left_semi").select("t")
-    return stash(texts.mapInArrow(run, "dig long, s binary").dropDuplicates(["dig"]), tag)
+    return stash(texts.mapInArrow(run, "dig long, s binary"), tag)  # a dig twice only if a key repeats
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -340,7 +347,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
@@ -350,10 +357,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     buckets = max(1, -(-chars // (24 * ENTRIES)))
     sketch = stash(_sketch(docs, kind, _frequent(docs, n, k), buckets, k), "sketch")
-    rows = sketch.where("bucket IS NULL").select("k", "n", "dig")
+    rows = stash(sketch.where("bucket IS NULL").select("k", "n", "dig"), "rows")
     classes = rows.where("n > 0 AND k IS NOT NULL").groupBy("dig").agg(F.min("k").alias("k"))
 
     blocks = stash(sketch.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_blocks, VOTES), "blocks")
+    unstash(sketch)
     votes = blocks.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     hub = votes.groupBy("a").agg(F.max(F.struct("c", "b", "na", "nb")).alias("m")).select("a", "m.*")
     hub = stash(hub.where("20 * c >= least(na, nb)").select("a", "b"), "hubs")
@@ -365,6 +373,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     entries = blocks.where("key IS NOT NULL").select("key", "dig", "n").join(labels.toDF("dig", "l"), "dig", "left").select("key", "dig", "n", F.coalesce("l", "dig").alias("label"))
     spread = F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets)).alias("bucket")
     rest = stash(entries.withColumn("bucket", spread).groupBy("bucket").applyInArrow(_rest, PAIRS), "rest")
+    unstash(blocks)
     few = rest.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     bound = f"c + ceil({NUM} * greatest(na, nb) / {DEN}) - 1 >= ceil({NUM} * (na + nb) / {NUM + DEN})"
     few = few.where(bound).select("a", "b")
