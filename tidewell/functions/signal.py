@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tidewell import params as P
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row; inside a lambda a bare expression would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def upto(n: Column) -> Column:
     """0 .. n-1 as an array, empty for n <= 0 (sequence() alone would count down)."""
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -29,11 +34,14 @@ def to_pcm16(x: Column) -> Column:
 def fit_to_clip(x: Column, n: int = P.CLIP_SAMPLES, offset: Column | int = 0) -> Column:
     """Centre crop or zero pad to n samples; offset moves the crop within the slack; an odd pad puts the extra sample right."""
     off = F.lit(offset) if isinstance(offset, int) else offset
-    size = F.size(x)
-    start = F.greatest(F.lit(0), F.least(F.floor((size - n) / 2) + off, size - n)).cast("int")
-    left = F.floor((n - size) / 2).cast("int")
-    padded = F.concat(zeros(left), x, zeros(F.lit(n) - size - left))
-    return F.when(size >= n, F.slice(x, start + 1, F.lit(n))).otherwise(padded)
+
+    def fitted(y: Column) -> Column:
+        size = F.size(y)
+        start = F.greatest(F.lit(0), F.least(F.floor((size - n) / 2) + off, size - n)).cast("int")
+        left = F.floor((n - size) / 2).cast("int")
+        return F.when(size >= n, F.slice(y, start + 1, F.lit(n))).otherwise(F.concat(zeros(left), y, zeros(F.lit(n) - size - left)))
+
+    return let(x, fitted)
 
 
 def time_shift(x: Column, offset: Column, most: int, n: int = P.CLIP_SAMPLES) -> Column:
@@ -51,7 +59,7 @@ def n_windows(size: Column, window: int = P.CLIP_SAMPLES, hop: int = P.HOP_SAMPL
 
 def windows(x: Column, window: int = P.CLIP_SAMPLES, hop: int = P.HOP_SAMPLES) -> Column:
     """Full windows of an array, every `hop` samples."""
-    return F.transform(upto(n_windows(F.size(x), window, hop)), lambda i: F.slice(x, i * hop + 1, F.lit(window)))
+    return let(x, lambda y: F.transform(upto(n_windows(F.size(y), window, hop)), lambda i: F.slice(y, i * hop + 1, F.lit(window))))
 
 
 def frames(x: Column) -> Column:
@@ -102,7 +110,7 @@ def amplitude(db: Column) -> Column:
 
 
 def gain(x: Column, db: Column) -> Column:
-    return F.transform(x, lambda v: v * amplitude(db))
+    return let(amplitude(db), lambda a: F.transform(x, lambda v: v * a))
 
 
 def clip(x: Column, most: float = 1.0) -> Column:
@@ -110,15 +118,21 @@ def clip(x: Column, most: float = 1.0) -> Column:
 
 
 def to_level(x: Column, target_db: Column) -> Column:
-    return F.when(rms(x) == 0, x).otherwise(clip(F.transform(x, lambda v: v * amplitude(target_db) / rms(x))))
+    return let(rms(x), lambda r: F.when(r == 0, x).otherwise(clip(F.transform(x, lambda v: v * amplitude(target_db) / r))))
 
 
 def mix(x: Column, background: Column, snr_db: Column, most: float | None = None) -> Column:
     """x plus the background at a signal-to-noise ratio; most caps the background's peak. A silent background adds nothing."""
-    scale = rms(x) / amplitude(snr_db) / rms(background)
-    if most is not None:
-        scale = F.when(peak(background) > 0, F.least(scale, F.lit(most) / peak(background))).otherwise(scale)
-    return F.when(rms(background) > 0, F.zip_with(x, background, lambda a, b: a + scale * b)).otherwise(x)
+    both = F.struct(x.alias("x"), background.alias("b"))
+
+    def mixed(p: Column) -> Column:
+        a, b = p["x"], p["b"]
+        scale = rms(a) / amplitude(snr_db) / rms(b)
+        if most is not None:
+            scale = F.when(peak(b) > 0, F.least(scale, F.lit(most) / peak(b))).otherwise(scale)
+        return F.when(rms(b) > 0, let(scale, lambda s: F.zip_with(a, b, lambda v, w: v + s * w))).otherwise(a)
+
+    return let(both, mixed)
 
 
 def quantise(x: Column, scale: float, zero: int) -> Column:
@@ -130,8 +144,8 @@ def dequantise(q: Column, scale: float, zero: int) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / total(e))
+    e = let(x, lambda y: let(F.array_max(y), lambda m: F.transform(y, lambda v: F.exp(v - m))))
+    return let(e, lambda y: let(total(y), lambda t: F.transform(y, lambda v: v / t)))
 
 
 def one_hot(label: Column, n: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.signal import let
+
 # Function and query-framing words that carry no entity information.
 STOPWORDS = """
 a an the and or but of to in on at for with from by as into up down out over
@@ -93,13 +95,18 @@ def proper_tokens(text: Column, extra=()) -> Column:
 
 def phrase_in(tokens_: Column, phrase: Column) -> Column:
     """Whether a token array holds a phrase (token array) in sequence."""
-    n = F.size(phrase)
-    last = F.size(tokens_) - n
-    return F.when((n > 0) & (last >= 0), F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda j: F.slice(tokens_, j + 1, n) == phrase)).otherwise(F.lit(False))
+
+    def held(p: Column) -> Column:
+        t, w = p["t"], p["w"]
+        last = F.size(t) - F.size(w)
+        return F.when((F.size(w) > 0) & (last >= 0), F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda j: F.slice(t, j + 1, F.size(w)) == w)).otherwise(F.lit(False))
+
+    return let(F.struct(tokens_.alias("t"), phrase.alias("w")), held)
 
 
 def ngrams(tokens_: Column, n: int) -> Column:
-    return F.when(F.size(tokens_) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens_) - n), lambda j: F.array_join(F.slice(tokens_, j + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(tokens_, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda j: F.array_join(F.slice(t, j + 1, F.lit(n)), " "))).otherwise(none))
 
 
 def strip_unknown(text: Column) -> Column:
