@@ -12,7 +12,7 @@ from tidewell.functions.similarity import metaphone_udf, ratio_udf, token_set_ra
 from tidewell.operators import sessions
 from tidewell.operators.match import Matcher
 from tidewell.plans.detection import table
-from tidewell.sources import wav
+from tidewell.sources import generate, wav
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -304,3 +304,38 @@ def match_ablation(spark, d):
     a = Matcher(kb).match(asks).select("query_id", F.col("id").alias("a"), "layer")
     b = Matcher(kb, use_descriptors=False, generic_guard=False, digit_aware=False).match(asks).select("query_id", F.col("id").alias("b"))
     return a.join(b, "query_id").groupBy("layer").agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_changed"), F.count_if(F.col("b").isNull()).alias("n_missed"))
+
+
+@query("""
+WITH i AS (SELECT unnest(range(0, 16000)) AS i), x AS (
+  SELECT 'silence' AS kind, 0.0 AS v FROM i UNION ALL SELECT 'tone', round_even(8000 * sin(2 * pi() / 16000 * 440 * i), 0) FROM i
+  UNION ALL SELECT 'chirp', round_even(8000 * sin(2 * pi() / 16000 * (100 * i + 3900.0 / 32000 * i * i)), 0) FROM i
+  UNION ALL SELECT 'square', CASE WHEN (i * 500 // 16000) % 2 = 0 THEN 6000.0 ELSE -6000.0 END FROM i UNION ALL SELECT 'impulse', CASE WHEN i = 8000 THEN 30000.0 ELSE 0.0 END FROM i)
+SELECT kind, count(*) AS n, round(sqrt(avg(v * v)), 3) AS rms, max(abs(v)) AS peak FROM x GROUP BY kind""")
+def test_signals(spark, d):
+    s = generate.signals(spark).where(F.col("kind").isin("silence", "tone", "chirp", "square", "impulse"))
+    x = F.col("samples")
+    return s.select("kind", F.size(x).cast("long").alias("n"), F.round(S.rms(x), 3).alias("rms"), S.peak(x).alias("peak"))
+
+
+@query()
+def realism_conditions(spark, d):
+    """Generated signals under gains, shifts, noise levels and set levels, crossed with a small table of conditions."""
+    conditions = spark.createDataFrame([("gain", -12.0), ("gain", 6.0), ("snr", 0.0), ("snr", 10.0), ("snr", 20.0), ("shift", 800.0), ("level", -26.0)], "condition string, value double")
+    clips = generate.signals(spark).select("kind", F.transform("samples", lambda v: v / 32768).alias("x"))
+    pool = clips.where("kind = 'white'").select(F.lit(0).alias("ord"), F.col("x").alias("samples"))
+    rows = generate.background(clips, pool, "kind", 9).crossJoin(F.broadcast(conditions))
+    x, v, c = F.col("x"), F.col("value"), F.col("condition")
+    y = F.when(c == "gain", S.clip(S.gain(x, v))).when(c == "snr", S.clip(S.mix(x, F.col("background"), v))).when(c == "shift", S.time_shift(x, v.cast("int"), 1600)).otherwise(S.to_level(x, v))
+    return rows.select("kind", "condition", "value", y.alias("y")).select("kind", "condition", "value", F.size("y").alias("n"), F.round(S.dbfs(F.col("y")), 3).alias("dbfs"))
+
+
+@query()
+def semantic_match(spark, d):
+    """Nearest entity by cosine above a threshold: labels' first vectors stand for entities, all vectors for queries."""
+    e = table(spark, d, "embeddings")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    kb = e.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.concat(F.lit("label"), F.col("label")).alias("id"), F.concat(F.lit("label"), F.col("label")).alias("name"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("descriptors"), F.lit(None).cast("date").alias("launch_date"), F.col("label").cast("int").alias("ord"), F.col("embedding").alias("vec"))
+    m = Matcher(kb, vectors=e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")))
+    asks = m.prepared(e.select(F.col("vec_id").alias("query_id"), F.lit("some spoken query").alias("text")))
+    return m.by_vector(asks).select("query_id", "id", F.round("confidence", 6).alias("confidence"))
