@@ -12,8 +12,24 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[ \t\n\x0B\f\r]"
 
 
+#: Rows of an Arrow batch: texts are long.
+ARROW_ROWS = 2000
+
+_KEPT: dict = {}
+
+
+def kept(name: str, make):
+    """What this Python worker keeps under a name; one thing at a time, so operators that share workers don't add up."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder, by Spark's own reader (the folder may be in any store)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

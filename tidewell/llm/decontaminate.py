@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table
+from tidewell.llm.common import kept, table
 
 #: Words of a window; windows of one automaton (about 200 bytes each on an executor); a document is contaminated at this share of hit words.
 WINDOW, MAX_WINDOWS, SHARE = 13, 1_000_000, 20
@@ -87,16 +88,9 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": chars(at[a][0]), "end": chars(at[b - 1][1])} for a, b in zip(runs[::2], runs[1::2], strict=True)]
 
 
-_CACHE: dict = {}
-
-
-def _scanner(shared, size: int) -> Scanner:
-    """The automaton of a broadcast list of items, built once in each Python worker."""
-    key = (id(shared), size)
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = (shared, Scanner(shared.value, size))
-    return _CACHE[key][1]
+def _scanner(mark: str, shared, size: int) -> Scanner:
+    """The automaton of a broadcast list of items, built once in each Python worker; mark names the broadcast."""
+    return kept(f"automaton {mark} {size}", lambda: Scanner(shared.value, size))
 
 
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -105,16 +99,16 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     bench = items.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
     most = bench.agg(F.sum(F.length("t"))).first()[0] or 0  # a window starts at a word, so there are fewer windows than half the characters
     parts = max(1, -(-most // (2 * max_windows)))
-    shared = [spark.sparkContext.broadcast([tuple(r) for r in bench.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).toLocalIterator()]) for k in range(parts)]
+    shared = [(uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in bench.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).toLocalIterator()])) for k in range(parts)]
     kind = docs.schema[key].dataType.simpleString()
 
     def scan(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = (b.column(1) if b.num_columns > 1 else b.column(0).field(text)).to_pylist()
             words = [fold(t).split() for t in texts]
             hits, ids = [None] * len(texts), [set() for _ in texts]
-            for s in shared:
-                scanner = _scanner(s, size)
+            for mark, s in shared:
+                scanner = _scanner(mark, s, size)
                 for j, w in enumerate(words):
                     h, i = scanner.scan(w)
                     hits[j] = h if hits[j] is None else hits[j] if h is None else hits[j] | h
@@ -126,7 +120,8 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
                 names=["k", "n_words", "n_hit", "items", "spans"],
             )
 
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(scan, f"k {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    own = [F.col(key).alias("k")] + ([F.col(text).alias("t")] if text in docs.columns else [])  # else a field of the key
+    out = docs.select(*own).mapInArrow(scan, f"k {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
     return out.withColumnRenamed("k", key)
 
 
@@ -137,9 +132,9 @@ def judged(found: DataFrame, share: int = SHARE) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows that aren't contaminated, with all their columns, in one pass over the texts."""
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col(text).alias("t"))
-    got = judged(find(row, items, key="r", text="t")).where(~F.col("contaminated"))
-    return got.select(*[F.col("r")[c].alias(c) for c in docs.columns])
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    got = judged(find(row, items, key="_row", text=text)).where(~F.col("contaminated"))
+    return got.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

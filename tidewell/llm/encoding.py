@@ -16,22 +16,19 @@ import re
 
 import numpy as np
 
+from tidewell.llm.common import kept
+
 #: Parts that one Python worker remembers, and characters of a part that is remembered.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Characters that are encoded at once.
 BLOCK = 2_000_000
 
-_LOADED: dict = {}
-
-
 def tokenizer(path: str):
-    """The tokenizer of a file, loaded once in each process."""
-    if path not in _LOADED:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    """The tokenizer of a file."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
+    return Tokenizer.from_file(path)
 
 
 def default_path() -> str:
@@ -40,9 +37,9 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def specials(path: str) -> list[str]:
-    """Strings of the added tokens of a tokenizer file."""
-    return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
+def specials(tok) -> list[str]:
+    """Strings of a tokenizer's added tokens."""
+    return [t.content for t in tok.get_added_tokens_decoder().values()]
 
 
 _OTHER = re.compile(r"[^\x00-\u024f]")
@@ -74,7 +71,8 @@ class Pieces:
     """
 
     def __init__(self, path: str):
-        self.path, self.tok, self.special, self.seen, self.ranks = path, tokenizer(path), specials(path), {}, None
+        self.tok, self.seen, self.ranks = tokenizer(path), {}, None
+        self.special = specials(self.tok)
         beside = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(beside):
             import public_tokenizers
@@ -134,10 +132,5 @@ class Pieces:
         yield from self.encode_block(block)
 
 
-_PIECES: dict = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return kept(f"pieces {path}", lambda: Pieces(path))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table
+from tidewell.llm.common import kept, table
 
 #: Labelled rows of each language, and bytes of each, that are learned from; most languages.
 ROWS_PER_LANG, BYTES_PER_ROW, MOST_LANGS = 300, 1500, 64
@@ -40,11 +40,10 @@ EMBED, HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 16, 24, 500, 256, 0.01, 7
 EVIDENCE = 20.0
 
 _SPEAKS = re.compile(rb"[A-Za-z\x80-\xff]")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and (bool(_LETTER.search(text)) or any(c.isalpha() for c in text))
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _sigmoid(x):
@@ -213,8 +212,7 @@ def train(docs: DataFrame, key: str, text: str, lang: str, held_out: int, rows:
 
 
 #: Sums of words that a Python worker remembers, and characters of a block of texts.
-REMEMBERED, BLOCK = 400_000, 4_000_000
-_KNOWN: dict[int, dict[bytes, np.ndarray]] = {}
+REMEMBERED, BLOCK = 250_000, 2_000_000
 
 
 def predict(net: Network | None, texts: list[str | None], known: dict | None = None) -> tuple[list[str], list[float]]:
@@ -229,13 +227,12 @@ def predict(net: Network | None, texts: list[str | None], known: dict | None = N
     missing = set().union(*split).difference(known) if split else set()
     if missing:
         fresh = [w for w in missing if _SPEAKS.search(w)]
-        known.update(dict.fromkeys(missing, np.zeros(len(net.langs), np.float32)))
-        for w, v in zip(fresh, net.pooled(fresh), strict=True):
-            known[w] = v
+        known.update(dict.fromkeys(missing, bytes(4 * len(net.langs))))
+        known.update(zip(fresh, map(bytes, net.pooled(fresh)), strict=True))
     for j, ws in enumerate(split):
         if not ws:
             continue
-        total = np.sum(list(map(known.__getitem__, ws)), axis=0, dtype=np.float64)
+        total = np.frombuffer(b"".join(map(known.__getitem__, ws)), np.float32).reshape(len(ws), -1).sum(axis=0, dtype=np.float64)
         n = sum(map(len, ws)) + 2 * len(ws)
         s = total / n * min(EVIDENCE, n)
         q = np.exp(s - s.max())
@@ -245,24 +242,23 @@ def predict(net: Network | None, texts: list[str | None], known: dict | None = N
     return names, scores
 
 
-def _predicted(docs: DataFrame, net: Network | None, kind: str) -> DataFrame:
-    """(k, lang_pred, score) of rows (k, t)."""
+def _predicted(docs: DataFrame, net: Network | None, text: str | None = None) -> DataFrame:
+    """(k, lang_pred, score) of rows (k, t), or of rows (k) that are structs with the field `text`."""
+    kind = docs.schema["k"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(net)
     mark = zlib.crc32(b"".join(net.p[k].tobytes() for k in sorted(net.p))) if net else 0
 
     def run(batches):
-        if mark not in _KNOWN:
-            _KNOWN.clear()
-            _KNOWN[mark] = {}
+        known = kept(f"language sums {mark}", dict)
         for b in batches:
             names, scores, block, size = [], [], [], 0
-            for t in b.column(1).to_pylist():
+            for t in (b.column(1) if text is None else b.column(0).field(text)).to_pylist():
                 block.append(t)
                 size += len(t or "")
                 if size >= BLOCK:
-                    got = predict(shared.value, block, _KNOWN[mark])
+                    got = predict(shared.value, block, known)
                     names, scores, block, size = names + got[0], scores + got[1], [], 0
-            got = predict(shared.value, block, _KNOWN[mark])
+            got = predict(shared.value, block, known)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names + got[0], pa.string()), pa.array(scores + got[1], pa.float64())], names=["k", "lang_pred", "score"])
 
     return docs.mapInArrow(run, f"k {kind}, lang_pred string, score double")
@@ -271,7 +267,7 @@ def _predicted(docs: DataFrame, net: Network | None, kind: str) -> DataFrame:
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 2, net: Network | None = None) -> DataFrame:
     """Rows (key, held_out, lang_pred, score)."""
     net = net or train(docs, key, text, lang, held_out)
-    out = _predicted(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), net, docs.schema[key].dataType.simpleString())
+    out = _predicted(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), net)
     held = F.coalesce(fold_of(F.col("k")) == held_out, F.lit(False))
     return out.select(F.col("k").alias(key), held.alias("held_out"), "lang_pred", "score")
 
@@ -279,8 +275,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 2, net: Network | None = None) -> DataFrame:
     """The rows with all their columns, and lang_pred and score."""
     net = net or train(docs, key, text, lang, held_out)
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("k"), F.col(text).alias("t"))
-    got = _predicted(row, net, row.schema["k"].dataType.simpleString())
+    got = _predicted(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("k")), net, text)
     return got.select(*[F.col("k")[c].alias(c) for c in docs.columns], "lang_pred", "score")
 
 

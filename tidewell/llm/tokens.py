@@ -72,7 +72,8 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     def run(batches):
         file = path or encoding.default_path()
-        pieces, tok = encoding.pieces(file), encoding.tokenizer(file)
+        pieces = encoding.pieces(file)
+        tok = pieces.tok
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             small = iter(pieces.encode([t if len(t) <= HUGE else "" for t in texts]))
