@@ -14,13 +14,13 @@ bounded sample and steers the cost only, never the result.
    member of its blocks, and links are joined into components. Groups of copies
    of any size are done here with one comparison for each member.
 2. Rest: inside a block, only pairs of different components are left. Blocks of
-   up to SMALL classes give their pairs directly; a pair that shares c prefix
-   shingles overlaps in at most c + max(n - p) and is dropped if that is too
-   little. Larger blocks go through an R-tree: shingles are hashed into GROUPS
-   groups, group counts are points, a subtree is searched only if the summed
-   coordinate minima of the query and the subtree's upper corner reach the
-   overlap that a link needs, and so is a pair. Blocks beyond TILE classes are
-   split into pairs of tiles, each a task of bounded size.
+   up to SMALL classes give their pairs directly. The classes of a bucket's
+   larger blocks go through an R-tree: shingles are hashed into GROUPS groups,
+   group counts are points, a subtree is searched only if the summed coordinate
+   minima of the query and the subtree's upper corner reach the overlap that a
+   link needs, and so is a pair. More than TILE classes are split into pairs of
+   tiles, each a task of bounded size. A pair that shares c prefix shingles
+   overlaps in at most c + max(n - p) and is dropped if that is too little.
 3. Surviving pairs are verified on whole sets.
 
 An R-tree over all texts alone can't prune here: in as many dimensions as
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stash, table, unstash
+from tidewell.llm.common import kept, stash, table, unstash
 from tidewell.llm.components import components
 
 #: Words of a shingle; a link needs NUM / DEN; classes of a block without a tree, of a tile; groups of the count vectors.
@@ -47,14 +47,13 @@ WORDS, NUM, DEN, SMALL, TILE, GROUPS = 5, 75, 100, 48, 8192, 512
 #: Prefix entries of a bucket; documents of the frequency sample, occurrences there that make a shingle frequent, most such shingles; ids that are broadcast.
 ENTRIES, SAMPLE, FREQUENT, MOST_FREQUENT, BROADCAST_IDS = 1_000_000, 4000, 4, 100_000, 400_000
 #: Words whose hash a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Pairs whose bound is computed at once.
 BLOCK = 8192
 #: Largest count of a vector; it bounds nothing.
 MANY = 65_535
 
 _R = np.uint64(0x9E3779B97F4A7C15)
-_seen: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,12 +67,13 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not ws:
         return np.empty(0, np.uint64)
-    if missing := set(ws).difference(_seen):
-        if len(_seen) > REMEMBERED:
-            _seen.clear()
+    seen = kept("word hashes", dict)
+    if missing := set(ws).difference(seen):
+        if len(seen) > REMEMBERED:
+            seen.clear()
             missing = set(ws)
-        _seen.update(zip(missing, map(xxhash.xxh3_64_intdigest, missing), strict=True))
-    h = np.fromiter(map(_seen.__getitem__, ws), np.uint64, len(ws))
+        seen.update(zip(missing, map(xxhash.xxh3_64_intdigest, missing), strict=True))
+    h = np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws))
     width = min(k, len(h))
     n = len(h) - width + 1
     s = h[:n] + np.uint64(width)
@@ -185,7 +185,7 @@ def _sketch(docs: DataFrame, kind: str, frequent: np.ndarray, buckets: int, k: i
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        last, known = shared.value, set()
+        last, known = shared.value, set()  # digests of the classes that this task has sent
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for at in range(0, len(texts), 1000):
@@ -269,16 +269,17 @@ def _blocks(t: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.table(votes, names=names), pa.table(rest, names=names)])
 
 
-PAIRS = "a long, b long, na long, nb long, c long, cell string, key long, dig long, n long, label long"
+PAIRS = "a long, b long, na long, nb long, c long, cell string, tile int, dig long, n long, label long, shared binary"
 
 
 def _rest(t: pa.Table) -> pa.Table:
-    """Of a bucket's entries with labels: pairs of different components in small blocks, and the entries of large blocks by cell of tiles."""
+    """Of a bucket's entries with labels: pairs of different components in small blocks, with the number of blocks that
+    they share; and the classes of large blocks, each with the numbers of its large blocks, by cell of two tiles."""
     key, dig, n, label = (t[c].to_numpy() for c in ("key", "dig", "n", "label"))
     order = np.lexsort((dig, n, key))
     key, dig, n, label = key[order], dig[order], n[order], label[order]
     cuts, ends = _groups(key)
-    out, hot, done = [], [], set()
+    out, rows, number = [], [], []
     for a, e in zip(cuts, ends, strict=True):
         if (label[a:e] == label[a]).all():
             continue
@@ -289,35 +290,56 @@ def _rest(t: pa.Table) -> pa.Table:
             i, j = i[keep], j[keep]
             out.append((np.minimum(dig[i], dig[j]), np.maximum(dig[i], dig[j]), np.where(dig[i] < dig[j], n[i], n[j]), np.where(dig[i] < dig[j], n[j], n[i])))
         else:
-            sign = xxhash.xxh3_64_intdigest(dig[a:e].tobytes())
-            if sign in done:  # the same classes share another shingle of this bucket
-                continue
-            done.add(sign)
-            tiles = -(-(e - a) // TILE)
-            for at in range(tiles):
-                rows = slice(a + at * TILE, min(e, a + (at + 1) * TILE))
-                for other in range(tiles):
-                    hot.append((f"{key[a]}:{min(at, other)}:{max(at, other)}", key[rows], dig[rows], n[rows], label[rows]))
+            number.append(np.full(e - a, len(rows), np.int32))
+            rows.append(np.arange(a, e))
     a, b, na, nb = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(4))
     a, b, na, nb, c = _counted(a, b, na, nb)
-    names = ["a", "b", "na", "nb", "c", "cell", "key", "dig", "n", "label"]
-    void = lambda m: pa.nulls(m, pa.int64())
-    parts = [pa.table([*map(_long, (a, b, na, nb, c)), pa.nulls(len(a), pa.string()), *(void(len(a)) for _ in range(4))], names=names)]
-    for cell, *cols in hot:
-        m = len(cols[0])
-        parts.append(pa.table([*(void(m) for _ in range(5)), pa.array([cell] * m, pa.string()), *map(_long, cols)], names=names))
+    names = ["a", "b", "na", "nb", "c", "cell", "tile", "dig", "n", "label", "shared"]
+    none = lambda m, kind=pa.int64(): pa.nulls(m, kind)
+    m = len(a)
+    parts = [pa.table([*map(_long, (a, b, na, nb, c)), none(m, pa.string()), none(m, pa.int32()), *(none(m) for _ in range(3)), none(m, pa.binary())], names=names)]
+    if rows:
+        at, no = np.concatenate(rows), np.concatenate(number)
+        order = np.lexsort((no, dig[at], n[at]))  # classes by size
+        at, no = at[order], no[order]
+        first = np.flatnonzero(np.concatenate([[True], dig[at][1:] != dig[at][:-1]]))
+        shared = [x.tobytes() for x in np.split(no, first[1:])]
+        at, bucket = at[first], t["bucket"][0].as_py()
+        tiles = -(-len(at) // TILE)
+        for i in range(tiles):
+            x = slice(i * TILE, (i + 1) * TILE)
+            m = len(at[x])
+            for j in range(tiles):
+                cols = [*(none(m) for _ in range(5)), pa.array([f"{bucket}:{min(i, j)}:{max(i, j)}"] * m), pa.array([i] * m, pa.int32()), *map(_long, (dig[at[x]], n[at[x]], label[at[x]])), pa.array(shared[x], pa.binary())]
+                parts.append(pa.table(cols, names=names))
     return pa.concat_tables(parts)
 
 
+FOUND = "a long, b long, na long, nb long, c long"
+
+
 def _searched(t: pa.Table) -> pa.Table:
-    """Of a cell of a large block: pairs of different components that the R-tree leaves."""
-    dig, n, label = (t[c].to_numpy() for c in ("dig", "n", "label"))
+    """Of a cell: pairs of different components that the R-tree leaves, with the number of large blocks that they share."""
+    tile, dig, n, label = (t[c].to_numpy() for c in ("tile", "dig", "n", "label"))
     _, first = np.unique(dig, return_index=True)
-    dig, n, label = dig[first], n[first], label[first]
-    vec = np.frombuffer(b"".join(t["vec"].take(pa.array(first)).to_pylist()), np.uint16).reshape(-1, GROUPS)
-    out = [(dig[i][k], dig[j][k]) for i, j in CountTree(vec, n).pairs() for k in [(dig[i] < dig[j]) & (label[i] != label[j])]]
-    a, b = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in (0, 1))
-    return pa.table([_long(a), _long(b)], names=["a", "b"])
+    tile, dig, n, label = tile[first], dig[first], n[first], label[first]
+    take = pa.array(first)
+    vec = np.frombuffer(b"".join(t["vec"].take(take).to_pylist()), np.uint16).reshape(-1, GROUPS)
+    own = [np.frombuffer(x, np.int32) for x in t["shared"].take(take).to_pylist()]
+    member = np.zeros((len(own), int(max(x.max() for x in own)) + 1), bool)
+    for row, x in zip(member, own, strict=True):
+        row[x] = True
+    member = np.packbits(member, axis=1)
+    across = tile.min() != tile.max()
+    out = []
+    for i, j in CountTree(vec, n).pairs():
+        keep = (dig[i] < dig[j]) & (label[i] != label[j]) & ((tile[i] != tile[j]) | (not across))
+        i, j = i[keep], j[keep]
+        c = np.bitwise_count(member[i] & member[j]).sum(axis=1, dtype=np.int64)
+        i, j, c = i[c > 0], j[c > 0], c[c > 0]
+        out.append((dig[i], dig[j], n[i], n[j], c))
+    cols = [np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(5)]
+    return pa.table([*map(_long, cols)], names=["a", "b", "na", "nb", "c"])
 
 
 def _sets(docs: DataFrame, classes: DataFrame, digs: DataFrame, k: int, tag: str, vectors: bool = False) -> DataFrame:
@@ -374,14 +396,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     spread = F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets)).alias("bucket")
     rest = stash(entries.withColumn("bucket", spread).groupBy("bucket").applyInArrow(_rest, PAIRS), "rest")
     unstash(blocks)
-    few = rest.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    bound = f"c + ceil({NUM} * greatest(na, nb) / {DEN}) - 1 >= ceil({NUM} * (na + nb) / {NUM + DEN})"
-    few = few.where(bound).select("a", "b")
-    large = rest.where("cell IS NOT NULL").select("cell", "dig", "n", "label")
+    few = rest.where("a IS NOT NULL").select("a", "b", "na", "nb", "c")
+    large = rest.where("cell IS NOT NULL").select("cell", "tile", "dig", "n", "label", "shared")
     if not large.isEmpty():
         vec = _sets(docs, classes, large.select("dig"), k, "vectors", vectors=True)
-        searched = large.join(vec.toDF("dig", "vec"), "dig").groupBy("cell").applyInArrow(_searched, "a long, b long")
-        few = few.union(searched).distinct()
+        few = few.union(large.join(vec.toDF("dig", "vec"), "dig").groupBy("cell").applyInArrow(_searched, FOUND))
+    few = few.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    bound = f"c + ceil({NUM} * greatest(na, nb) / {DEN}) - 1 >= ceil({NUM} * (na + nb) / {NUM + DEN})"
+    few = few.where(bound).select("a", "b")
     few = stash(few, "pairs")
     if not few.isEmpty():
         sets = _sets(docs, classes, few.select(F.col("a").alias("dig")).union(few.select("b")), k, "sets2")
