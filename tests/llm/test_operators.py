@@ -343,6 +343,25 @@ def test_templates_are_deleted(spark):
     assert got[(None, 100)].text == "" and got[("http://c.org/", 101)].n_chars == 27
 
 
+def html_texts(spark, rows):
+    return {r.page_id: r.text for r in htmltext.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_are_no_template(spark):
+    page = "<body><div><p>First of the text.</p><p>Second of it.</p></div></body>"
+    rows = [(i, f"http://a.org/{i}", f"<nav>n{i}</nav>{page}") for i in range(8)] + [(8, "http://a.org/8", page)] * 3
+    rows += [(20 + i, None, f"<p>No site at all</p><p>own {i}</p>") for i in range(8)]
+    got = html_texts(spark, rows)
+    assert {got[i] for i in range(9)} == {"First of the text.\n\nSecond of it."}
+    assert all(got[20 + i] == f"No site at all\n\nown {i}" for i in range(8))
+
+
+def test_templates_of_a_small_section(spark):
+    rows = [(i, f"{'' if i % 2 else 'http://'}a.org/{i}", ("<div>Of the section</div><div>Of the section</div>" if i < 6 else "") + f"<p>Own {i}</p>") for i in range(60)]
+    got = html_texts(spark, rows)
+    assert all(got[i] == f"Own {i}" for i in range(60))
+
+
 def test_articles_of_the_driver_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     for r in htmltext.query(spark, SMALL).collect():

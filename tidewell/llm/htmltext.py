@@ -1,9 +1,10 @@
 """Operator 8: main text of web pages, with removal of site templates.
 
-Pages are parsed leniently into trees. Subtrees of block elements outside the
-article are hashed; Spark counts, for each host, on how many pages a hash
-occurs; subtrees that recur on many pages of the host are its template and are
-deleted. The structural rules then take the article (or, without one, the body)
+Pages are parsed leniently into trees. Subtrees of block elements are hashed;
+Spark counts, for each host, on how many pages of distinct main text a hash
+occurs: copies of a page, and repeated rows, count once. Subtrees that recur on
+LEAST_PAGES of them are the host's template and are deleted, however many other
+pages the host has. The structural rules then take the article (or, without one, the body)
 without menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments.
 
@@ -13,9 +14,10 @@ pages carry copies of the article.
 Host templates are broadcast to the second pass only up to BROADCAST_ROWS rows
 of (host, hash); beyond that pages are joined to them by host.
 
-Nulls: null html gives empty text; a null url has the empty host. Empty and
+Nulls: null html gives empty text. A url without a scheme has the host that it
+begins with; pages without a host are of no site and have no template. Empty and
 broken html gives what text there is. Very long pages are taken whole. Repeated
-rows are extracted row by row and count once each. Empty tables give no rows.
+rows are extracted row by row. Empty tables give no rows.
 Extra columns are ignored.
 """
 
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import stash, table
 
-#: A subtree is template if it is on at least this many pages of a host and on this share of them; rows of templates that are broadcast.
-LEAST_PAGES, SHARE, BROADCAST_ROWS = 5, 0.3, 100_000
+#: A subtree is template if it is on pages of at least this many distinct main texts of a host; rows of templates that are broadcast.
+LEAST_PAGES, BROADCAST_ROWS = 5, 100_000
 
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -188,9 +190,13 @@ def walk(root: Node):
     return blocks
 
 
-def hashes(root: Node) -> dict[int, Node]:
-    """Hashes of the block subtrees outside articles, by tag, marks and flat text."""
-    out: dict[int, Node] = {}
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def hashes(root: Node) -> list[tuple[int, Node]]:
+    """Hashes of the block subtrees outside articles, by tag, marks and flat text; a subtree that repeats is there each time."""
+    out: list[tuple[int, Node]] = []
 
     def text_of(node: Node) -> str:
         acc, stack = [], [node]
@@ -212,15 +218,21 @@ def hashes(root: Node) -> dict[int, Node]:
             if part.tag not in ("", "html", "body"):
                 t = text_of(part)
                 if t:
-                    out.setdefault(xxhash.xxh3_64_intdigest(f"{part.tag}\0{part.marks}\0{t}".encode("utf-8", "surrogatepass")) - (1 << 63), part)
+                    out.append((_hash(f"{part.tag}\0{part.marks}\0{t}"), part))
             stack.append(part)
     return out
 
 
+def main_blocks(root: Node) -> list[tuple[str, bool, tuple]]:
+    """Blocks of the article, or of the page if no article has any."""
+    blocks = walk(root)
+    return [b for b in blocks if b[1]] or blocks
+
+
 def extract(page: str | None, template=frozenset()) -> str:
     """Main text of a page: its blocks, joined by two line feeds. template: hashes of subtrees to delete."""
     root = parse(page or "")
-    own = {id(n) for h, n in hashes(root).items() if h in template} if template else ()
+    own = {id(n) for h, n in hashes(root) if h in template} if template else ()
     blocks = walk(root)
     if any(inside for _, inside, _ in blocks):
         return "\n\n".join(t for t, inside, _ in blocks if inside)
@@ -228,24 +240,27 @@ def extract(page: str | None, template=frozenset()) -> str:
 
 
 def _host(url):
-    return F.coalesce(F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1)), F.lit(""))
+    found = F.regexp_extract(url, r"://([^/?#]*)", 1)
+    bare = F.regexp_extract(url, r"^(?://)?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::\d+)?)(?:[/?#]|$)", 1)
+    return F.coalesce(F.lower(F.when(found != "", found).otherwise(bare)), F.lit(""))
 
 
-def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """Rows (host, h): subtrees on many pages of a host. pages: (host, html)."""
+def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """Rows (host, h): subtrees on pages of many distinct main texts of a host. pages: (host, html)."""
 
     def run(batches):
         for b in batches:
-            hosts, hs = [], []
+            hosts, hs, mains = [], [], []
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = hashes(parse(page or ""))
+                root = parse(page or "")
+                own = {h for h, _ in hashes(root)}
                 hosts += [host] * len(own)
                 hs += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hs, pa.int64())], names=["host", "h"])
+                mains += [_hash("\n\n".join(t for t, _, _ in main_blocks(root)))] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hs, pa.int64()), pa.array(mains, pa.int64())], names=["host", "h", "main"])
 
-    n = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = pages.select("host", "html").mapInArrow(run, "host string, h long").groupBy("host", "h").agg(F.count("*").alias("m"))
-    return seen.where(F.col("m") >= least).join(n, "host").where(F.col("m") >= share * F.col("pages")).select("host", "h")
+    seen = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, h long, main long").distinct()
+    return seen.groupBy("host", "h").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("host", "h")
 
 
 def texts(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
