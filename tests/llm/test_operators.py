@@ -362,6 +362,25 @@ def test_templates_of_a_small_section(spark):
     assert all(got[i] == f"Own {i}" for i in range(60))
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_templates_inside_articles(spark, tag):
+    rows = [(i, f"http://a.org/{i}", f"<{tag}><div><p>Same on every page of a.org</p></div><p>Own text of page {i}</p><p>Read more of us</p></{tag}>") for i in range(8)]
+    assert html_texts(spark, rows) == {i: f"Own text of page {i}" for i in range(8)}
+
+
+@pytest.mark.parametrize("edits", [0, 1, 6])
+def test_near_copies_of_an_article_stay(spark, edits):
+    r = np.random.default_rng(edits)
+    rows, want = [], {}
+    for i in range(30):
+        paras = [[f"w{p}x{j}" for j in range(25)] for p in range(8)]
+        for p, j in zip(r.integers(0, 8, edits), r.integers(0, 25, edits), strict=True):
+            paras[p][j] = f"e{i}x{j}"
+        want[i] = "\n\n".join(map(" ".join, paras))
+        rows.append((i, f"http://a.org/{i}", f"<nav>n{i}</nav><article>" + "".join(f"<p>{' '.join(x)}</p>" for x in paras) + "</article>"))
+    assert html_texts(spark, rows) == want
+
+
 def test_articles_of_the_driver_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     for r in htmltext.query(spark, SMALL).collect():

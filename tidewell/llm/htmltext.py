@@ -8,8 +8,13 @@ pages the host has. The structural rules then take the article (or, without one,
 without menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments.
 
-Prose inside an article element is never deleted as template, however many
-pages carry copies of the article.
+Inside article and main, copies of one article with small changes must not make
+its prose a template. So a page speaks for a template there only if at least OWN
+of its main text is its own: in no recurring subtree, and no variant of a block
+that recurs (of each block KEYS minima of its shingles' hashes are counted like
+subtrees; a variant has two recurring ones). At least LEAST_PAGES such pages,
+and half of all that carry the subtree, are needed. Where hardly a page has that
+much text of its own, the subtree stays.
 
 Host templates are broadcast to the second pass only up to BROADCAST_ROWS rows
 of (host, hash); beyond that pages are joined to them by host.
@@ -26,15 +31,19 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import stash, table
+from tidewell.llm.jaccard import shingles
 
 #: A subtree is template if it is on pages of at least this many distinct main texts of a host; rows of templates that are broadcast.
 LEAST_PAGES, BROADCAST_ROWS = 5, 100_000
+#: Share of its own text with which a page speaks for a template inside articles; minima of a block's shingles, how many recur in a variant, words of those shingles, words from which a block has several.
+OWN, KEYS, VARIANT, SHORT, WHOLE = 0.2, 8, 2, 3, 8
 
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -194,9 +203,9 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def hashes(root: Node) -> list[tuple[int, Node]]:
-    """Hashes of the block subtrees outside articles, by tag, marks and flat text; a subtree that repeats is there each time."""
-    out: list[tuple[int, Node]] = []
+def hashes(root: Node) -> list[tuple[int, Node, bool]]:
+    """(hash, subtree, whether inside an article) of block subtrees, by place, tag, marks and flat text; one that repeats is there each time."""
+    out: list[tuple[int, Node, bool]] = []
 
     def text_of(node: Node) -> str:
         acc, stack = [], [node]
@@ -209,20 +218,34 @@ def hashes(root: Node) -> list[tuple[int, Node]]:
                 stack.extend(reversed(x.parts))
         return flat("".join(acc))
 
-    stack = [root]
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
+        node, inside = stack.pop()
         for part in node.parts:
-            if isinstance(part, str) or part.tag in ("article", "main", "script", "style", "head"):
+            if isinstance(part, str) or part.tag in ("script", "style", "head") or inside and dropped(part, True):
                 continue
-            if part.tag not in ("", "html", "body"):
+            article = part.tag in ("article", "main")
+            if not article and part.tag not in ("", "html", "body"):
                 t = text_of(part)
                 if t:
-                    out.append((_hash(f"{part.tag}\0{part.marks}\0{t}"), part))
-            stack.append(part)
+                    out.append((_hash(f"{part.tag}\0{part.marks}\0{t}" + "\0inside" * inside), part, inside))
+            stack.append((part, inside or article))
     return out
 
 
+_SALTS = np.array([_hash(f"key {i}") for i in range(KEYS)], np.int64).view(np.uint64)
+
+
+def keys(text: str) -> list[int]:
+    """KEYS minima of the differently hashed shingles of a block inside an article."""
+    s = shingles(text, SHORT if len(text.split()) >= WHOLE else WHOLE)  # of fewer words: the whole block
+    if len(s) < 2:
+        return [_hash(text)] * len(s)
+    x = (s[None] ^ _SALTS[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return ((x ^ (x >> np.uint64(29))).min(axis=1) ^ _SALTS).view(np.int64).tolist()
+
+
 def main_blocks(root: Node) -> list[tuple[str, bool, tuple]]:
     """Blocks of the article, or of the page if no article has any."""
     blocks = walk(root)
@@ -232,11 +255,8 @@ def main_blocks(root: Node) -> list[tuple[str, bool, tuple]]:
 def extract(page: str | None, template=frozenset()) -> str:
     """Main text of a page: its blocks, joined by two line feeds. template: hashes of subtrees to delete."""
     root = parse(page or "")
-    own = {id(n) for h, n in hashes(root) if h in template} if template else ()
-    blocks = walk(root)
-    if any(inside for _, inside, _ in blocks):
-        return "\n\n".join(t for t, inside, _ in blocks if inside)
-    return "\n\n".join(t for t, _, around in blocks if not (own and any(id(n) in own for n in around)))
+    own = {id(n) for h, n, _ in hashes(root) if h in template} if template else ()
+    return "\n\n".join(t for t, _, around in main_blocks(root) if not (own and any(id(n) in own for n in around)))
 
 
 def _host(url):
@@ -245,36 +265,85 @@ def _host(url):
     return F.coalesce(F.lower(F.when(found != "", found).otherwise(bare)), F.lit(""))
 
 
-def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """Rows (host, h): subtrees on pages of many distinct main texts of a host. pages: (host, html)."""
+def _recurring(pages: DataFrame, least: int) -> DataFrame:
+    """Rows (host, h): subtrees, and keys of blocks inside articles, on pages of many distinct main texts of a host."""
 
     def run(batches):
         for b in batches:
             hosts, hs, mains = [], [], []
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
-                own = {h for h, _ in hashes(root)}
+                blocks = main_blocks(root)
+                own = {h for h, _, _ in hashes(root)}.union(*(keys(t) for t, inside, _ in blocks if inside))
                 hosts += [host] * len(own)
                 hs += own
-                mains += [_hash("\n\n".join(t for t, _, _ in main_blocks(root)))] * len(own)
+                mains += [_hash("\n\n".join(t for t, _, _ in blocks))] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hs, pa.int64()), pa.array(mains, pa.int64())], names=["host", "h", "main"])
 
-    seen = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, h long, main long").distinct()
+    seen = pages.mapInArrow(run, "host string, h long, main long").distinct()
     return seen.groupBy("host", "h").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("host", "h")
 
 
+def spoken(page: str | None, recurring: frozenset) -> tuple[int, list[tuple[int, bool, bool]]]:
+    """Hash of the main text, and (hash, whether inside, whether the page speaks for it) of the recurring subtrees."""
+    root = parse(page or "")
+    found = [(h, n, inside) for h, n, inside in hashes(root) if h in recurring]
+    blocks = main_blocks(root)
+    nodes = {id(n) for _, n, _ in found}
+    own = sum(len(t) for t, inside, around in blocks if not any(id(n) in nodes for n in around) and not (inside and sum(x in recurring for x in keys(t)) >= VARIANT))
+    speaks = own >= OWN * sum(len(t) for t, _, _ in blocks) and own > 0
+    return _hash("\n\n".join(t for t, _, _ in blocks)), sorted({(h, inside, speaks) for h, _, inside in found})
+
+
+def _sets(hosts: list, col: pa.Array) -> list[frozenset]:
+    """The set of each row; rows of one host in a batch share one."""
+    made: dict = {}
+    for i, host in enumerate(hosts):
+        if host not in made:
+            made[host] = frozenset(col[i].as_py() or ())
+    return [made[host] for host in hosts]
+
+
+def _with(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pages with the set hs of their host's hashes."""
+    by_host = rows.groupBy("host").agg(F.collect_set("h").alias("hs"))
+    few = rows.count() <= BROADCAST_ROWS
+    return pages.join(F.broadcast(by_host) if few else by_host, "host", "left")
+
+
+def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """Rows (host, h): subtrees to delete. pages: (host, html)."""
+
+    def run(batches):
+        for b in batches:
+            hosts, hs, insides, speaks, mains = [], [], [], [], []
+            rows = b.column(0).to_pylist()
+            for host, page, known in zip(rows, b.column(1).to_pylist(), _sets(rows, b.column(2)), strict=True):
+                main, found = spoken(page, known)
+                for h, inside, says in found:
+                    hosts.append(host)
+                    hs.append(h)
+                    insides.append(inside)
+                    speaks.append(says)
+                    mains.append(main)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hs, pa.int64()), pa.array(insides, pa.bool_()), pa.array(speaks, pa.bool_()), pa.array(mains, pa.int64())], names=["host", "h", "inside", "speaks", "main"])
+
+    pages = pages.where("host <> ''").select("host", "html")
+    some = _with(pages, stash(_recurring(pages, least), "recurring")).where("hs IS NOT NULL").select("host", "html", "hs")
+    seen = some.mapInArrow(run, "host string, h long, inside boolean, speaks boolean, main long").distinct()
+    n = seen.groupBy("host", "h", "inside").agg(F.count("*").alias("m"), F.count_if("speaks").alias("n"))
+    return n.where(~F.col("inside") | (F.col("n") >= least) & (2 * F.col("n") >= F.col("m"))).select("host", "h")
+
+
 def texts(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """Rows (key, url, text, n_chars)."""
     kind = pages.schema[key].dataType.simpleString()
     p = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.col(page).alias("html"), _host(F.col(url)).alias("host"))
-    found = stash(templates(p), "templates")
-    by_host = found.groupBy("host").agg(F.collect_set("h").alias("hs"))
-    few = found.count() <= BROADCAST_ROWS
-    p = p.join(F.broadcast(by_host) if few else by_host, "host", "left").select("k", "url", "html", "hs")
+    p = _with(p, stash(templates(p), "templates")).select("k", "url", "html", "hs", "host")
 
     def run(batches):
         for b in batches:
-            out = [extract(x, frozenset(hs or ())) for x, hs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            out = [extract(x, hs) for x, hs in zip(b.column(2).to_pylist(), _sets(b.column(4).to_pylist(), b.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["k", "url", "text", "n_chars"])
 
     out = p.mapInArrow(run, f"k {kind}, url string, text string, n_chars long")
