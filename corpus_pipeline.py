@@ -15,7 +15,7 @@ and reads it back as the next one's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, jaccard, langid, packing, quality
@@ -35,14 +35,23 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Unlike for any two rows, and in the order of ids; null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.monotonically_increasing_id().alias("no"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group. Only ids are joined: of rows that repeat an id, one stays."""
-    kept = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One row of each group. Where ids are null or repeat, rows are told apart by a number of their own."""
+    cols = docs.columns
+    one = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("different")).first()
+    own = one.n == one.different
+    if not own:  # the number orders rows by id, null ids last; written down, so that it stays the same
+        docs = stash(docs.withColumn("row_key", _row_key(docs)), "numbered")
+    key = "doc_id" if own else "row_key"
+    kept = jaccard.join(docs, key).where(F.col(key) == F.col("component_id")).select(key)
     kept = stash(kept, "kept")
     few = kept.count() <= jaccard.BROADCAST_IDS
-    out = docs.join(F.broadcast(kept) if few else kept, "doc_id", "left_semi").select(*docs.columns)
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return docs.join(F.broadcast(kept) if few else kept, key, "left_semi").select(*cols)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

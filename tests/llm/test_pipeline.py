@@ -35,3 +35,11 @@ def test_repeated_ids_leave_one_row(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "other words stand here now then")], "doc_id long, text string")
     df = df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()) == [1, 3]
+
+
+def test_rows_with_null_or_repeated_ids(spark):
+    copy, unique = "a b c d e f", "other words stand here now then"
+    rows = [(0, copy), (1, copy), (1, unique), (None, "this text has no id at all"), (None, "nor has this one which differs"), (None, copy), (2, ""), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()), key=str)
+    assert got == sorted([(0, copy), (1, unique), (None, rows[3][1]), (None, rows[4][1]), (2, ""), (2, "")], key=str)
