@@ -308,6 +308,15 @@ def test_decontamination(spark):
     assert decontaminate.find(docs(spark, texts).limit(0), items).count() == 0
 
 
+def test_items_without_an_id_give_hits(spark):
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (None, "other words"), (1, "delta")], "item_id long, text string")
+    texts = ["alpha beta gamma", "delta other words", "none", "none"]
+    for most in (decontaminate.MAX_WINDOWS, 4):
+        got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.judged(decontaminate.find(docs(spark, texts), items, max_windows=most)).collect()}
+        assert got == {0: (3, [], True), 1: (3, ["1"], True), 2: (0, [], False), 3: (0, [], False)}
+    assert {r.doc_id for r in decontaminate.clean(docs(spark, texts), items).collect()} == {2, 3}
+
+
 # 8
 
 

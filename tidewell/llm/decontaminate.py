@@ -11,7 +11,8 @@ to MAX_WINDOWS they form one automaton; beyond that the items are split by
 hash into several automata of at most about that size, documents are scanned
 once for each, and the hit words are merged.
 
-Nulls: a null text (document or item) has no words: n_hit 0, not contaminated.
+Nulls: a null text (document or item) has no words: n_hit 0, not contaminated. An
+item with a null id gives hit words like any other, but is not among the items.
 Empty tables give no rows or no hits. Repeated rows are judged row by row; item
 ids that repeat count once. Texts are scanned whole.
 """
@@ -54,7 +55,7 @@ class Scanner:
         owners: dict[bytes, set[str]] = {}
         for item, text in items:
             for w in windows_of(fold(text).split(), size):
-                owners.setdefault(w, set()).add(str(item))
+                owners.setdefault(w, set()).update(() if item is None else (str(item),))
         self.automaton = ahocorasick.Automaton()
         for w, ids in owners.items():
             self.automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
@@ -96,10 +97,10 @@ def _scanner(mark: str, shared, size: int) -> Scanner:
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Rows (key, n_words, n_hit, items, spans): one for each document row."""
     spark = docs.sparkSession
-    bench = items.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
+    bench = items.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
     most = bench.agg(F.sum(F.length("t"))).first()[0] or 0  # a window starts at a word, so there are fewer windows than half the characters
     parts = max(1, -(-most // (2 * max_windows)))
-    shared = [(uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in bench.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).toLocalIterator()])) for k in range(parts)]
+    shared = [(uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).toLocalIterator()])) for k in range(parts)]
     kind = docs.schema[key].dataType.simpleString()
 
     def scan(batches):
