@@ -469,6 +469,11 @@ def test_words_alone_and_together_agree():
     assert names == [n[0] for n, _ in one] and scores == pytest.approx([s[0] for _, s in one])
 
 
+def test_every_language_is_learned(spark):
+    df = spark.createDataFrame([(8 * i + j, f"words of {i}", f"l{i:02}") for i in range(70) for j in range(8)], "doc_id long, text string, lang string")
+    assert langid.train(df, "doc_id", "text", "lang", 2).langs == [f"l{i:02}" for i in range(70)]
+
+
 def test_held_out_accuracy(spark):
     rows = langid.query(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.col("lang").alias("truth")), "doc_id").where("held_out").collect()
     assert np.mean([r.lang_pred == r.truth for r in rows]) >= 0.95

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import kept, table
 
-#: Labelled rows of each language, and bytes of each, that are learned from; most languages.
-ROWS_PER_LANG, BYTES_PER_ROW, MOST_LANGS = 300, 1500, 64
+#: Labelled rows of each language, and bytes of each, that are learned from.
+ROWS_PER_LANG, BYTES_PER_ROW = 300, 1500
 #: Size of a byte's embedding and of each direction's state; longest segment in bytes (longer words are cut); steps, words of a step, rate, seed.
 EMBED, HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 16, 24, 500, 256, 0.01, 7
 #: A document's log odds are the mean over its positions times this, at most the number of positions.
@@ -186,7 +186,7 @@ def fold_of(key: Column) -> Column:
 def train(docs: DataFrame, key: str, text: str, lang: str, held_out: int, rows: int = ROWS_PER_LANG, bytes_: int = BYTES_PER_ROW) -> Network | None:
     """A network from a bounded sample of the labelled rows that aren't held out."""
     own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (fold_of(F.col(key)) != held_out))
-    counts = {r[0]: r[1] for r in own.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGS).collect()}
+    counts = {r[0]: r[1] for r in own.groupBy(lang).count().collect()}
     if not counts:
         return None
     spot = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(SEED)), F.lit(1 << 40))
