@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from oracle import duck, same
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, components, decontaminate, encoding, htmltext, jaccard, langid, packing, quality, registry, sharding, tokens, urls
+from tidewell.llm import chat, components, decontaminate, encoding, htmltext, jaccard, langid, packing, quality, registry, sharding, shingle, tokens, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, t string, k long"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
@@ -100,10 +101,11 @@ def family(seed, n, size, edits):
     return out
 
 
-@pytest.mark.parametrize("small,tile", [(48, 8192), (2, 8192), (2, 5)])
-def test_jaccard_equals_all_pairs(spark, monkeypatch, small, tile):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "TILE", tile)
+@pytest.mark.parametrize("few,cell", [(8, 4_000_000), (2, 4_000_000), (2, 400), (1, 100)])
+def test_jaccard_equals_all_pairs(spark, monkeypatch, few, cell):
+    """Also with blocks that are never listed in pairs, and with cells dealt out in chunks."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "CELL", cell)
     shared = " ".join(f"passage{i}" for i in range(60))
     texts = [*EDGE[:9], *family(1, 25, 80, 2), *family(2, 15, 120, 4), *family(3, 12, 40, 1), *(f"{shared} " + " ".join(f"u{i}v{j}" for j in range(25)) for i in range(20)), "end of rows", "end  of ROWS"]
     df = docs(spark, texts)
@@ -120,15 +122,16 @@ def test_jaccard_nulls_and_empty(spark):
 def test_any_order_of_shingles_gives_the_same(spark, monkeypatch):
     texts = [*family(5, 20, 60, 2), "x", "x"]
     want = plain_components(dict(enumerate(texts)))
-    every = np.unique(np.concatenate([jaccard.shingles(t) for t in texts[:10]]))
-    for hint in (np.empty(0, np.uint64), every, every[::3]):
-        monkeypatch.setattr(jaccard, "_frequent", lambda *a, h=hint: h)
+    plain = jaccard._ranks
+    for seed in range(3):
+        other = np.random.default_rng(seed).integers(0, 256, 1 << jaccard.BITS).astype(np.uint8)
+        monkeypatch.setattr(jaccard, "_ranks", lambda *a, o=other: (o, *plain(*a)[1:]))
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, texts)).collect()} == want
 
 
 def test_tree_loses_no_pair():
     r = np.random.default_rng(1)
-    vec = r.poisson(3, (300, 32)).astype(np.uint16)
+    vec = r.poisson(3, (300, 32))
     vec[150:] = np.maximum(vec[:150].astype(int) + r.integers(-1, 2, (150, 32)), 0)
     n = vec.sum(axis=1).astype(np.int64)
     got = {(a, b) for x, y in jaccard.CountTree(vec, n).pairs() for a, b in zip(x.tolist(), y.tolist(), strict=True)}
@@ -138,6 +141,52 @@ def test_tree_loses_no_pair():
     assert want and want <= got
 
 
+def test_links_in_a_cell():
+    """The search of a cell joins what all pairs join, with fewer links than members; also without bit rows."""
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    own = [np.unique(np.concatenate([r.choice(base, r.integers(200, 300), replace=False), r.integers(0, 1 << 63, r.integers(0, 60), dtype=np.uint64)])) for _ in range(70)]
+    n = np.array([len(s) for s in own])
+    both = np.array([[len(np.intersect1d(a, b)) for b in own] for a in own])
+    linked = 100 * both >= 75 * (n[:, None] + n[None] - both)
+    want = np.arange(70)
+    for _ in range(70):
+        want = np.array([want[row].min() for row in linked])
+    assert 1 < len(set(want)) < 70
+    for bits in (jaccard.BITSET, 0):
+        jaccard.BITSET, was = bits, jaccard.BITSET
+        links = jaccard.search(own, n, np.arange(70), 3)
+        jaccard.BITSET = was
+        assert len(links) < 70 and all(linked[a, b] for a, b in links)
+        label = np.arange(70)
+        for a, b in links:
+            label[label == max(label[a], label[b])] = min(label[a], label[b])
+        assert (label == want).all()
+
+
+def test_word_hashes(monkeypatch):
+    """Equal words have equal hashes, wherever ranges of bytes are cut."""
+    texts = [None, "", " ", "a", " a b", "A b  C\td\ne f", " x" * 300, "longword" * 40 + " b c d e f g " * 30, "é ü ÀB", None, "q w e r t y u i o p a s d f g h j k l" * 9, LONG]
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts]
+    whole, n = shingle.word_hashes(pa.array(texts))
+    assert n.tolist() == list(map(len, want))
+    assert len(set(zip(whole.tolist(), sum(want, []), strict=True))) == len(set(whole.tolist())) == len(set(sum(want, [])))
+    for size in (1, 7, 50):
+        monkeypatch.setattr(shingle, "RANGE", size)
+        monkeypatch.setattr(shingle, "_POWERS", {})
+        got, n = shingle.word_hashes(pa.array(["x", *texts]).slice(1))
+        assert (got == whole).all() and n.tolist() == list(map(len, want))
+
+
+def test_tree_is_searched_on_the_driver_tables(spark, monkeypatch):
+    """Documents of the driver's tables go through the tree."""
+    rows = []
+    dealt = jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda cells, *a: rows.append(cells.count()) or dealt(cells, *a))
+    assert jaccard.join(spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet")).count() == 1000
+    assert rows[0] > 10
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.v: r.label for r in components.components(e).collect()}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import stash, table
-from tidewell.llm.jaccard import shingles
+from tidewell.llm.shingle import shingles
 
 #: A subtree is template if it is on pages of at least this many distinct main texts of a host; rows of templates that are broadcast.
 LEAST_PAGES, BROADCAST_ROWS = 5, 100_000
