@@ -420,8 +420,10 @@ def test_templates_of_a_small_section(spark):
     assert all(got[i] == f"Own {i}" for i in range(60))
 
 
-@pytest.mark.parametrize("tag", ["article", "main"])
-def test_templates_inside_articles(spark, tag):
+@pytest.mark.parametrize("tag,most", [("article", 1_000_000), ("main", 1_000_000), ("article", 0)])
+def test_templates_inside_articles(spark, monkeypatch, tag, most):
+    """Also where the hashes that recur are too many for a broadcast."""
+    monkeypatch.setattr(htmltext, "BROADCAST_ROWS", most)
     rows = [(i, f"http://a.org/{i}", f"<{tag}><div><p>Same on every page of a.org</p></div><p>Own text of page {i}</p><p>Read more of us</p></{tag}>") for i in range(8)]
     assert html_texts(spark, rows) == {i: f"Own text of page {i}" for i in range(8)}
 
@@ -439,6 +441,42 @@ def test_near_copies_of_an_article_stay(spark, edits):
     assert html_texts(spark, rows) == want
 
 
+def test_words_of_classes_are_whole_tokens():
+    prose = "<div class='side-effects'>A</div><section id='social-science'>B</section><p class='notice-of-appeal'>C</p><div class='share-prices'>D</div>"
+    noise = "<div class='site-sidebar left'>x</div><ul class='nav-main'><li>y</li></ul><div id='comments-area-2'>z</div><div class='ad-300'>v</div><p class=cookie-notice>w</p>"
+    assert htmltext.extract(f"<article>{prose}{noise}</article>") == "A\n\nB\n\nC\n\nD"
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<ul>" * 50_000 + "deep" + "</div>" * 50_000 + "</ul>" * 49_000 + "<p>end</p>"
+    long = "".join(f"<p>Paragraph {i} of it &amp; more.</p>" for i in range(60_000))
+    rows = [(1, "http://a.org/1", deep), (2, "http://a.org/2", long), (2, "http://a.org/2", long), (3, "http://a.org/3", "")]
+    df = spark.createDataFrame([(*r, "x", 5) for r in rows], "page_id long, url string, html string, host string, k int")
+    got = sorted(map(tuple, htmltext.texts(df).select("page_id", "text", "n_chars").collect()))
+    text = "\n\n".join(f"Paragraph {i} of it & more." for i in range(60_000))
+    assert got == [(1, "deep\n\nend", 9), (2, text, len(text)), (2, text, len(text)), (3, "", 0)]
+    assert htmltext.texts(df.limit(0)).count() == 0
+
+
+def plain_templates(pages):
+    """By brute force, for pages without articles: texts of blocks directly in the body that are on 5 pages of distinct text of a host."""
+    split = {i: (h, re.findall(r"<div>(.*?)</div>", x)) for i, (h, x) in enumerate(pages)}
+    where = {}
+    for h, blocks in split.values():
+        for b in blocks:
+            where.setdefault((h, b), set()).add(tuple(blocks))
+    return {i: "\n\n".join(b for b in blocks if len(where[h, b]) < 5) for i, (h, blocks) in split.items()}
+
+
+def test_templates_equal_brute_force(spark):
+    r = np.random.default_rng(4)
+    pages = [(f"h{r.integers(0, 4)}.org", "<body>" + "".join(f"<div>block {x}</div>" for x in r.zipf(1.5, r.integers(1, 6)).clip(0, 300)) + "</body>") for _ in range(300)]
+    pages += [pages[0]] * 9
+    want = plain_templates(pages)
+    assert html_texts(spark, [(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(pages)]) == want
+    assert 20 < sum(len(t) > 0 for t in want.values()) and any(t.count("block") < x.count("<div>") for t, (_, x) in zip(want.values(), pages, strict=True))
+
+
 def test_articles_of_the_driver_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     for r in htmltext.query(spark, SMALL).collect():

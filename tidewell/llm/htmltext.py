@@ -1,12 +1,13 @@
 """Operator 8: main text of web pages, with removal of site templates.
 
-Pages are parsed leniently into trees. Subtrees of block elements are hashed;
-Spark counts, for each host, on how many pages of distinct main text a hash
-occurs: copies of a page, and repeated rows, count once. Subtrees that recur on
-LEAST_PAGES of them are the host's template and are deleted, however many other
-pages the host has. The structural rules then take the article (or, without one, the body)
-without menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments.
+Pages are parsed leniently into trees. Subtrees of block elements are hashed
+bottom up; Spark counts, for each host, on how many pages of distinct main text
+a hash occurs: copies of a page, and repeated rows, count once. Subtrees that
+recur on LEAST_PAGES of them are the host's template and are deleted, however
+many other pages the host has. The structural rules then take the article (or,
+without one, the body) without menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments. Class, id and role words
+count as whole tokens only ("side-effects" marks nothing).
 
 Inside article and main, copies of one article with small changes must not make
 its prose a template. So a page speaks for a template there only if at least OWN
@@ -16,14 +17,15 @@ subtrees; a variant has two recurring ones). At least LEAST_PAGES such pages,
 and half of all that carry the subtree, are needed. Where hardly a page has that
 much text of its own, the subtree stays.
 
-Host templates are broadcast to the second pass only up to BROADCAST_ROWS rows
-of (host, hash); beyond that pages are joined to them by host.
+A hash holds its host. What recurs is broadcast as sorted numbers up to
+BROADCAST_ROWS of them; beyond that every page gets its own by a join on hashes,
+so no host's set is ever in one row.
 
 Nulls: null html gives empty text. A url without a scheme has the host that it
 begins with; pages without a host are of no site and have no template. Empty and
-broken html gives what text there is. Very long pages are taken whole. Repeated
-rows are extracted row by row. Empty tables give no rows.
-Extra columns are ignored.
+broken html gives what text there is. Very long and very deep pages are taken
+whole, in time that grows with their length. Repeated rows are extracted row by
+row. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stash, table
-from tidewell.llm.shingle import shingles
+from tidewell.llm.common import stash, table, unstash
+from tidewell.llm.shingle import mix, windows, word_hashes
 
-#: A subtree is template if it is on pages of at least this many distinct main texts of a host; rows of templates that are broadcast.
-LEAST_PAGES, BROADCAST_ROWS = 5, 100_000
+#: A subtree is template if it is on pages of at least this many distinct main texts of a host; hashes that are broadcast.
+LEAST_PAGES, BROADCAST_ROWS = 5, 1_000_000
 #: Share of its own text with which a page speaks for a template inside articles; minima of a block's shingles, how many recur in a variant, words of those shingles, words from which a block has several.
 OWN, KEYS, VARIANT, SHORT, WHOLE = 0.2, 8, 2, 3, 8
+#: Characters of html whose trees are held at once.
+HELD = 1 << 22
 
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -52,11 +56,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Elements that are never main text.
 DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe input map menu nav noembed noframes noscript object option script search select style svg template textarea title".split())
-#: Words of class, id or role that mark what isn't main text.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adsense|banner|breadcrumb|breadcrumbs|comment|comments|complementary|contentinfo|cookie|cookies|consent|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|popup|promo|promotion|related|replies|respond|share|sharing|sidebar|side|social|sponsor|sponsored|subscribe|toolbar|widget|widgets)(?:$|[\s_-])",
-    re.I,
-)
+#: Tokens of class, id or role that mark what isn't main text: one of the words, with what commonly stands before and behind it.
+_WORDS = "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies respond share sharing sidebar side social sponsor sponsored subscribe toolbar widget widgets"
+_BEFORE = "site page main global top bottom left right primary secondary post article entry blog wp js the google header footer user reader mobile"
+_BEHIND = "area bar box block body buttons container content wrap wrapper section list left right top bottom main inner outer link links item items form icons media unit slot banner menu overlay panel column col policy posts articles stories text title thread primary secondary footer header"
+MARKS = re.compile(rf"(?:^|\s)(?:(?:{_BEFORE.replace(' ', '|')})[_-]+)*(?:{_WORDS.replace(' ', '|')})(?:[_-]+(?:{_WORDS.replace(' ', '|')}|{_BEHIND.replace(' ', '|')}|[0-9]+))*(?=\s|$)", re.I)
 #: A start tag of one of the first closes an open element of the second, unless one of the third is between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 
@@ -64,16 +68,71 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+#: An open paragraph is looked for up to one of these.
+_AROUND_P = frozenset("article main div section td li blockquote body".split())
+
+
 class Node:
-    __slots__ = ("tag", "marks", "parts", "parent")
+    """An element: tag, marks, parts (texts and nodes), parent, and the open paragraph that a block inside it would end."""
+
+    __slots__ = ("tag", "marks", "parts", "parent", "p")
 
     def __init__(self, tag: str, marks: str = "", parent: Node | None = None):
         self.tag, self.marks, self.parts, self.parent = tag, marks, [], parent
+        self.p = self if tag == "p" else None if tag in _AROUND_P or parent is None else parent.p
+
+
+class _Path:
+    """The open elements, and how many there are of each tag, so that nothing is looked for in vain."""
+
+    def __init__(self):
+        self.now, self.open = Node(""), {}
+
+    def close(self, to: Node) -> None:
+        """Closes elements until `to` is the innermost open one."""
+        while self.now is not to:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
+
+    def enter(self, node: Node) -> None:
+        self.open[node.tag] = self.open.get(node.tag, 0) + 1
+        self.now = node
+
+    def any(self, tags) -> bool:
+        return any(self.open.get(t) for t in tags)
+
+    def up(self, wanted, stop) -> Node | None:
+        """The innermost open element of the wanted tags, unless one of the others is further in."""
+        if self.any(wanted):
+            x = self.now
+            while x is not None and x.tag not in stop:
+                if x.tag in wanted:
+                    return x
+                x = x.parent
+            if x is not None and x.tag in wanted:
+                return x
+        return None
+
+
+_ARTICLE = ("article", "main")
+
+
+def _rescued(path: _Path) -> Node | None:
+    """The outermost dropped element around, if no article is open: an article is never inside it."""
+    if path.any(_ARTICLE):
+        return None
+    x, out = path.now, None
+    while x is not None:
+        if dropped(x, False):
+            out = x
+        x = x.parent
+    return out
 
 
 def parse(text: str) -> Node:
     """The tree of a page; unclosed and misnested elements are closed as browsers mostly do. Inline elements leave no nodes."""
-    root = now = Node("")
+    path = _Path()
+    root = path.now
     at, n = 0, len(text)
     while at < n:
         m = _TOKEN.match(text, at)
@@ -85,53 +144,31 @@ def parse(text: str) -> Node:
         tag = m[2]
         if tag is None:
             if m[0][:2] not in ("<!", "<?"):
-                now.parts.append(m[0])
+                path.now.parts.append(m[0])
             continue
         tag = tag.lower()
-        if m[1]:
-            if tag == "br":
-                now.parts.append(" ")
-            elif tag in BLOCKS or tag in DROPPED:
-                up = now
-                while up is not None and up.tag != tag and not (tag not in ("article", "main", "body", "html") and up.tag in ("article", "main")):
-                    up = up.parent
-                if up is not None and up.tag == tag:
-                    now = up.parent
-            continue
         if tag == "br":
-            now.parts.append(" ")
+            path.now.parts.append(" ")
             continue
-        attrs = m[3] if m[3] else ""
+        if m[1]:
+            if tag in BLOCKS or tag in DROPPED:
+                x = path.up((tag,), () if tag in ("article", "main", "body", "html") else _ARTICLE)
+                if x is not None:
+                    path.close(x.parent)
+            continue
+        attrs = m[3] or ""
         marks = " ".join(x[2] or x[3] or x[4] or "" for x in _ATTR.finditer(attrs)) if "=" in attrs else ""
         block = tag in BLOCKS
         if not block and tag not in DROPPED and tag not in RAW and not MARKS.search(marks):
             continue
-        if tag in ("article", "main") and "comment" not in marks:  # never inside what is dropped outside an article
-            up, out = now, None
-            while up is not None:
-                if up.tag in ("article", "main"):
-                    out = None
-                    break
-                if dropped(up, False):
-                    out = up
-                up = up.parent
-            if out is not None:
-                now = out.parent
-        if block:  # an open paragraph ends
-            up = now
-            while up is not None and up.tag not in ("p", "article", "main", "div", "section", "td", "li", "blockquote", "body"):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                now = up.parent
-        if tag in CLOSES:
-            ends, stop = CLOSES[tag]
-            up = now
-            while up is not None and up.tag not in stop and up.tag not in ends:
-                up = up.parent
-            if up is not None and up.tag in ends:
-                now = up.parent
-        node = Node(tag, marks, now)
-        now.parts.append(node)
+        if tag in _ARTICLE and "comment" not in marks and (x := _rescued(path)) is not None:
+            path.close(x.parent)
+        if block and path.now.p is not None:  # an open paragraph ends
+            path.close(path.now.p.parent)
+        if tag in CLOSES and (x := path.up(*CLOSES[tag])) is not None:
+            path.close(x.parent)
+        node = Node(tag, marks, path.now)
+        path.now.parts.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
@@ -140,7 +177,7 @@ def parse(text: str) -> Node:
             at = end.end() if end else n
             continue
         if block or tag in DROPPED:
-            now = node
+            path.enter(node)
         else:  # a marked inline element: up to its own end tag
             depth, end = 1, at
             for x in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(text, at):
@@ -165,188 +202,247 @@ def flat(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def walk(root: Node):
-    """Blocks of the page in order: (text, whether inside an article, subtree nodes around it from the outermost); dropped subtrees are left out."""
-    blocks: list[tuple[str, bool, tuple]] = []
-    run: list[str] = []
+def _hash(text: str | bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text)
 
-    def flush(inside: bool, around: tuple):
-        if run:
-            t = flat("".join(run))
-            run.clear()
-            if t:
-                blocks.append((t, inside, around))
 
-    stack: list = [(root, 0, False, ())]
+def read(root: Node) -> tuple[list[tuple[str, bool, int]], list[tuple[int, bool, int, int]]]:
+    """Blocks of the page in order (text, whether inside an article, number), and its block subtrees (hash, whether inside,
+    number of the first block in it, of the first behind it). Dropped subtrees are left out. A hash is of tag, marks, and
+    the texts and hashes inside; article, main, body and html have none."""
+    blocks: list[tuple[str, bool]] = []
+    trees: list[tuple[int, bool, int, int]] = []
+    run: list[str] = []
+    # node, next part, inside, number of blocks before, what the hash is of
+    stack: list[list] = [[root, 0, False, 0, [b""]]]
     while stack:
-        node, i, inside, around = stack.pop()
-        parts = node.parts
-        while i < len(parts):
+        frame = stack[-1]
+        node, i, inside, before, acc = frame
+        parts, n = node.parts, len(node.parts)
+        while i < n:
             part = parts[i]
             i += 1
             if isinstance(part, str):
                 run.append(part)
                 continue
-            if part.tag in BLOCKS:
-                flush(inside, around)
-            if dropped(part, inside):
-                continue
-            stack.append((node, i, inside, around))
-            stack.append((part, 0, inside or part.tag in ("article", "main"), (*around, part)))
-            break
+            if part.tag in BLOCKS and run:
+                if t := flat("".join(run)):
+                    blocks.append((t, inside))
+                    acc.append(t.encode("utf-8", "surrogatepass"))
+                run.clear()
+            if not dropped(part, inside):
+                frame[1] = i
+                stack.append([part, 0, inside or part.tag in _ARTICLE, len(blocks), [f"{part.tag}\0{part.marks}".encode("utf-8", "surrogatepass")]])
+                break
         else:
-            flush(inside, around)
-    return blocks
-
-
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def hashes(root: Node) -> list[tuple[int, Node, bool]]:
-    """(hash, subtree, whether inside an article) of block subtrees, by place, tag, marks and flat text; one that repeats is there each time."""
-    out: list[tuple[int, Node, bool]] = []
+            if run:
+                if t := flat("".join(run)):
+                    blocks.append((t, inside))
+                    acc.append(t.encode("utf-8", "surrogatepass"))
+                run.clear()
+            stack.pop()
+            if stack and len(blocks) > before:
+                h = _hash(b"\1".join(acc) + b"\0inside" * inside)
+                stack[-1][4].append(h.to_bytes(8, "little"))
+                if node.tag not in (*_ARTICLE, "html", "body"):
+                    trees.append((h, inside, before, len(blocks)))
+    return blocks, trees
+
+
+_SALTS = np.array([_hash(f"key {i}") for i in range(KEYS)], np.uint64)
+
+
+def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every block text KEYS minima of its differently hashed shingles, all in a row, and their number; a block of few
+    words has one key."""
+    col = pa.array(texts, pa.string())
+    s, n = windows(col, SHORT)
+    _, words = word_hashes(col)
+    out = np.full((len(texts), KEYS), 0, np.uint64)
+    own, begin = np.flatnonzero(n), np.cumsum(n) - n
+    for k, salt in enumerate(_SALTS if len(own) else ()):
+        out[own, k] = np.minimum.reduceat(mix(s ^ salt), begin[own])
+    short = np.flatnonzero((words < WHOLE) & (n > 0))
+    out[short, 0] = [_hash(texts[i]) for i in short.tolist()]
+    number = np.where(n == 0, 0, np.where(words < WHOLE, 1, KEYS))
+    return out[np.arange(KEYS)[None] < number[:, None]], number
+
+
+class Page:
+    """Blocks and subtrees of a page; `take`: its main blocks, those of the article, or all if no article has any."""
+
+    __slots__ = ("blocks", "trees", "take", "main")
+
+    def __init__(self, page: str | None):
+        self.blocks, self.trees = read(parse(page or ""))
+        self.take = [i for i, b in enumerate(self.blocks) if b[1]] or list(range(len(self.blocks)))
+        self.main = _hash("\n\n".join(self.blocks[i][0] for i in self.take))
+
+    def left(self, gone: list[tuple[int, int]]) -> list[int]:
+        """Main blocks in none of the ranges."""
+        cut = np.zeros(len(self.blocks) + 1, np.int64)
+        for a, e in gone:
+            cut[a] += 1
+            cut[e] -= 1
+        cut = np.cumsum(cut)
+        return [i for i in self.take if not cut[i]]
+
+
+def _at(h, host: str) -> np.ndarray:
+    """Hashes of subtrees or keys, at a host."""
+    return mix(np.asarray(h, np.uint64) ^ np.uint64(_hash(host)))
+
+
+def _in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def extract(page: str | None, host: str = "", template: np.ndarray | None = None) -> str:
+    """Main text of a page: its blocks, joined by two line feeds. template: sorted hashes at hosts, to delete."""
+    p = Page(page)
+    gone = []
+    if template is not None and len(template) and p.trees:
+        hit = _in(_at([t[0] for t in p.trees], host), template)
+        gone = [t[2:] for t, x in zip(p.trees, hit.tolist(), strict=True) if x]
+    return "\n\n".join(p.blocks[i][0] for i in (p.left(gone) if gone else p.take))
 
-    def text_of(node: Node) -> str:
-        acc, stack = [], [node]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                acc.append(x)
-            else:
-                acc.append(" ")
-                stack.extend(reversed(x.parts))
-        return flat("".join(acc))
-
-    stack = [(root, False)]
-    while stack:
-        node, inside = stack.pop()
-        for part in node.parts:
-            if isinstance(part, str) or part.tag in ("script", "style", "head") or inside and dropped(part, True):
-                continue
-            article = part.tag in ("article", "main")
-            if not article and part.tag not in ("", "html", "body"):
-                t = text_of(part)
-                if t:
-                    out.append((_hash(f"{part.tag}\0{part.marks}\0{t}" + "\0inside" * inside), part, inside))
-            stack.append((part, inside or article))
-    return out
-
-
-_SALTS = np.array([_hash(f"key {i}") for i in range(KEYS)], np.int64).view(np.uint64)
-
-
-def keys(text: str) -> list[int]:
-    """KEYS minima of the differently hashed shingles of a block inside an article."""
-    s = shingles(text, SHORT if len(text.split()) >= WHOLE else WHOLE)  # of fewer words: the whole block
-    if len(s) < 2:
-        return [_hash(text)] * len(s)
-    x = (s[None] ^ _SALTS[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return ((x ^ (x >> np.uint64(29))).min(axis=1) ^ _SALTS).view(np.int64).tolist()
 
+def _host(url):
+    found = F.regexp_extract(url, r"://([^/?#]*)", 1)
+    bare = F.regexp_extract(url, r"^(?://)?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::\d+)?)(?:[/?#]|$)", 1)
+    return F.coalesce(F.lower(F.when(found != "", found).otherwise(bare)), F.lit(""))
 
-def main_blocks(root: Node) -> list[tuple[str, bool, tuple]]:
-    """Blocks of the article, or of the page if no article has any."""
-    blocks = walk(root)
-    return [b for b in blocks if b[1]] or blocks
 
+def _some(hosts: list, pages: list):
+    """Parts of a batch of about HELD characters: (hosts, pages read, keys of the inside blocks of each page)."""
+    at = 0
+    while at < len(pages):
+        to, size = at, 0
+        while to < len(pages) and (to == at or size + len(pages[to] or "") <= HELD):
+            size += len(pages[to] or "")
+            to += 1
+        got = [Page(x) for x in pages[at:to]]
+        k, n = keys([t for p in got for t, inside in p.blocks if inside])
+        width = [sum(b[1] for b in p.blocks) for p in got]
+        yield hosts[at:to], got, k, np.split(n, np.cumsum(width)[:-1]) if got else []
+        at = to
+
+
+def _numbers(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _own(host: str, p: Page, k: np.ndarray) -> np.ndarray:
+    """All hashes of a page, at its host: of its subtrees, and its keys."""
+    return np.unique(_at(np.concatenate([np.array([t[0] for t in p.trees], np.uint64), k]), host))
+
+
+def _hashed(batches, what):
+    """Rows (h, what(page)) of all hashes of all pages."""
+    for b in batches:
+        for hosts, got, k, ns in _some(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            hs, tags, at = [], [], 0
+            for j, (host, p, n) in enumerate(zip(hosts, got, ns, strict=True)):
+                hs.append(_own(host, p, k[at : at + n.sum()]))
+                tags.append(np.full(len(hs[-1]), what(p, b, j), np.uint64))
+                at += n.sum()
+            if hs:
+                yield pa.RecordBatch.from_arrays([_numbers(np.concatenate(hs)), _numbers(np.concatenate(tags))], names=["h", "x"])
+
+
+def _spoken(hosts: list, got: list[Page], k: np.ndarray, ns: list, known: np.ndarray):
+    """Of each page: its subtrees that recur (hash, whether inside), and whether the page speaks for them."""
+    at = 0
+    for host, p, n in zip(hosts, got, ns, strict=True):
+        own = k[at : at + n.sum()]
+        at += n.sum()
+        if not p.trees:
+            continue
+        trees = _at([t[0] for t in p.trees], host)
+        hit = _in(trees, known)
+        if not hit.any():
+            continue
+        per = np.bincount(np.repeat(np.arange(len(n)), n), weights=_in(_at(own, host), known), minlength=len(n))
+        variant = dict(zip([i for i, b in enumerate(p.blocks) if b[1]], (per >= VARIANT).tolist(), strict=True))
+        left = p.left([t[2:] for t, x in zip(p.trees, hit.tolist(), strict=True) if x])
+        mine = sum(len(p.blocks[i][0]) for i in left if not variant.get(i))
+        speaks = 0 < mine >= OWN * sum(len(p.blocks[i][0]) for i in p.take)
+        for h, inside in {(int(h), p.trees[i][1]) for i, h in enumerate(trees) if hit[i]}:
+            yield h, inside, speaks, p.main
+
+
+def _with(pages: DataFrame, found: DataFrame, run, schema: str) -> DataFrame:
+    """pages.mapInArrow(run(known)) where known(batch) gives the sorted hashes of `found` (h) that a batch needs: all of them,
+    broadcast, or those that its pages have, joined to them (column `own`)."""
+    if found.count() <= BROADCAST_ROWS:
+        every = np.sort(found.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+        shared = pages.sparkSession.sparkContext.broadcast(every)
+        return pages.mapInArrow(run(lambda b: shared.value), schema)
+    page = F.xxhash64("host", "html").alias("x")
+
+    def owned(batches):
+        for b in batches:
+            for j, (host, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                for hosts, got, k, ns in _some([host], [text]):
+                    h = _own(host, got[0], k)
+                    yield pa.RecordBatch.from_arrays([_numbers(h), pa.array([b.column(2)[j].as_py()] * len(h), pa.int64())], names=["h", "x"])
 
-def extract(page: str | None, template=frozenset()) -> str:
-    """Main text of a page: its blocks, joined by two line feeds. template: hashes of subtrees to delete."""
-    root = parse(page or "")
-    own = {id(n) for h, n, _ in hashes(root) if h in template} if template else ()
-    return "\n\n".join(t for t, _, around in main_blocks(root) if not (own and any(id(n) in own for n in around)))
+    hits = pages.select("host", "html", page).where("host <> ''").mapInArrow(owned, "h long, x long").distinct().join(found.select("h"), "h", "left_semi").groupBy("x").agg(F.collect_list("h").alias("own"))
+    joined = pages.withColumn("x", page).join(hits, "x", "left").drop("x")
+    place = joined.columns.index("own")
 
+    def known(b):
+        lists = b.column(place).combine_chunks() if isinstance(b.column(place), pa.ChunkedArray) else b.column(place)
+        return np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
-def _host(url):
-    found = F.regexp_extract(url, r"://([^/?#]*)", 1)
-    bare = F.regexp_extract(url, r"^(?://)?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::\d+)?)(?:[/?#]|$)", 1)
-    return F.coalesce(F.lower(F.when(found != "", found).otherwise(bare)), F.lit(""))
+    return joined.mapInArrow(run(known), schema)
 
 
 def _recurring(pages: DataFrame, least: int) -> DataFrame:
-    """Rows (host, h): subtrees, and keys of blocks inside articles, on pages of many distinct main texts of a host."""
-
-    def run(batches):
-        for b in batches:
-            hosts, hs, mains = [], [], []
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                root = parse(page or "")
-                blocks = main_blocks(root)
-                own = {h for h, _, _ in hashes(root)}.union(*(keys(t) for t, inside, _ in blocks if inside))
-                hosts += [host] * len(own)
-                hs += own
-                mains += [_hash("\n\n".join(t for t, _, _ in blocks))] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hs, pa.int64()), pa.array(mains, pa.int64())], names=["host", "h", "main"])
-
-    seen = pages.mapInArrow(run, "host string, h long, main long").distinct()
-    return seen.groupBy("host", "h").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("host", "h")
-
-
-def spoken(page: str | None, recurring: frozenset) -> tuple[int, list[tuple[int, bool, bool]]]:
-    """Hash of the main text, and (hash, whether inside, whether the page speaks for it) of the recurring subtrees."""
-    root = parse(page or "")
-    found = [(h, n, inside) for h, n, inside in hashes(root) if h in recurring]
-    blocks = main_blocks(root)
-    nodes = {id(n) for _, n, _ in found}
-    own = sum(len(t) for t, inside, around in blocks if not any(id(n) in nodes for n in around) and not (inside and sum(x in recurring for x in keys(t)) >= VARIANT))
-    speaks = own >= OWN * sum(len(t) for t, _, _ in blocks) and own > 0
-    return _hash("\n\n".join(t for t, _, _ in blocks)), sorted({(h, inside, speaks) for h, _, inside in found})
-
-
-def _sets(hosts: list, col: pa.Array) -> list[frozenset]:
-    """The set of each row; rows of one host in a batch share one."""
-    made: dict = {}
-    for i, host in enumerate(hosts):
-        if host not in made:
-            made[host] = frozenset(col[i].as_py() or ())
-    return [made[host] for host in hosts]
-
-
-def _with(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pages with the set hs of their host's hashes."""
-    by_host = rows.groupBy("host").agg(F.collect_set("h").alias("hs"))
-    few = rows.count() <= BROADCAST_ROWS
-    return pages.join(F.broadcast(by_host) if few else by_host, "host", "left")
+    """Rows (h): subtrees, and keys of blocks inside articles, on pages of many distinct main texts of a host."""
+    seen = pages.mapInArrow(lambda batches: _hashed(batches, lambda p, b, j: p.main), "h long, x long").distinct()
+    return seen.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("h")
 
 
 def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """Rows (host, h): subtrees to delete. pages: (host, html)."""
+    """Rows (h): subtrees to delete, hashed with their host. pages: (host, html)."""
 
-    def run(batches):
-        for b in batches:
-            hosts, hs, insides, speaks, mains = [], [], [], [], []
-            rows = b.column(0).to_pylist()
-            for host, page, known in zip(rows, b.column(1).to_pylist(), _sets(rows, b.column(2)), strict=True):
-                main, found = spoken(page, known)
-                for h, inside, says in found:
-                    hosts.append(host)
-                    hs.append(h)
-                    insides.append(inside)
-                    speaks.append(says)
-                    mains.append(main)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hs, pa.int64()), pa.array(insides, pa.bool_()), pa.array(speaks, pa.bool_()), pa.array(mains, pa.int64())], names=["host", "h", "inside", "speaks", "main"])
+    def run(known):
+        def rows(batches):
+            for b in batches:
+                own = known(b)
+                out = [x for part in _some(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in _spoken(*part, own)]
+                h, inside, speaks, main = zip(*out, strict=True) if out else ((),) * 4
+                yield pa.RecordBatch.from_arrays([_numbers(np.array(h, np.uint64)), pa.array(inside, pa.bool_()), pa.array(speaks, pa.bool_()), _numbers(np.array(main, np.uint64))], names=["h", "inside", "speaks", "main"])
+
+        return rows
 
     pages = pages.where("host <> ''").select("host", "html")
-    some = _with(pages, stash(_recurring(pages, least), "recurring")).where("hs IS NOT NULL").select("host", "html", "hs")
-    seen = some.mapInArrow(run, "host string, h long, inside boolean, speaks boolean, main long").distinct()
-    n = seen.groupBy("host", "h", "inside").agg(F.count("*").alias("m"), F.count_if("speaks").alias("n"))
-    return n.where(~F.col("inside") | (F.col("n") >= least) & (2 * F.col("n") >= F.col("m"))).select("host", "h")
+    recurring = stash(_recurring(pages, least), "recurring")
+    seen = _with(pages, recurring, run, "h long, inside boolean, speaks boolean, main long").distinct()
+    n = seen.groupBy("h", "inside").agg(F.count("*").alias("m"), F.count_if("speaks").alias("n"))
+    out = stash(n.where(~F.col("inside") | (F.col("n") >= least) & (2 * F.col("n") >= F.col("m"))).select("h").distinct(), "templates")
+    unstash(recurring)
+    return out
 
 
 def texts(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """Rows (key, url, text, n_chars)."""
     kind = pages.schema[key].dataType.simpleString()
-    p = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), F.col(page).alias("html"), _host(F.col(url)).alias("host"))
-    p = _with(p, stash(templates(p), "templates")).select("k", "url", "html", "hs", "host")
+    p = pages.select(_host(F.col(url)).alias("host"), F.col(page).alias("html"), F.col(key).alias("k"), F.col(url).alias("url"))
 
-    def run(batches):
-        for b in batches:
-            out = [extract(x, hs) for x, hs in zip(b.column(2).to_pylist(), _sets(b.column(4).to_pylist(), b.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["k", "url", "text", "n_chars"])
+    def run(known):
+        def rows(batches):
+            for b in batches:
+                own = known(b)
+                out = [extract(x, host, own if host else None) for host, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["k", "url", "text", "n_chars"])
+
+        return rows
 
-    out = p.mapInArrow(run, f"k {kind}, url string, text string, n_chars long")
+    out = _with(p, templates(p), run, f"k {kind}, url string, text string, n_chars long")
     return out.select(F.col("k").alias(key), F.col("url").alias(url), "text", "n_chars")
 
 
