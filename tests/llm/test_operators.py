@@ -53,6 +53,26 @@ def test_quality_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_line_rules(spark):
+    good = "\n".join(" ".join(f"Word{i}{c}" for c in "abcdefghijk") + "." for i in range(8))
+    cases = {
+        "Home > Shop > Shoes": False, "Start » Artikel » Neu": False, "He walked to the A > B > C junction and then he turned around once more.": True, "either / or": True,
+        "Alle Rechte vorbehalten.": False, "Política de privacidad": False, "Tous droits réservés.": False, "Mentions légales": False,
+        " ".join(f"spam{i}" for i in range(40)): False, " ".join(f"prose{i}," for i in range(40)): True, "A heading": True,
+        "Home\nNews\nAbout us\nContact\nLog in": False, "Home\nNews\nAbout us\nContact": True, "Yes.\nNo.\nWhy?\nAh!\nSo.": True, "a\n\nb\n\nc\n\nd\n\ne": True,
+    }
+    got = {r.doc_id: r.clean_text for r in quality.judge(docs(spark, [f"{good}\n{x}\n{good}" for x in cases])).collect()}
+    for i, (x, stays) in enumerate(cases.items()):
+        assert got[i] == (f"{good}\n{x}\n{good}" if stays else f"{good}\n{good}"), x
+
+
+def test_quality_clashing_columns(spark):
+    cols = ["n_words", "kept", "_w", "_l", "n_symbols", "clean_text", "base_failed", "r", "t"]
+    df = docs(spark, ["a b", "c d"]).select("doc_id", "text", *[F.lit(1).alias(c) for c in cols])
+    assert quality.clean(df).columns == df.columns and quality.clean(df).count() == 0
+    assert quality.clean(df.withColumn("text", F.repeat("text", 60))).count() == 0
+
+
 def test_quality_lines(spark):
     good = "\n".join(" ".join(f"Word{i}{c}" for c in "abcdefghijk") + "." for i in range(8))
     menu = "\n".join(f"Home{i} | News{i} | About{i} | Contact{i} | Login{i}" for i in range(30))

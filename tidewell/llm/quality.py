@@ -4,6 +4,12 @@ Every line is judged by punctuation, navigation and boilerplate rules; failing
 lines are removed, and a document that loses too much text is rejected, as is
 one that fails the base rules (too few words, or too many repeated words).
 
+- Punctuation: more than a tenth of its characters are symbols or shouts, or it
+  has UNPUNCTUATED words or more and no mark between or behind them.
+- Navigation: a menu in one line, a path of names (a > b > c), or LIST_LEAST
+  lines in a row of few words that no mark ends.
+- Boilerplate: a short line with one of the phrases, in four languages.
+
 Nulls: a null text has no words, fails the base rules and has null cleaned
 text. Empty texts likewise. Very long texts are taken whole. Repeated rows are
 judged row by row. Extra columns pass through untouched in `clean`.
@@ -11,21 +17,39 @@ judged row by row. Extra columns pass through untouched in `clean`.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import SPACE_CLASS, let, table
 
 #: Phrases of boilerplate lines, in any case.
-BOILERPLATE = r"(?i)(licensed under|all rights reserved|cookies? (policy|settings|notice)|privacy policy|terms of (use|service)|accept (all )?cookies|subscribe to our|sign up for|click here|javascript (is )?(disabled|required)|powered by|copyright (\(c\)|©|[0-9]{4})|©)"
+BOILERPLATE = (
+    r"(?i)(licensed under|all rights reserved|cookies? (policy|settings|notice)|privacy policy|terms of (use|service)|accept (all )?cookies|subscribe to our|sign up for|click here|javascript (is )?(disabled|required)|powered by|copyright (\(c\)|©|[0-9]{4})|©"
+    r"|alle rechte vorbehalten|datenschutzerkl.rung|nutzungsbedingungen|cookies? akzeptieren|newsletter abonnieren|hier klicken"
+    r"|todos los derechos reservados|pol.tica de (privacidad|cookies)|aviso legal|aceptar (las )?cookies|haga clic aqu."
+    r"|tous droits r.serv.s|politique de confidentialit.|mentions l.gales|accepter les cookies|cliquez ici)"
+)
 #: A boilerplate phrase fails a line of at most this many words; longer lines are prose that mentions it.
 BOILERPLATE_WORDS = 40
-#: Characters of the symbol count, and those that the punctuation rule adds.
+#: Characters of the symbol count, those that the punctuation rule adds, and from how many it counts.
 SYMBOLS = "#*$%&|<>"
 SHOUTS = "!?"
+SYMBOLS_LEAST = 3
 #: Separators of menus, and how many a menu has at least.
 MENU = "|»›·"
 MENU_LEAST = 3
+#: A path of names: at least two such marks between words.
+PATH = r"[^ ] (>|/|»|›|→) [^ ].* (>|/|»|›|→) [^ ]"
+PATH_WORDS = 12
+#: Lines of a list of links: so many in a row, each of few words and without a mark at its end.
+LIST_LEAST, LIST_WORDS = 5, 4
+ENDED = r"[.!?:;,…\"”»)。！？]$"
+#: Words of a line that has no mark at all.
+UNPUNCTUATED = 30
+MARK = r"[.!?:;,…。、，！？]"
 #: Least words of a document; most percent of repeated words; most percent of text that removed lines may hold.
 MIN_WORDS, MAX_REPEAT_PCT, MAX_LOST_PCT = 50, 50, 40
 
@@ -70,22 +94,49 @@ def repeated_words(words: Column) -> Column:
 
 
 def line_fails(line: Column, flat: Column) -> Column:
-    """Whether a line fails the punctuation, navigation or boilerplate rule; a line without words passes. flat: with runs of white space as one space, trimmed."""
+    """Whether a line alone fails the punctuation, navigation or boilerplate rule; a line without words passes. flat: with runs of white space as one space, trimmed."""
     solid = F.length(F.replace(flat, F.lit(" "), F.lit("")))
     n_words = F.length(flat) - solid + 1
-    punctuation = (10 * _count_of(line, SYMBOLS.replace("|", "") + SHOUTS)) > solid
+    symbols = _count_of(line, SYMBOLS.replace("|", "") + SHOUTS)
+    punctuation = ((symbols >= SYMBOLS_LEAST) & (10 * symbols > solid)) | ((n_words >= UNPUNCTUATED) & ~flat.rlike(MARK))
     seps = _count_of(line, MENU)
-    navigation = (seps >= MENU_LEAST) & (8 * seps >= n_words)
+    navigation = (seps >= MENU_LEAST) & (8 * seps >= n_words) | (n_words <= PATH_WORDS) & flat.rlike(PATH)
     boilerplate = (n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
     return (flat != "") & (punctuation | navigation | boilerplate)
 
 
+def listed(flats: Column) -> Column:
+    """Of an array of lines, whether each is in a run of LIST_LEAST short lines that no mark ends."""
+
+    def short(x: Column) -> Column:
+        return (x != "") & (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) < LIST_WORDS) & ~x.rlike(ENDED)
+
+    def near(hits: Column, i: Column, steps, how) -> Column:
+        return reduce(how, [F.coalesce(F.get(hits, i + d), F.lit(False)) for d in steps])
+
+    def runs(s: Column) -> Column:
+        begins = F.transform(s, lambda x, i: x & near(s, i, range(1, LIST_LEAST), and_))
+        return let(begins, lambda b: F.transform(b, lambda x, i: x | near(b, i, range(-LIST_LEAST + 1, 0), or_)))
+
+    return let(F.transform(flats, short), runs)
+
+
 def signals(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows with the base counts `_w` and `n_symbols`, and `_l`: removed and total characters of the lines, cleaned text."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n")
     pairs = F.transform(lines, lambda x: F.struct(x.alias("line"), F.trim(F.regexp_replace(x, SPACE_CLASS + "+", " ")).alias("flat")))
-    flagged = F.transform(pairs, lambda p: F.struct(p["line"].alias("line"), line_fails(p["line"], p["flat"]).alias("bad"), p["flat"].alias("flat")))
+
+    def flags(ps: Column, inside: Column) -> Column:
+        """inside: whether each line is in a list of links."""
+
+        def flag(p: Column, i: Column) -> Column:
+            bad = line_fails(p["line"], p["flat"])
+            return F.struct(p["line"].alias("line"), (bad | F.coalesce(F.get(inside, i), F.lit(False))).alias("bad"), p["flat"].alias("flat"))
+
+        return F.transform(ps, flag)
+
+    flagged = let(pairs, lambda ps: let(listed(F.transform(ps, lambda p: p["flat"])), lambda x: flags(ps, x)))
 
     def of_lines(fl: Column) -> Column:
         with_word = F.transform(F.filter(fl, lambda x: x["flat"] != ""), lambda x: x["line"])
@@ -146,15 +197,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM d),
-ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS i FROM d),
 lf AS (
-  SELECT doc_id, line, length(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS solid,
+  SELECT doc_id, line, i, length(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS solid,
+         trim(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS flat,
          len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS nw,
          length(line) - length(translate(line, '#*$%&<>!?', '')) AS sy,
          length(line) - length(translate(line, '{MENU}', '')) AS sep
   FROM ln),
-lj AS (SELECT *, solid > 0 AND (10 * sy > solid OR (sep >= {MENU_LEAST} AND 8 * sep >= nw)
-         OR (nw <= {BOILERPLATE_WORDS} AND regexp_matches(line, '{BOILERPLATE}'))) AS bad FROM lf),
+ls AS (SELECT *, solid > 0 AND nw <= {LIST_WORDS} AND NOT regexp_matches(flat, '{ENDED}') AS short FROM lf),
+lg AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, short ORDER BY i) AS grp FROM ls),
+lr AS (SELECT *, short AND count(*) OVER (PARTITION BY doc_id, short, grp) >= {LIST_LEAST} AS listed FROM lg),
+lj AS (SELECT *, listed OR (solid > 0 AND ((sy >= {SYMBOLS_LEAST} AND 10 * sy > solid) OR (nw >= {UNPUNCTUATED} AND NOT regexp_matches(flat, '{MARK}'))
+         OR (sep >= {MENU_LEAST} AND 8 * sep >= nw) OR (nw <= {PATH_WORDS} AND regexp_matches(flat, '{PATH}'))
+         OR (nw <= {BOILERPLATE_WORDS} AND regexp_matches(line, '{BOILERPLATE}')))) AS bad FROM lr),
 la AS (SELECT doc_id, count(*) FILTER (solid > 0) - count(DISTINCT line) FILTER (solid > 0) AS n_dup_lines,
          sum(length(line)) AS total, coalesce(sum(length(line)) FILTER (bad), 0) AS lost, count(*) FILTER (bad) AS n_bad FROM lj GROUP BY doc_id),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
