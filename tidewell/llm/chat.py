@@ -10,13 +10,19 @@ offset by the chunks' sums. `render` puts the segments of a perspective together
 Nulls: a null role is the participant `unknown`, a null text is empty, a null
 turn comes last, a null conversation is a conversation of its own. Turns with
 equal numbers are ordered by role and text; repeated rows are turns of their
-own. Markers inside texts are defused. Empty tables give no rows. Extra columns
-are ignored.
+own. Empty tables give no rows. Extra columns are ignored.
+
+No text or name can forge a marker: in texts, a `<` before a `|` gets a backslash
+behind it, as does one that has backslashes there already; in names, the
+characters % | < > and line breaks are written as % and two hexadecimal digits.
+`plain_text` and `plain_name` undo it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import table
@@ -27,20 +33,40 @@ CHUNK = 1024
 _LAST = 1 << 60
 
 
+#: Characters of names that are written as numbers; % comes first.
+CODED = {"%": "%25", "|": "%7C", "<": "%3C", ">": "%3E", "\n": "%0A", "\r": "%0D"}
+
+
+def safe_text(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def plain_text(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
+
+
+def safe_name(name: Column) -> Column:
+    return reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(CODED[c])), CODED, name)
+
+
+def plain_name(name: Column) -> Column:
+    return reduce(lambda x, c: F.replace(x, F.lit(CODED[c]), F.lit(c)), reversed(CODED), name)
+
+
 def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rows (conv, speaker, pos, turn, role_as, name, segment, seg_start, mask_start, mask_end)."""
     t = turns.select(
         F.col(conv).alias("c"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("unknown")).alias("role"),
-        F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
+        safe_text(F.coalesce(F.col(text), F.lit(""))).alias("text"),
     ).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(_LAST)))
     speakers = t.where("role <> 'system'").select(F.col("c").alias("sc"), F.col("role").alias("speaker")).distinct()
     p = t.join(speakers, F.col("c").eqNullSafe(F.col("sc"))).drop("sc")
     own = F.col("role") == F.col("speaker")
     role_as = F.when(F.col("role") == "system", "system").when(own, "assistant").otherwise("user")
     name = F.when(role_as == "user", F.col("role"))
-    head = F.concat(F.lit("<|"), role_as, F.coalesce(F.concat(F.lit(":"), name), F.lit("")), F.lit("|>\n"))
+    head = F.concat(F.lit("<|"), role_as, F.coalesce(F.concat(F.lit(":"), safe_name(name)), F.lit("")), F.lit("|>\n"))
     p = p.withColumns({"role_as": role_as, "name": name, "head": F.length(head), "segment": F.concat(head, F.col("text"), F.lit("<|end|>\n"))})
     inside = Window.partitionBy("c", "speaker", "chunk").orderBy(F.asc_nulls_last("turn"), "role", "text")
     n = F.length("segment")
@@ -76,13 +102,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations"))
 
 
-SQL = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+_SQL_NAME = reduce(lambda x, c: f"replace({x}, {repr(c) if c > ' ' else f'chr({ord(c)})'}, '{CODED[c]}')", CODED, "role")
+SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id AS sc, role AS speaker FROM t WHERE role <> 'system'),
 p AS (SELECT conv_id, turn, role, text, speaker, CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user' END AS role_as
       FROM t JOIN s ON conv_id IS NOT DISTINCT FROM sc),
 g AS (SELECT *, CASE WHEN role_as = 'user' THEN role END AS name,
-        '<|' || role_as || CASE WHEN role_as = 'user' THEN ':' || role ELSE '' END || '|>' || chr(10) AS head FROM p),
+        '<|' || role_as || CASE WHEN role_as = 'user' THEN ':' || {_SQL_NAME} ELSE '' END || '|>' || chr(10) AS head FROM p),
 x AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM g),
 o AS (SELECT *, row_number() OVER w - 1 AS pos, coalesce(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
       FROM x WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS LAST, role, text))
