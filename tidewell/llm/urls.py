@@ -28,6 +28,12 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 #: A host is blocked if its posterior rate less Z standard deviations exceeds LIMIT; bounds of the shrinkage strength.
 Z, LIMIT, LEAST, MOST = 1.645, 0.5, 2.0, 1000.0
 
+#: Second labels under which countries' registries (two letters) sell names, and sites whose users have names below them.
+SECOND = "ac asn co com edu gob gouv gov govt go gr id info lg ltd me mil net ne nhs nom or org plc sch school web"
+SHARED = "blogspot.com github.io gitlab.io herokuapp.com netlify.app pages.dev vercel.app web.app wordpress.com workers.dev"
+_TWO_LABELS = rf"(^|\.)(({SECOND.replace(' ', '|')})\.[a-z][a-z]|{SHARED.replace('.', chr(92) + '.').replace(' ', '|')})$"
+_NUMBERS = r"^[0-9]+(\.[0-9]+){3}$|^\["
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,8 +59,14 @@ def deciding_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last one)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """Registered domain and suffix, without the port: the suffix is the last label, or the last two where a country's
+    registry sells names below them or a site's users have names below them; the registered domain is one label more. An
+    address of numbers is its own domain and suffix."""
+    bare = F.regexp_replace(host, ":[0-9]*$", "")
+    two = bare.rlike(_TWO_LABELS)
+    numbers = bare.rlike(_NUMBERS)
+    suffix = F.when(numbers, bare).when(two, F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
+    return F.when(numbers, bare).when(two, F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2)), suffix
 
 
 def _strength(counts: DataFrame, level: str) -> DataFrame:
@@ -122,8 +134,10 @@ SQL = f"""
 WITH p AS (SELECT page_id, translate(regexp_extract(a, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS a FROM pages)),
 l AS (SELECT host, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS b FROM p JOIN labels ON doc_id = page_id GROUP BY host),
-h AS (SELECT host, coalesce(n, 0) AS n, coalesce(b, 0) AS b, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM (SELECT DISTINCT host FROM p) LEFT JOIN l USING (host)),
+h AS (SELECT host, coalesce(n, 0) AS n, coalesce(b, 0) AS b, CASE WHEN numbers THEN bare WHEN two THEN array_to_string(list_slice(string_split(bare, '.'), -3, -1), '.') ELSE array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') END AS domain,
+        CASE WHEN numbers THEN bare WHEN two THEN array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') ELSE string_split(bare, '.')[-1] END AS suffix
+  FROM (SELECT host, bare, regexp_matches(bare, '{_NUMBERS}') AS numbers, regexp_matches(bare, '{_TWO_LABELS}') AS two
+        FROM (SELECT DISTINCT host, regexp_replace(host, ':[0-9]*$', '') AS bare FROM p)) LEFT JOIN l USING (host)),
 {_sql_strength("suffix")}, {_sql_strength("domain")}, {_sql_strength("host")},
 t AS (SELECT (sum(b) + 1) / (sum(n) + 2) AS p0 FROM h),
 m AS (SELECT h.*, k_suffix, k_domain, k_host, p0, sum(n) OVER (PARTITION BY suffix) AS sn, sum(b) OVER (PARTITION BY suffix) AS sb,
