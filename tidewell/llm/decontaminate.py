@@ -8,8 +8,10 @@ original text.
 
 Size of what executors get: windows are counted before they are collected. Up
 to MAX_WINDOWS they form one automaton; beyond that the items are split by
-hash into several automata of at most about that size, documents are scanned
-once for each, and the hit words are merged.
+hash into several automata of at most about that size. A task then takes its
+documents in blocks of about BLOCK bytes, scans a block with one automaton after
+the other (each is built once a block, and one is held at a time), and merges the
+hit words.
 
 Nulls: a null text (document or item) has no words: n_hit 0, not contaminated. An
 item with a null id gives hit words like any other, but is not among the items.
@@ -32,6 +34,8 @@ from tidewell.llm.common import kept, table
 
 #: Words of a window; windows of one automaton (about 200 bytes each on an executor); a document is contaminated at this share of hit words.
 WINDOW, MAX_WINDOWS, SHARE = 13, 1_000_000, 20
+#: Bytes of text that are scanned with one of several automata before the next is built.
+BLOCK = 1 << 28
 #: A-Z to lower case; bytes outside 0-9, a-z and 0x80-0xFF to a space. Byte for byte, so offsets stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -94,6 +98,12 @@ def _scanner(mark: str, shared, size: int) -> Scanner:
     return kept(f"automaton {mark} {size}", lambda: Scanner(shared.value, size))
 
 
+def _forget(shared) -> None:
+    """Drops this worker's copy of a broadcast list; it is read again from the executor's disk when it is needed."""
+    if getattr(shared, "_path", None):
+        shared.__dict__.pop("_value", None)
+
+
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Rows (key, n_words, n_hit, items, spans): one for each document row."""
     spark = docs.sparkSession
@@ -103,23 +113,40 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     shared = [(uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).toLocalIterator()])) for k in range(parts)]
     kind = docs.schema[key].dataType.simpleString()
 
-    def scan(batches):
+    def blocks(batches):
+        """Batches with their folded words; with several automata, as many as make up BLOCK bytes."""
+        wait, size = [], 0
         for b in batches:
-            texts = (b.column(1) if b.num_columns > 1 else b.column(0).field(text)).to_pylist()
-            words = [fold(t).split() for t in texts]
-            hits, ids = [None] * len(texts), [set() for _ in texts]
+            wait.append((b, [fold(t).split() for t in texts_of(b)]))
+            size += b.nbytes
+            if len(shared) == 1 or size >= BLOCK:
+                yield wait
+                wait, size = [], 0
+        if wait:
+            yield wait
+
+    def texts_of(b):
+        return (b.column(1) if b.num_columns > 1 else b.column(0).field(text)).to_pylist()
+
+    def scan(batches):
+        for block in blocks(batches):
+            hits, ids = [[None] * len(ws) for _, ws in block], [[set() for _ in ws] for _, ws in block]
             for mark, s in shared:
                 scanner = _scanner(mark, s, size)
-                for j, w in enumerate(words):
-                    h, i = scanner.scan(w)
-                    hits[j] = h if hits[j] is None else hits[j] if h is None else hits[j] | h
-                    ids[j] |= i
-            words_n, hits_n = [len(w) for w in words], [0 if h is None else int(h.sum()) for h in hits]
-            found, spans = [sorted(i) for i in ids], [[] if h is None else spans_of(t, h) for t, h in zip(texts, hits, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(words_n, pa.int64()), pa.array(hits_n, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["k", "n_words", "n_hit", "items", "spans"],
-            )
+                for (_, ws), h, x in zip(block, hits, ids, strict=True):
+                    for j, w in enumerate(ws):
+                        got, i = scanner.scan(w)
+                        h[j] = got if h[j] is None else h[j] if got is None else h[j] | got
+                        x[j] |= i
+                if len(shared) > 1:
+                    del scanner
+                    _forget(s)
+            for (b, ws), h, x in zip(block, hits, ids, strict=True):
+                found, spans = [sorted(i) for i in x], [[] if g is None else spans_of(t, g) for t, g in zip(texts_of(b), h, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([len(w) for w in ws], pa.int64()), pa.array([0 if g is None else int(g.sum()) for g in h], pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    names=["k", "n_words", "n_hit", "items", "spans"],
+                )
 
     own = [F.col(key).alias("k")] + ([F.col(text).alias("t")] if text in docs.columns else [])  # else a field of the key
     out = docs.select(*own).mapInArrow(scan, f"k {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
