@@ -9,10 +9,15 @@ every distinct word of a block once. A document pools the log probabilities of
 all positions of all its words (whole text) into its probabilities; words
 without a letter say nothing.
 
-Learning: from at most ROWS_PER_LANG rows of each language (picked by a hash of
-the id among the labelled rows of the training folds) and at most BYTES_PER_ROW
-bytes of each, from a place in the text that the hash picks. The network goes
-to the executors as a few kilobytes of weights.
+The context of a position is so its word (of text without spaces, a segment of
+up to SEGMENT bytes, cut between characters). That gives up what word order says
+and makes the work that of a corpus's distinct words.
+
+Learning: from a bounded sample, ROWS_PER_LANG rows at most of each language
+(those of the least hashes of the id among the labelled rows of the training
+folds), and of each row WORDS_PER_ROW words at most, spread evenly over its
+whole text. Every language with labelled rows is learned. The network goes to
+the executors as a few kilobytes of weights.
 
 Nulls: rows with a null language aren't learned from; a null text, or one
 without a letter, is `und` with score 0, as is every text if nothing could be
@@ -27,15 +32,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import kept, table
 
-#: Labelled rows of each language, and bytes of each, that are learned from.
-ROWS_PER_LANG, BYTES_PER_ROW = 300, 1500
+#: Labelled rows of each language, and words of each, that are learned from.
+ROWS_PER_LANG, WORDS_PER_ROW = 300, 250
 #: Size of a byte's embedding and of each direction's state; longest segment in bytes (longer words are cut); steps, words of a step, rate, seed.
-EMBED, HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 16, 24, 500, 256, 0.01, 7
+EMBED, HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 16, 48, 500, 256, 0.01, 7
 #: A document's log odds are the mean over its positions times this, at most the number of positions.
 EVIDENCE = 20.0
 
@@ -168,13 +173,19 @@ class Network:
 
 
 def words_of(text: str) -> list[bytes]:
-    """Segments of a whole text: its words, longer ones in parts."""
+    """Segments of a whole text: its words, longer ones in parts that end between characters."""
     out = []
     for w in text.encode("utf-8", "surrogatepass").split():
-        if len(w) > SEGMENT:
-            out += [w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT)]
-        else:
+        if len(w) <= SEGMENT:
             out.append(w)
+            continue
+        at = 0
+        while at < len(w):
+            end = min(len(w), at + SEGMENT)
+            while end < len(w) and w[end] & 0xC0 == 0x80 and end > at + SEGMENT - 4:
+                end -= 1
+            out.append(w[at:end])
+            at = end
     return out
 
 
@@ -183,7 +194,7 @@ def fold_of(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, key: str, text: str, lang: str, held_out: int, rows: int = ROWS_PER_LANG, bytes_: int = BYTES_PER_ROW) -> Network | None:
+def train(docs: DataFrame, key: str, text: str, lang: str, held_out: int, rows: int = ROWS_PER_LANG, words_per_row: int = WORDS_PER_ROW) -> Network | None:
     """A network from a bounded sample of the labelled rows that aren't held out."""
     own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (fold_of(F.col(key)) != held_out))
     counts = {r[0]: r[1] for r in own.groupBy(lang).count().collect()}
@@ -191,23 +202,30 @@ def train(docs: DataFrame, key: str, text: str, lang: str, held_out: int, rows:
         return None
     spot = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(SEED)), F.lit(1 << 40))
     few = F.lit(False)
-    for name, n in counts.items():  # a hash below the share that gives `rows` rows of the language
-        few = few | ((F.col(lang) == name) & (spot < int((1 << 40) * min(1.0, rows / n))))
-    length = F.length(text)
-    begin = F.floor((spot % 997) / 997 * F.greatest(F.lit(0), length - bytes_)) + 1
-    got = own.where(few).select(F.col(lang).alias("l"), spot.alias("s"), F.substr(F.col(text), begin.cast("int"), F.lit(bytes_)).alias("t")).orderBy("s", "t").limit(2 * rows * len(counts)).collect()
-    langs = sorted(counts)
+    for name, n in counts.items():  # hashes below the share that gives twice the rows of the language; of those, the least
+        few = few | ((F.col(lang) == name) & (spot < int((1 << 40) * min(1.0, (2 * rows + 40) / n))))
+    picked = own.where(few).select(F.col(lang).alias("l"), spot.alias("s"), F.col(text).alias("t"))
+    picked = picked.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("s", F.xxhash64("t")))).where(F.col("i") <= rows)
+
+    def spread(batches):
+        for b in batches:
+            out = []
+            for t in b.column(2).to_pylist():
+                ws = [w for w in words_of(t) if _SPEAKS.search(w)]
+                n = min(len(ws), words_per_row)
+                out.append([ws[i * len(ws) // n] for i in range(n)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], names=["l", "s", "w"])
+
+    got = sorted(picked.select("l", "s", "t").mapInArrow(spread, "l string, s long, w array<binary>").collect(), key=lambda r: (r["l"], r["s"], r["w"]))
     words, y = [], []
     for r in got:
-        own_words = [w for w in words_of(r["t"]) if _SPEAKS.search(w)]
-        words += own_words
-        y += [langs.index(r["l"])] * len(own_words)
-    langs_seen = sorted(set(y))
-    if not langs_seen:
+        words += map(bytes, r["w"])
+        y += [r["l"]] * len(r["w"])
+    langs = sorted(set(y))
+    if not langs:
         return None
-    y = np.searchsorted(langs_seen, y)
-    net = Network([langs[i] for i in langs_seen])
-    net.fit(words, y)
+    net = Network(langs)
+    net.fit(words, np.searchsorted(langs, y))
     return net
 
 
