@@ -19,10 +19,11 @@ import numpy as np
 from tidewell.llm.common import kept
 
 #: Parts that one Python worker remembers, and characters of a part that is remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 #: Characters that are encoded at once.
 BLOCK = 2_000_000
 
+
 def tokenizer(path: str):
     """The tokenizer of a file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

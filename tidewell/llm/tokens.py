@@ -1,7 +1,8 @@
 """Operator 3: token counts, with overlap resynchronisation for huge documents.
 
-A document of up to HUGE characters is encoded part by part (see `encoding`).
-A longer one is encoded in chunks that overlap, with offsets. Two neighbouring
+A document of up to CHUNK characters is one chunk, encoded part by part (see
+`encoding`). Every longer one is encoded by the library in chunks of that size
+that overlap, with offsets. Two neighbouring
 chunks are spliced at a boundary that both have inside their overlap and that
 is proven stable: the text there is a space followed by a character other than
 white space, where the pretokens always break whatever stands around. Where an
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from tidewell.llm import encoding
 from tidewell.llm.common import table
 
-#: Characters beyond which a document is cut into chunks; of a chunk; of the first overlap tried. Limit of the report.
-HUGE, CHUNK, OVERLAP, LIMIT = 32_768, 16_384, 64, 512
+#: Characters of a chunk; of the first overlap tried. Limit of the report.
+CHUNK, OVERLAP, LIMIT = 8192, 64, 512
 
 
 def stable(text: str, at: int) -> bool:
@@ -76,8 +77,8 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         tok = pieces.tok
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            small = iter(pieces.encode([t if len(t) <= HUGE else "" for t in texts]))
-            n = [len(ids) // 4 if len(t) <= HUGE else count(t, tok) for t, ids in zip(texts, small, strict=True)]
+            small = iter(pieces.encode([t if len(t) <= CHUNK else "" for t in texts]))
+            n = [len(ids) // 4 if len(t) <= CHUNK else count(t, tok) for t, ids in zip(texts, small, strict=True)]
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64())], names=["k", "n_bytes", "n_tokens"])
 
