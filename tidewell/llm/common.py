@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,16 +28,25 @@ def kept(name: str, make):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder, by Spark's own reader (the folder may be in any store)."""
+    """A table of the given folder, by Spark's own reader (the folder may be in any store).
+
+    A table of fewer files than cores that Spark would read in no more tasks than cores (a small one, mostly in one row
+    group) is dealt out to all cores first; larger ones are read as they lie.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores:
+        return df.repartition(cores)
+    return df
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
