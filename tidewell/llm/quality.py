@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import SPACE_CLASS, let, table
 
 #: Phrases of boilerplate lines, in any case.
-BOILERPLATE = (
-    r"(?i)(licensed under|all rights reserved|cookies? (policy|settings|notice)|privacy policy|terms of (use|service)|accept (all )?cookies|subscribe to our|sign up for|click here|javascript (is )?(disabled|required)|powered by|copyright (\(c\)|©|[0-9]{4})|©"
-    r"|alle rechte vorbehalten|datenschutzerkl.rung|nutzungsbedingungen|cookies? akzeptieren|newsletter abonnieren|hier klicken"
-    r"|todos los derechos reservados|pol.tica de (privacidad|cookies)|aviso legal|aceptar (las )?cookies|haga clic aqu."
-    r"|tous droits r.serv.s|politique de confidentialit.|mentions l.gales|accepter les cookies|cliquez ici)"
-)
+BOILERPLATE = [
+    "licensed under", "all rights reserved", "cookie policy", "cookie settings", "cookie notice", "cookies policy", "privacy policy", "terms of use", "terms of service", "accept cookies", "accept all cookies",
+    "subscribe to our", "sign up for", "click here", "javascript disabled", "javascript required", "javascript is disabled", "javascript is required", "powered by", "copyright (c)", "copyright 19", "copyright 20", "©",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "newsletter abonnieren", "hier klicken",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "aviso legal", "aceptar cookies", "aceptar las cookies", "haga clic aquí",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies", "cliquez ici",
+]
 #: A boilerplate phrase fails a line of at most this many words; longer lines are prose that mentions it.
 BOILERPLATE_WORDS = 40
 #: Characters of the symbol count, those that the punctuation rule adds, and from how many it counts.
@@ -66,15 +67,15 @@ def _count_of(text: Column, chars: str) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more.
 
-    One sort of the windows' hashes shows whether any occurs twice (equal
-    windows have equal hashes); only then are the windows themselves sorted.
+    The number of distinct hashes of the windows shows whether any occurs twice
+    (equal windows have equal hashes); only then are the windows sorted.
     """
 
-    def sorted_windows(w: Column, key) -> Column:
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: key(i, F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    def windows(w: Column, key) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: key(i, F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def any_twice(w: Column) -> Column:
-        return let(sorted_windows(w, lambda i, *x: F.xxhash64(*x)), lambda h: F.size(F.filter(h, lambda x, i: F.coalesce(F.get(h, i + 1) == x, F.lit(False)))) > 0)
+        return let(windows(w, lambda i, *x: F.xxhash64(*x)), lambda h: F.size(F.array_distinct(h)) < F.size(h))
 
     def starts(s: Column) -> Column:
         same = lambda x, i, d: F.coalesce(F.get(s, i + d)["k"] == x["k"], F.lit(False))
@@ -83,7 +84,7 @@ def repeated_words(words: Column) -> Column:
 
     def covered(w: Column) -> Column:
         return F.aggregate(
-            let(sorted_windows(w, lambda i, *x: F.struct(F.concat_ws(" ", *x).alias("k"), i.alias("p"))), starts),
+            let(F.sort_array(windows(w, lambda i, *x: F.struct(F.concat_ws(" ", *x).alias("k"), i.alias("p")))), starts),
             F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
             lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + F.least(F.lit(3), p + 3 - a["end"])).cast("long").alias("n")),
             lambda a: a["n"],
@@ -101,7 +102,7 @@ def line_fails(line: Column, flat: Column) -> Column:
     punctuation = ((symbols >= SYMBOLS_LEAST) & (10 * symbols > solid)) | ((n_words >= UNPUNCTUATED) & ~flat.rlike(MARK))
     seps = _count_of(line, MENU)
     navigation = (seps >= MENU_LEAST) & (8 * seps >= n_words) | (n_words <= PATH_WORDS) & flat.rlike(PATH)
-    boilerplate = (n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+    boilerplate = (n_words <= BOILERPLATE_WORDS) & let(F.lower(line), lambda x: reduce(or_, [F.contains(x, F.lit(p)) for p in BOILERPLATE]))
     return (flat != "") & (punctuation | navigation | boilerplate)
 
 
@@ -194,6 +195,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).drop("text", "clean_text")
 
 
+_SQL_PHRASE = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM d),
@@ -210,7 +212,7 @@ lg AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, short ORDER BY i) A
 lr AS (SELECT *, short AND count(*) OVER (PARTITION BY doc_id, short, grp) >= {LIST_LEAST} AS listed FROM lg),
 lj AS (SELECT *, listed OR (solid > 0 AND ((sy >= {SYMBOLS_LEAST} AND 10 * sy > solid) OR (nw >= {UNPUNCTUATED} AND NOT regexp_matches(flat, '{MARK}'))
          OR (sep >= {MENU_LEAST} AND 8 * sep >= nw) OR (nw <= {PATH_WORDS} AND regexp_matches(flat, '{PATH}'))
-         OR (nw <= {BOILERPLATE_WORDS} AND regexp_matches(line, '{BOILERPLATE}')))) AS bad FROM lr),
+         OR (nw <= {BOILERPLATE_WORDS} AND ({_SQL_PHRASE})))) AS bad FROM lr),
 la AS (SELECT doc_id, count(*) FILTER (solid > 0) - count(DISTINCT line) FILTER (solid > 0) AS n_dup_lines,
          sum(length(line)) AS total, coalesce(sum(length(line)) FILTER (bad), 0) AS lost, count(*) FILTER (bad) AS n_bad FROM lj GROUP BY doc_id),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
