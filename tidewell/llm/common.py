@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,20 @@ ARROW_ROWS = 2000
 _KEPT: dict = {}
 
 
+def tidy() -> None:
+    """Drops what this Python worker keeps, and gives freed memory back to the system."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def kept(name: str, make):
     """What this Python worker keeps under a name; one thing at a time, so operators that share workers don't add up."""
     if name not in _KEPT:
-        _KEPT.clear()
+        tidy()
         _KEPT[name] = make()
     return _KEPT[name]
 

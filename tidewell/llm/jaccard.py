@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stash, table, unstash
+from tidewell.llm.common import kept, stash, table, tidy, unstash
 from tidewell.llm.components import components
 from tidewell.llm.shingle import WORDS, digest, sets, windows
 
@@ -50,7 +50,7 @@ NUM, DEN, FEW, CELL, TOGETHER = 75, 100, 8, 4_000_000, 2_000_000
 #: Prefix entries of a bucket; bits of the count table; its parts; tables that are summed at once; ids that are broadcast.
 ENTRIES, BITS, PARTS, MERGED, BROADCAST_IDS = 1_000_000, 22, 64, 64, 400_000
 #: Entries of a sketch row's batch, shingles counted at once, pairs whose bound is computed at once, words of a cell's bit table.
-FLUSH, COUNTED, BLOCK, BITSET = 500_000, 4_000_000, 8192, 1 << 23
+FLUSH, COUNTED, BLOCK, BITSET = 300_000, 1_000_000, 8192, 1 << 21
 
 
 def need(n: np.ndarray) -> np.ndarray:
@@ -239,6 +239,7 @@ def _ranks(docs: DataFrame, k: int) -> tuple[np.ndarray, int, int]:
     of rows and of bytes. The table counts every shingle of every text; its size doesn't depend on the corpus."""
 
     def run(batches):
+        tidy()
         count, wait, n, size = np.zeros(1 << BITS, np.int64), [], 0, 0
         for b in batches:
             s, _ = windows(b.column(0), k)
@@ -291,6 +292,7 @@ def _sketch(docs: DataFrame, kind: str, ranks: np.ndarray, buckets: int, k: int)
         return pa.RecordBatch.from_arrays([pa.nulls(len(cuts), kind), *(pa.nulls(len(cuts), pa.int64()) for _ in range(2)), pa.array(where[cuts]), *blobs], names=names)
 
     def run(batches):
+        tidy()
         rank, known = shared.value, set()  # digests of the classes that this task has sent
         keys, owner, wait, ids = [], [], 0, None
         for b in batches:
@@ -383,6 +385,7 @@ LINKS = "a long, b long"
 def _searched(t: pa.Table) -> pa.Table:
     """Of several cells: links that join different labels. `side` is null, or tells what is compared with what: 0 with 1,
     and 0 with 0 if the cell has no 1."""
+    kept("cells", bool)
     cell, dig, n, label, side = _numpy(t, "cell", "dig", "n", "label", "side")
     order = np.lexsort((dig, cell))
     fresh = np.ones(len(order), bool)
@@ -415,6 +418,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(dig, s) of the classes whose first document's key is in ids."""
 
     def run(batches):
+        tidy()
         for b in batches:
             own = sets(b.column(0), k)
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["dig", "s"])
