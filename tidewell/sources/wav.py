@@ -6,12 +6,15 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell import params as P
 from tidewell.functions.signal import upto, zeros
+from tidewell.sources.files import listing
 
 
 def wav_bytes(pcm: np.ndarray, rate: int = P.SAMPLE_RATE) -> bytes:
@@ -27,7 +30,7 @@ def wav_samples(raw: bytes, rate: int = P.SAMPLE_RATE) -> np.ndarray:
     while at + 8 <= len(raw):
         name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
         body = raw[at + 8 : at + 8 + size]
-        if name == b"fmt ":
+        if name == b"fmt " and len(body) >= 16:
             form = struct.unpack_from("<HHIIHH", body)
         elif name == b"data":
             data = body
@@ -50,17 +53,28 @@ def decode_wav(raw: pd.Series) -> pd.Series:
 
 
 def read_wavs(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, samples) of a folder's visible WAV files, sorted by path; a folder without any gives no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!.]*.wav").load(folder)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), decode_wav("content").alias("samples")).orderBy("path")
-
-
-def read_manifest(spark: SparkSession, sources: list[tuple[str, int, str]]) -> DataFrame:
-    """(path, label_index, source) of labelled folders."""
-    out = None
+    """(path, name, samples) of a folder's visible WAV files, sorted by path; a folder without any, or none at all, gives no rows."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, name string, samples array<double>")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    return files.select("path", name, "content").where(~F.col("name").startswith(".")).select("path", "name", decode_wav("content").alias("samples")).orderBy("path")
+
+
+def read_manifest(spark: SparkSession, sources: list[tuple[str, int, str]], words: list[tuple[str, int, str]] = ()) -> DataFrame:
+    """(path, label_index, source, word) of labelled folders; `words` are folders with one folder of files a word, whose
+    name becomes `word` (those that begin with _ or . are left out). Folders that aren't there add nothing."""
+    out = spark.createDataFrame([], "path string, label_index int, source string, word string")
+    none = F.lit(None).cast("string")
     for folder, label, source in sources:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "[!.]*.wav").load(folder).select("path", F.lit(label).alias("label_index"), F.lit(source).alias("source"))
-        out = files if out is None else out.unionByName(files)
+        out = out.unionByName(listing(spark, folder).select("path", F.lit(label).alias("label_index"), F.lit(source).alias("source"), none.alias("word")))
+    word = F.element_at(F.split("path", "/"), -2)
+    for folder, label, source in words:
+        files = listing(spark, f"{folder.rstrip('/')}/*").select("path", F.lit(label).alias("label_index"), F.lit(source).alias("source"), word.alias("word"))
+        out = out.unionByName(files.where(~F.col("word").rlike("^[_.]")))
     return out
 
 
@@ -68,15 +82,17 @@ MANIFEST = "file STRING, label STRING, mic STRING, session STRING, n INT, prompt
 
 
 def read_capture_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The CSV manifest; of rows of one file the last wins (redone takes append rows)."""
-    rows = spark.read.schema(MANIFEST).csv(path, header=True).withColumn("_o", F.monotonically_increasing_id())
-    w = Window.partitionBy("file").orderBy(F.desc("_o"))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_o", "_r")
+    """The CSV manifest; of rows of one file the last wins (redone takes append rows): by time of recording, then by the
+    time the part file was written and the place in it."""
+    rows = spark.read.schema(MANIFEST).csv(path, header=True)
+    rows = rows.withColumns({"_t": F.col("_metadata.file_modification_time"), "_f": F.col("_metadata.file_path"), "_o": F.monotonically_increasing_id()})
+    w = Window.partitionBy("file").orderBy(F.col("recorded_at").desc_nulls_last(), F.desc("_t"), F.desc("_f"), F.desc("_o"))
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_t", "_f", "_o", "_r")
 
 
 def read_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
     """(path, m) of text matrices: lines of comma-separated values, or one flat list, as rows of `width`."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     flat = F.transform(F.filter(F.split(F.trim("value"), r"[,\s]+"), lambda x: x != ""), lambda x: x.cast("double"))
     m = F.transform(upto(F.floor(F.size("f") / width)), lambda i: F.slice("f", i * width + 1, F.lit(width)))
     return text.select("path", flat.alias("f")).select("path", F.when(F.size("f") % width == 0, m).otherwise(F.raise_error(F.lit("the matrix has another width"))).alias("m"))
@@ -94,9 +110,31 @@ def chunks(df: DataFrame, key: str, size: int = P.HOP_SAMPLES) -> DataFrame:
     return rows.select(key, "chunk", F.size("c").alias("n_samples"), F.concat("c", zeros(F.lit(size) - F.size("c"))).alias("samples"))
 
 
-def write_wavs(df: DataFrame, folder: str) -> None:
-    """Writes (name, wav) rows as files of a shared folder, one task each partition, through Spark's file system."""
-    df.select("name", F.base64("wav").alias("b")).write.mode("overwrite").partitionBy("name").text(folder)
+def write_wavs(df: DataFrame, folder: str) -> DataFrame:
+    """Writes (name, wav) rows as WAV files of a folder (a URI that all executors share); what is there already stays.
+    Returns (name, bytes) of the files. The tasks write; a task that runs twice writes the same bytes to the same names,
+    each file under a name of its own first, then renamed.
+    """
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        at, base = fs.FileSystem.from_uri(folder)
+        at.create_dir(base, recursive=True)
+        for b in batches:
+            names, sizes = b.column(0).to_pylist(), []
+            for name, raw in zip(names, b.column(1).to_pylist(), strict=True):
+                part = f"{base}/.{name}-{uuid.uuid4().hex}"
+                with at.open_output_stream(part) as f:
+                    f.write(raw)
+                at.move(part, f"{base}/{name}")
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    out = df.select("name", F.col("wav").cast("binary")).mapInArrow(run, "name string, bytes long")
+    return df.sparkSession.createDataFrame(out.collect(), out.schema)  # names and sizes alone
 
 
 def append_csv(df: DataFrame, folder: str) -> None:
