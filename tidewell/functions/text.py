@@ -156,6 +156,48 @@ def display_date(d: Column) -> Column:
     return F.date_format(d, "d MMM yyyy")
 
 
+def shown_date(text: Column) -> Column:
+    """A text yyyy-mm-dd as a shown date; any other as it is, null as empty."""
+    known = text.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])-[0-9]{2}$")
+    day = F.regexp_replace(F.substring(text, 9, 2), "^0", "")
+    month = F.element_at(F.array(*map(F.lit, "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())), F.when(known, F.substring(text, 6, 2).cast("int")).otherwise(1))
+    return F.when(known, F.concat_ws(" ", day, month, F.substring(text, 1, 4))).otherwise(F.coalesce(text, F.lit("")))
+
+
+def clock(at: Column) -> Column:
+    """Hours, minutes, seconds and milliseconds of a time."""
+    return F.date_format(at, "HH:mm:ss.SSS")
+
+
+def without_annotations(text: Column) -> Column:
+    """Without internal notes in parentheses."""
+    return F.trim(F.regexp_replace(text, r"(?i)\s*\((todo|fixme|tbd|verify)\b[^)]*\)", ""))
+
+
+_STATUS = r"^([^(]+?)\s*\((.+)\)\s*$"
+
+
+def split_status(status: Column) -> tuple[Column, Column]:
+    """Head, and what stands in parentheses at the end."""
+    return F.when(status.rlike(_STATUS), F.regexp_extract(status, _STATUS, 1)).otherwise(status), F.regexp_extract(status, _STATUS, 2)
+
+
+def status_tone(head: Column) -> Column:
+    low = F.lower(head)
+    return F.when(low.startswith("operational"), "good").when(low.startswith("in development") | F.contains(low, F.lit("lost")), "warn").otherwise("")
+
+
+def size_tier(text: Column) -> Column:
+    """Letter size for a text's length."""
+    n = F.length(text)
+    return F.when(n <= 32, 8.1).when(n <= 64, 7.0).when(n <= 110, 5.9).otherwise(5.0)
+
+
+def merged(entity: Column, fields: list[str], **more: Column) -> Column:
+    """An entity's record with further fields."""
+    return F.struct(*[entity[f].alias(f) for f in fields], *[v.alias(k) for k, v in more.items()])
+
+
 def escape_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(a), F.lit(b))

@@ -27,6 +27,32 @@ def newest(rows: DataFrame, n: int, by: str, order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def resumed(rows: DataFrame, old: DataFrame, by: list[str], order: list[str], number: str) -> DataFrame:
+    """New rows numbered within their groups, going on from the largest number that the group has in `old`."""
+    top = old.groupBy(*by).agg(F.max(number).alias("_top"))
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.join(top, by, "left").withColumn(number, (F.coalesce("_top", F.lit(0)) + n).cast("long")).drop("_top")
+
+
+def finished(rows: DataFrame, begins, ends, by: str, order: str) -> DataFrame:
+    """(by, session, first, end, n) of the sessions that have an end mark; a new begin discards an unfinished one."""
+    s = by_marks(rows, begins, by, [order])
+    g = s.groupBy(by, "session").agg(F.min(order).alias("first"), F.min(F.when(ends, F.col(order))).alias("end"), F.count("*").alias("n"))
+    return g.where("end IS NOT NULL")
+
+
+def shown_state(rows: DataFrame, now, by: str, order: list[str], at: str, holds: dict[str, float], idle: str = "idle") -> DataFrame:
+    """With `state`: the last state set, which falls back to idle once its hold (seconds) is over. now: the state that a row sets, or null."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    state, since = F.last(now, ignorenulls=True).over(w), F.last(F.when(now.isNotNull(), us), ignorenulls=True).over(w)
+    out = rows.withColumns({"_state": state, "_since": since})
+    over = F.lit(False)
+    for name, seconds in holds.items():
+        over = over | ((F.col("_state") == name) & (us - F.col("_since") >= int(seconds * 1e6)))
+    return out.withColumn("state", F.when(over, F.lit(idle)).otherwise(F.coalesce("_state", F.lit(idle)))).drop("_state", "_since")
+
+
 class Machine:
     """IDLE until k of the last `window` scores exceed theta and `refractory` idle hops have gone by since the last wake;
     then STREAMING until the level stayed below `silence` for `quiet` hops or `most` hops are over. Idle hops alone count
