@@ -38,7 +38,7 @@ SPOKEN = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight"
 
 
 def words_in(x: Column, words) -> Column:
-    return F.array_contains(F.array(*map(F.lit, words)), x)
+    return x.isin(*words) if words else F.lit(False)
 
 
 def tokens(text: Column) -> Column:
@@ -52,10 +52,20 @@ def number_tokens(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.coalesce(F.try_element_at(table, w), w))
 
 
+def content_of(tokens_: Column) -> Column:
+    """The tokens without stop words."""
+    return F.filter(tokens_, lambda w: ~words_in(w, STOPWORDS))
+
+
+def numbers_of(tokens_: Column) -> Column:
+    """The distinct numbers of one or two digits among the tokens."""
+    return F.array_distinct(F.filter(tokens_, lambda w: (F.length(w) <= 2) & w.rlike("^[0-9]{1,2}$")))
+
+
 def content_tokens(text: Column, digits: bool = True) -> Column:
     """Tokens without stop words; repeated tokens stay."""
     own = number_tokens(text) if digits else F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z']+)"), F.lit(1))
-    return F.filter(own, lambda w: ~words_in(w, STOPWORDS))
+    return content_of(own)
 
 
 def content_text(text: Column, digits: bool = True) -> Column:
@@ -64,7 +74,7 @@ def content_text(text: Column, digits: bool = True) -> Column:
 
 def mission_numbers(text: Column) -> Column:
     """Distinct numbers of one or two digits."""
-    return F.array_distinct(F.filter(number_tokens(text), lambda w: w.rlike("^[0-9]{1,2}$")))
+    return numbers_of(number_tokens(text))
 
 
 def numbers_agree(query: Column, entity: Column) -> Column:
@@ -109,6 +119,17 @@ def ngrams(tokens_: Column, n: int) -> Column:
     return let(tokens_, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda j: F.array_join(F.slice(t, j + 1, F.lit(n)), " "))).otherwise(none))
 
 
+def gram_hashes(tokens_: Column, n: int) -> Column:
+    """128-bit hashes (pairs of 64 bits) of the n-token phrases; one that repeats is there each time."""
+
+    def hashed(t: Column) -> Column:
+        words = lambda j: [F.get(t, j + i) for i in range(n)]
+        pair = lambda j: F.struct(F.xxhash64(*words(j)).alias("h"), F.xxhash64(F.lit(n), *words(j)).alias("g"))
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), pair))
+
+    return let(tokens_, hashed)
+
+
 def strip_unknown(text: Column) -> Column:
     """Without the recogniser's unknown marks; null if nothing is left."""
     return F.nullif(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[unk\]", " ")), F.lit(""))

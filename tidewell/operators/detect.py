@@ -2,13 +2,17 @@
 
 A stream is rows (stream_id, hop, prob). All windows are partitioned by stream.
 Refractory suppression depends on its own output, so no window function gives
-it; it is a fold. A candidate that lies at least `refractory` hops after the one
-before always fires, so candidates fall into islands that don't depend on each
-other: the fold runs over one island at a time, never over a whole stream.
+it; it is a fold over a stream's candidates in order. They come in Arrow batches
+sorted by hop, and the last fire alone is held: time and memory don't depend on
+how dense the candidates are. A stream is one group; streams are spread.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +37,28 @@ def candidates(stream: DataFrame, theta, k: int, window: int, centred: bool = Fa
     return votes(stream, theta, window, centred, by).where(F.col("n_over") >= k)
 
 
+def fire_times(hops: np.ndarray, refractory_hops: int, last: int | None = None) -> np.ndarray:
+    """Of sorted candidates, those that fire: each the first that is at least `refractory_hops` after the last fire."""
+    out, i = [], 0 if last is None else int(np.searchsorted(hops, last + refractory_hops))
+    while i < len(hops):
+        out.append(hops[i])
+        i = max(i + 1, int(np.searchsorted(hops, hops[i] + refractory_hops)))
+    return np.array(out, hops.dtype)
+
+
 def refractory(cand: DataFrame, hops: int, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """(by..., hop) of the candidates that fire: the first, and each at least `hops` after the last that fired."""
-    w = Window.partitionBy(*by).orderBy("hop")
-    begins = F.coalesce(F.col("hop") - F.lag("hop").over(w) >= hops, F.lit(True)).cast("int")
-    isles = cand.select(*by, "hop", begins.alias("begins")).withColumn("isle", F.sum("begins").over(w))
-    folded = isles.groupBy(*by, "isle").agg(F.array_sort(F.collect_list("hop")).alias("hops"))
-    none = F.array().cast("array<int>")
-    fire = F.aggregate(F.col("hops"), none, lambda a, h: F.when((F.size(a) == 0) | (h - F.element_at(a, -1) >= hops), F.concat(a, F.array(h))).otherwise(a))
-    return folded.select(*by, F.explode(fire).alias("hop"))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for b in batches:
+            got = fire_times(b["hop"].to_numpy(), hops, last)
+            last = got[-1] if len(got) else last
+            yield b.iloc[: len(got)].assign(hop=got)
+
+    run.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    rows = cand.select(*by, "hop").repartition(*by).sortWithinPartitions(*by, "hop")
+    return rows.groupBy(*by).applyInPandas(run, rows.schema)
 
 
 def detect(stream: DataFrame, theta=P.THETA, k: int = P.K, window: int = P.WINDOW, hops: int = P.REFRACTORY, centred: bool = False, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
@@ -55,7 +72,6 @@ def score(fires: DataFrame, intervals: DataFrame, hours: DataFrame, by: tuple[st
     end_hop), hours (by..., hours). Joins are equal on the stream, so intervals
     of other streams are never compared.
     """
-    on = ["stream_id"]
     inside = (F.col("hop") >= F.col("start_hop")) & (F.col("hop") < F.col("end_hop"))
     f, v = fires.alias("f"), intervals.alias("v")
     same = (F.col("f.stream_id") == F.col("v.stream_id")) & inside
@@ -69,7 +85,6 @@ def score(fires: DataFrame, intervals: DataFrame, hours: DataFrame, by: tuple[st
     out = out.fillna(0, ["n_fires", "n_false", "n_found"])
     missed = F.col("n_keywords") - F.col("n_found")
     frr = F.when(F.col("n_keywords") > 0, missed / F.col("n_keywords")).otherwise(0.0)
-    del on
     return out.select(*by, (F.col("n_false") / F.greatest("hours", F.lit(1e-9))).alias("far_per_hour"), frr.alias("frr"), (1 - frr).alias("tpr"), "n_fires", "n_keywords", "n_false", missed.alias("n_missed"))
 
 

@@ -275,7 +275,7 @@ def utterance_capture(spark, d):
     return captures(stream(spark, d).withColumn("db", 20 * F.log10("prob")))
 
 
-@query()
+@query(f"WITH RECURSIVE {_S}, {_votes(THETA, K, -4, 0, W)}, {_fires('cand', R)} SELECT stream_id, count(*) AS n_stream, count(*) AS n_batch, true AS same FROM fires GROUP BY stream_id")
 def batch_equals_stream(spark, d):
     """Fires of the streaming detector over the table as a stream, beside the batch ones: both and their agreement by stream."""
     from tidewell.streaming.detector import compare

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import islands, scorer, splits
 from tidewell.plans.detection import _S, stream, table
+from tidewell.streaming import counters, detector, machines
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -160,6 +163,33 @@ def parity_join(spark, d):
     return a.join(b, ["stream_id", "hop"], "left").groupBy("stream_id").agg(F.count("*").alias("n"), F.count("other").alias("n_both"), F.round(F.max(F.abs(F.col("prob") - F.col("other"))), 6).alias("worst"))
 
 
+def _replayed(spark, rows: DataFrame, files_: int = 5) -> DataFrame:
+    """A table as a stream of several files, one a micro-batch; the hops of every stream go on from file to file."""
+    path = f"{counters.shared_folder(spark)}/tidewell-stream/{uuid.uuid4().hex}"
+    part = F.least(F.floor(F.col("hop") / 15), F.lit(files_ - 1)).cast("int")
+    for i in range(files_):  # a handful; in order of time, which the file source follows
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query()
+def utterance_fsm_live(spark, d):
+    """The two-state machine as a stream of several micro-batches; wakes and ends put together afterwards."""
+    rows = stream(spark, d).select("stream_id", "hop", "prob", (F.col("prob") / 500).alias("level"))
+    marks = detector.run_to_table(machines.utterance_marks(_replayed(spark, rows), theta=40.0, k=2, window=3, refractory=5, silence=0.05, quiet=3, most=20))
+    n = F.row_number().over(Window.partitionBy("stream_id", "what").orderBy("hop")).cast("long") - 1
+    marks = marks.withColumn("utterance", n)
+    wakes = marks.where("what = 'wake'").select("stream_id", "utterance", F.col("hop").alias("wake_hop"), "prob")
+    ends = marks.where("what = 'end'").select("stream_id", "utterance", F.col("hop").alias("end_hop"))
+    return wakes.join(ends, ["stream_id", "utterance"], "left").select("stream_id", "utterance", "wake_hop", "end_hop", "prob")
+
+
+@query()
+def utterance_capture_live(spark, d):
+    rows = stream(spark, d).select("stream_id", "hop", (20 * F.log10("prob")).alias("db"))
+    return detector.run_to_table(machines.captured(_replayed(spark, rows)))
+
+
 #: The two-state machine by recursion, one hop at a time.
 SQL["utterance_fsm"] = f"""
 WITH RECURSIVE {_S},
@@ -187,3 +217,5 @@ m AS (SELECT DISTINCT stream_id, CAST(-1 AS INT) AS hop, CAST(NULL AS INT) AS fi
         FROM (SELECT m.stream_id, l.hop, db, first, voiced, silent, free, CASE WHEN db >= 37 THEN l.hop ELSE voiced END AS nv, CASE WHEN db >= 37 THEN 0 ELSE silent + 1 END AS ns, l.hop - first + 1 >= 40 AS over
               FROM m JOIN l ON l.stream_id = m.stream_id AND l.hop = m.hop + 1)))
 SELECT stream_id, CAST(of AS BIGINT) AS first_hop, CAST(ol AS BIGINT) AS last_hop, hit AS hit_max FROM m WHERE of IS NOT NULL"""
+
+SQL["utterance_fsm_live"], SQL["utterance_capture_live"] = SQL["utterance_fsm"], SQL["utterance_capture"]

@@ -12,7 +12,7 @@ from tidewell.functions.similarity import metaphone_udf, ratio_udf, token_set_ra
 from tidewell.operators import sessions
 from tidewell.operators.match import Matcher
 from tidewell.plans.detection import table
-from tidewell.sources import generate, wav
+from tidewell.sources import files, generate, wav
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -37,8 +37,8 @@ _NUM = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.NUMBERS.items
 SELECT doc_id, CAST(len(c) AS INT) AS n_content, array_to_string(list_slice(c, 1, 5), ' ') AS head, CAST(len(list_distinct(list_filter(t, lambda x: regexp_matches(x, '^[0-9]{{1,2}}$')))) AS INT) AS n_numbers
 FROM (SELECT doc_id, t, list_filter(t, lambda x: NOT list_contains({_LIST(T.STOPWORDS)}, x)) AS c FROM (SELECT doc_id, list_transform({_TOK}, lambda x: {_NUM}) AS t FROM documents))""")
 def content_tokens(spark, d):
-    x = F.col("text")
-    c = table(spark, d, "documents").select("doc_id", T.content_tokens(x).alias("c"), T.mission_numbers(x).alias("m"))
+    t = files.spread(table(spark, d, "documents")).select("doc_id", T.number_tokens(F.col("text")).alias("t"))
+    c = t.select("doc_id", T.content_of(F.col("t")).alias("c"), T.numbers_of(F.col("t")).alias("m"))
     return c.select("doc_id", F.size("c").alias("n_content"), F.array_join(F.slice("c", 1, 5), " ").alias("head"), F.size("m").alias("n_numbers"))
 
 
@@ -61,9 +61,11 @@ g AS (SELECT k, id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o ||
 u AS (SELECT DISTINCT * FROM g WHERE phrase IS NOT NULL)
 SELECT a.id AS doc_id, b.id AS item_id, count(*) AS n FROM u a JOIN u b ON a.k = 0 AND b.k = 1 AND a.phrase = b.phrase GROUP BY ALL""")
 def phrase_match(spark, d):
-    """Four-word phrases of items in documents, by an equal join on the phrase."""
-    grams = lambda df, k: df.select(k, F.explode(F.array_distinct(T.ngrams(T.tokens(F.col("text")), 4))).alias("phrase"))
-    return grams(table(spark, d, "documents"), "doc_id").join(grams(table(spark, d, "benchmark"), "item_id"), "phrase").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+    """Four-word phrases of items in documents, by an equal join on the phrases' 128-bit hashes; the items' side is broadcast
+    while Spark finds it small enough."""
+    grams = lambda df, k: df.select(k, F.inline(T.gram_hashes(T.tokens(F.col("text")), 4)))
+    hits = grams(files.spread(table(spark, d, "documents")), "doc_id").join(grams(table(spark, d, "benchmark"), "item_id").distinct(), ["h", "g"])
+    return hits.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 'when was pslv launched' WHEN 1 THEN 'a bc de' WHEN 2 THEN 'abx' ELSE 'abc of xy Z' END AS collapsed FROM supplier")
@@ -250,7 +252,7 @@ def matrix_dump(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.sha2(text, 256).alias("digest"))
 
 
-@query()
+@query("SELECT DISTINCT p_size, CAST(32044 AS INT) AS bytes, true AS same FROM part")
 def wav_roundtrip(spark, d):
     """Tones as WAV bytes and back: sample counts and whether all samples agree."""
     t = _tones(spark, d).withColumn("wav", wav.encode_wav("pcm"))
@@ -290,11 +292,37 @@ def layered_match(spark, d):
     return Matcher(_kb(spark, d)).match(_asks(spark, d)).select("query_id", "text", "id", F.round("confidence", 6).alias("confidence"), "layer")
 
 
-@query()
+def _sql_lcs(a: str, b: str) -> str:
+    """Longest common subsequence of two short strings, with the table's rows as bits."""
+    mask = f"coalesce(list_sum(list_transform(range(0, length({a})), lambda i: CASE WHEN substr({a}, CAST(i AS INT) + 1, 1) = c THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END)), 0)"
+    step = f"((r + (r & CAST({mask} AS HUGEINT))) | (r - (r & CAST({mask} AS HUGEINT)))) & ((CAST(1 AS HUGEINT) << CAST(length({a}) AS INT)) - 1)"
+    return f"(length({a}) - bit_count(list_reduce(string_split({b}, ''), lambda r, c: {step}, (CAST(1 AS HUGEINT) << CAST(length({a}) AS INT)) - 1)))"
+
+
+def _sql_ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE 200.0 * {_sql_lcs(a, b)} / (length({a}) + length({b})) END)"
+
+
+_SPLIT = "list_distinct(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT p_name, p_type, lower(p_type) AS lt, p_name || ' ' || p_brand AS wide FROM part),
+t AS (SELECT p_name, p_type, p_name AS a, lt AS b, wide, {_SPLIT.format(x='wide')} AS x, {_SPLIT.format(x="lt || ' ' || p_name")} AS y FROM p),
+u AS (SELECT *, array_to_string(list_sort(list_filter(x, lambda w: list_contains(y, w))), ' ') AS cm, array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS l, array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS r FROM t),
+v AS (SELECT *, CASE WHEN cm = '' THEN l WHEN l = '' THEN cm ELSE cm || ' ' || l END AS one, CASE WHEN cm = '' THEN r WHEN r = '' THEN cm ELSE cm || ' ' || r END AS other FROM u)
+SELECT p_name, p_type, wide, round({_sql_ratio('a', 'b')}, 4) AS ratio,
+  round(CASE WHEN cm <> '' AND (l = '' OR r = '') THEN 100.0 WHEN cm = '' THEN {_sql_ratio('one', 'other')} ELSE greatest({_sql_ratio('one', 'other')}, {_sql_ratio('cm', 'one')}, {_sql_ratio('cm', 'other')}) END, 4) AS token_set FROM v""")
 def fuzzy_match(spark, d):
-    """Similarities and codes of names and types."""
-    p = table(spark, d, "part").select("p_name", "p_type").distinct()
-    return p.select("p_name", "p_type", F.round(ratio_udf("p_name", F.lower("p_type")), 4).alias("ratio"), F.round(token_set_ratio_udf("p_name", F.concat_ws(" ", "p_name", F.lower("p_type"))), 4).alias("token_set"), metaphone_udf("p_name").alias("code"))
+    """Similarities of names and types."""
+    p = table(spark, d, "part").select("p_name", "p_type", F.concat_ws(" ", "p_name", "p_brand").alias("wide")).distinct()
+    low = F.lower("p_type")
+    return p.select("p_name", "p_type", "wide", F.round(ratio_udf("p_name", low), 4).alias("ratio"), F.round(token_set_ratio_udf("wide", F.concat_ws(" ", low, "p_name")), 4).alias("token_set"))
+
+
+@query()
+def sound_codes(spark, d):
+    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct().select("word", metaphone_udf("word").alias("code"))
 
 
 @query()
@@ -330,7 +358,10 @@ def realism_conditions(spark, d):
     return rows.select("kind", "condition", "value", y.alias("y")).select("kind", "condition", "value", F.size("y").alias("n"), F.round(S.dbfs(F.col("y")), 3).alias("dbfs"))
 
 
-@query()
+@query("""
+WITH k AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+c AS (SELECT a.vec_id AS query_id, 'label' || k.label AS id, CAST(k.label AS INT) AS ord, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) AS c FROM embeddings a, k)
+SELECT query_id, id, round(c, 6) AS confidence FROM c WHERE c >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, ord) = 1""")
 def semantic_match(spark, d):
     """Nearest entity by cosine above a threshold: labels' first vectors stand for entities, all vectors for queries."""
     e = table(spark, d, "embeddings")

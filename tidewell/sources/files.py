@@ -14,6 +14,13 @@ def read_json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than cores that Spark would read in no more tasks than cores (a small table, mostly in one row
+    group) dealt out to all cores; any larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores else df
+
+
 def listing(spark: SparkSession, folder: str, pattern: str = "*.wav") -> DataFrame:
     """(path, name, length) of a folder's visible files, one level; a folder that isn't there has none."""
     try:
