@@ -161,3 +161,22 @@ def test_layers(spark):
     }
     got = Matcher(kb).match(spark.createDataFrame([(i, t) for i, t in enumerate(asks)], "query_id int, text string")).collect()
     assert {r.text: (r.id, r.layer) for r in got} == asks
+
+
+def test_refractory_over_batches(spark):
+    """Dense candidates of several groups, in Arrow batches that cut groups anywhere, against a plain loop."""
+    from tidewell.operators import detect
+
+    r = np.random.default_rng(6)
+    rows = sorted({(float(t), int(g), int(h)) for t, g, h in zip(r.integers(0, 3, 900), r.integers(0, 5, 900), r.integers(0, 200, 900), strict=True)})
+    want, last = set(), {}
+    for t, g, h in rows:
+        if (t, g) not in last or h - last[t, g] >= 7:
+            last[t, g] = h
+            want.add((t, g, h))
+    df = spark.createDataFrame(rows, "theta double, stream_id int, hop int").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("3", "40", was):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert {tuple(x) for x in detect.refractory(df, 7, ("theta", "stream_id")).collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)

@@ -12,7 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,28 +38,47 @@ def candidates(stream: DataFrame, theta, k: int, window: int, centred: bool = Fa
     return votes(stream, theta, window, centred, by).where(F.col("n_over") >= k)
 
 
-def fire_times(hops: np.ndarray, refractory_hops: int, last: int | None = None) -> np.ndarray:
-    """Of sorted candidates, those that fire: each the first that is at least `refractory_hops` after the last fire."""
-    out, i = [], 0 if last is None else int(np.searchsorted(hops, last + refractory_hops))
-    while i < len(hops):
-        out.append(hops[i])
-        i = max(i + 1, int(np.searchsorted(hops, hops[i] + refractory_hops)))
-    return np.array(out, hops.dtype)
+def fire_times(group: np.ndarray, hops: np.ndarray, refractory_hops: int, first: int = 0) -> np.ndarray:
+    """Positions of the candidates that fire, of candidates sorted by (group, hop): from each fire the next is the first that
+    is late enough, or the next group's first. `first` is the first that may fire."""
+    place = group * (int(hops.max()) + refractory_hops + 1) + hops if len(hops) else hops
+    after = np.maximum(np.searchsorted(place, place + refractory_hops), np.arange(1, len(place) + 1)).tolist()
+    out, i = [], first
+    while i < len(after):
+        out.append(i)
+        i = after[i]
+    return np.array(out, np.int64)
 
 
 def refractory(cand: DataFrame, hops: int, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """(by..., hop) of the candidates that fire: the first, and each at least `hops` after the last that fired."""
+    n = len(by)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, None
         for b in batches:
-            got = fire_times(b["hop"].to_numpy(), hops, last)
-            last = got[-1] if len(got) else last
-            yield b.iloc[: len(got)].assign(hop=got)
+            if not b.num_rows:
+                continue
+            at = b.column(n).to_numpy().astype(np.int64)
+            new = np.zeros(len(at), bool)
+            for c in b.columns[:n]:
+                a, z = c[1:], c[:-1]
+                other = pc.or_kleene(pc.not_equal(a, z), pc.not_equal(a.is_null(), z.is_null()))
+                new[1:] |= pc.fill_null(other, False).to_numpy(zero_copy_only=False)
+            group = np.cumsum(new)
+            key, first = tuple(c[0].as_py() for c in b.columns[:n]), 0
+            if key == last_key:
+                mine = int(np.searchsorted(group, 1))
+                first = int(np.searchsorted(at[:mine], last + hops))
+            fires = fire_times(group, at, hops, first)
+            end = tuple(c[b.num_rows - 1].as_py() for c in b.columns[:n])
+            if len(fires) and group[fires[-1]] == group[-1]:
+                last = int(at[fires[-1]])
+            last_key = end
+            yield b.take(pa.array(fires))
 
-    run.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     rows = cand.select(*by, "hop").repartition(*by).sortWithinPartitions(*by, "hop")
-    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def detect(stream: DataFrame, theta=P.THETA, k: int = P.K, window: int = P.WINDOW, hops: int = P.REFRACTORY, centred: bool = False, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
