@@ -28,9 +28,9 @@ def test_lcs(a, b):
 
 
 def test_similarities():
-    assert ratio("chandrian", "chandrayaan") == pytest.approx(80.0)
+    assert ratio("harbor", "harbour") == pytest.approx(1200 / 13)
     assert ratio("", "") == 100 and ratio("a", "") == 0
-    assert token_set_ratio("mars orbiter", "orbiter mars mission") == 100
+    assert token_set_ratio("green valley", "valley green farm") == 100
     assert token_set_ratio("", "a") == 0
     assert [metaphone(w) for w in ("knight", "moon", "mean", "school", "physics", "which", "")] == ["NT", "MN", "MN", "SKL", "FSKS", "WX", ""]
 
@@ -42,6 +42,37 @@ def test_mfcc_of_silence_and_shape():
     assert abs(m[0, :, 1:]).max() < 1e-3
 
 
+def plain_mfcc(pcm):
+    """The definition step by step: pre-emphasis, Hann frames, a plain DFT, mel triangles, log, DCT-II."""
+    x = np.asarray(pcm, float) / 32768
+    x = np.concatenate([x[:1], x[1:] - 0.97 * x[:-1]])
+    n = np.arange(640)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * n / 639)
+    k = np.arange(513)
+    turn = np.exp(-2j * np.pi * np.outer(n, k) / 1024)
+    to_mel, to_hz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [int(np.floor(1025 * to_hz(m) / 16000)) for m in np.linspace(to_mel(20), to_mel(4000), 42)]
+    out = []
+    for f in range(49):
+        power = np.abs((x[320 * f : 320 * f + 640] * hann) @ turn) ** 2
+        logs = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:], strict=False):
+            up = sum(power[i] * (i - lo) / (mid - lo) for i in range(lo, mid))
+            down = sum(power[i] * (hi - i) / (hi - mid) for i in range(mid, hi))
+            logs.append(np.log(up + down + 1e-6))
+        out.append([sum(v * np.cos(np.pi / 40 * (j + 0.5) * c) for j, v in enumerate(logs)) * np.sqrt((1 if c == 0 else 2) / 40) for c in range(10)])
+    return np.array(out)
+
+
+def test_mfcc_against_the_definition():
+    t = np.arange(16000)
+    clips = [8000 * np.sin(2 * np.pi * 440 * t / 16000), 8000 * np.sin(2 * np.pi * (100 * t / 16000 + 1950 * (t / 16000) ** 2)), np.where(t * 500 // 16000 % 2 == 0, 6000, -6000), np.random.default_rng(1).integers(-9000, 9000, 16000)]
+    clips = np.stack([np.rint(c).astype(np.int16) for c in clips])
+    got = mfcc.mfcc_of(clips)
+    for i, c in enumerate(clips):
+        assert np.abs(got[i] - plain_mfcc(c)).max() < 5e-3
+
+
 def test_dct_is_orthonormal():
     _, dct, _ = mfcc.tables()
     assert np.abs(dct @ dct.T - np.eye(10)).max() < 1e-4
@@ -67,28 +98,40 @@ def test_signal_functions(spark):
     assert row.pre == [1.0, -1.5, 1.0] and sum(row.p) == pytest.approx(1)
 
 
-TEXTS = ["When was p s l v launched", "a b  c", "x", "", "bc d e f gh", "p s l v", "a1 b c"]
+TEXTS = ["Where is the b c d depot", "a b  c", "x", "", "bc d e f gh", "q r s t", "a1 b c", "I a b"]
+
+
+def plain_collapse(text):
+    """Token by token: a lower-case letter that follows another one is put against it."""
+    out, before = "", None
+    for word, space in re.findall(r"(\S+)(\s*)", text):
+        single = re.fullmatch("[a-z]", word)
+        if single and before:
+            out = out.rstrip()
+        before = single
+        out += word + space
+    return out
 
 
-def test_acronyms_equal_the_pattern(spark):
+def test_acronyms_against_a_loop(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in TEXTS], "t string").select(T.collapse_acronyms(F.col("t"))).collect()]
-    assert got == [re.sub(r"\b(?:[a-z]\s+){1,}[a-z]\b", lambda m: re.sub(r"\s+", "", m[0]), t) for t in TEXTS]
+    assert got == [plain_collapse(t) for t in TEXTS]
 
 
 def test_text_functions(spark):
     r = spark.range(1).select(
-        T.content_tokens(F.lit("Tell me about Chandrayaan-three the the moon")).alias("c"),
+        T.content_tokens(F.lit("Tell me about Brightwater-three the the bridge")).alias("c"),
         T.mission_numbers(F.lit("mission two and 2 of 2008, 13")).alias("m"),
-        T.proper_tokens(F.lit("India's Vikram lander of it")).alias("p"),
-        T.spelled(F.lit("LVM3 GSLV12 2008")).alias("s"),
+        T.proper_tokens(F.lit("India's Delphin lander of it")).alias("p"),
+        T.spelled(F.lit("ABC3 WXYZ12 2008")).alias("s"),
         T.speaker_key(F.lit("Positive_x_NOVA1_003")).alias("k"),
         T.speaker_key(F.lit("abc_nohash_0")).alias("k2"),
         T.speaker_key(F.lit("noise")).alias("k3"),
         T.strip_unknown(F.lit(" [unk] ")).alias("u"),
         T.phrase_in(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit("b"), F.lit("c"))).alias("in"),
     ).first()
-    assert r.c == ["chandrayaan", "3", "moon"] and r.m == ["2", "13"] and r.p == ["vikram"]
-    assert r.s == ["lvm", "three", "gslv", "twelve", "2008"] and (r.k, r.k2, r.k3) == ("nova1", "abc", "") and r.u is None and r["in"]
+    assert r.c == ["brightwater", "3", "bridge"] and r.m == ["2", "13"] and r.p == ["delphin"]
+    assert r.s == ["abc", "three", "wxyz", "twelve", "2008"] and (r.k, r.k2, r.k3) == ("nova1", "abc", "") and r.u is None and r["in"]
 
 
 def plain_fires(probs, theta, k, w, r):

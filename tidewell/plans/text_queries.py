@@ -68,11 +68,15 @@ def phrase_match(spark, d):
     return hits.distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 'when was pslv launched' WHEN 1 THEN 'a bc de' WHEN 2 THEN 'abx' ELSE 'abc of xy Z' END AS collapsed FROM supplier")
+@query("""
+WITH t AS (SELECT p_partkey, string_split(substr(p_name, 1, 1) || ' ' || substr(p_name, 2, 1) || ' ' || p_name || ' ' || lower(substr(p_type, 1, 1)) || ' x ' || p_type, ' ') AS w FROM part),
+s AS (SELECT p_partkey, w, list_transform(w, lambda x: regexp_matches(x, '^[a-z]$')) AS one FROM t)
+SELECT p_partkey, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = 1 OR (one[i] AND one[i - 1]) THEN w[i] ELSE ' ' || w[i] END), '') AS collapsed FROM s""")
 def acronym_collapse(spark, d):
-    k = F.col("s_nationkey") % 4
-    text = F.when(k == 0, "when was p s l v launched").when(k == 1, "a bc d e").when(k == 2, "a  b x").otherwise("a b c of x y Z")
-    return table(spark, d, "supplier").select("s_suppkey", T.collapse_acronyms(text).alias("collapsed"))
+    """Single letters in a row become one word."""
+    n, t = F.col("p_name"), F.col("p_type")
+    text = F.concat_ws(" ", F.substring(n, 1, 1), F.substring(n, 2, 1), n, F.lower(F.substring(t, 1, 1)), F.lit("x"), t)
+    return table(spark, d, "part").select("p_partkey", T.collapse_acronyms(text).alias("collapsed"))
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(todo|fixme|tbd|verify|placeholder)\b') AS annotated FROM documents")
