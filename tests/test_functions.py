@@ -223,3 +223,12 @@ def test_refractory_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         assert {tuple(x) for x in detect.refractory(df, 7, ("theta", "stream_id")).collect()} == want
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_low_shelf_raises_the_bass_alone(spark):
+    t = np.arange(16000) / 16000
+    rows = [(f, (0.05 * np.sin(2 * np.pi * f * t)).tolist()) for f in (40, 60, 4000, 7000)]
+    df = spark.createDataFrame(rows, "f int, x array<double>").select("f", "x", mfcc.low_shelf(10.0)("x").alias("y"))
+    for r in df.collect():
+        db = 10 * np.log10(np.mean(np.square(r.y[8000:])) / np.mean(np.square(r.x[8000:])))
+        assert abs(db - (10 if r.f < 500 else 0)) < 0.4

@@ -350,16 +350,45 @@ def test_signals(spark, d):
     return s.select("kind", F.size(x).cast("long").alias("n"), F.round(S.rms(x), 3).alias("rms"), S.peak(x).alias("peak"))
 
 
-@query()
+#: Conditions of the realism check: gains, shifts by a quarter of a second either way, noise, a set level, and all at once.
+REALISM = [("clean", 0.0), *(("gain", g) for g in (-30.0, -20.0, -12.0, 0.0, 6.0, 12.0)), ("shift", -4000.0), ("shift", 4000.0), *(("snr", v) for v in (10.0, 5.0, 0.0)), ("level", -11.0), ("combined", -9.0)]
+
+
+@query(f"""
+WITH i AS (SELECT unnest(range(0, 16000)) AS i), x AS (
+  SELECT 'tone' AS kind, i, round_even(8000 * sin(2 * pi() / 16000 * 440 * i), 0) / 32768 AS v FROM i
+  UNION ALL SELECT 'chirp', i, round_even(8000 * sin(2 * pi() / 16000 * (100 * i + 3900.0 / 32000 * i * i)), 0) / 32768 FROM i
+  UNION ALL SELECT 'square', i, CASE WHEN (i * 500 // 16000) % 2 = 0 THEN 6000.0 ELSE -6000.0 END / 32768 FROM i),
+b AS (SELECT i, ((CAST(i AS BIGINT) * 48271 + 11) % 65521 * 40692 % 2147483647 * 30323 % 2147483647) // 32768 % 2000 / 1000.0 - 1 AS b FROM i),
+rb AS (SELECT sqrt(avg(b * b)) AS rb FROM b),
+c AS (SELECT * FROM (VALUES {", ".join(f"('{c}', CAST({v} AS DOUBLE))" for c, v in REALISM)}) AS t(condition, value)),
+s AS (SELECT kind, condition, value, x.i, CASE WHEN condition = 'shift' THEN x.i - CAST(value AS INT) WHEN condition = 'combined' THEN x.i - 1000 ELSE x.i END AS pos, v FROM x, c),
+k AS (SELECT kind, condition, value, pos, CASE WHEN pos >= 0 AND pos < 16000 THEN v ELSE 0 END AS v FROM s),
+r AS (SELECT kind, condition, value, sqrt(sum(v * v) / 16000) AS r FROM k GROUP BY ALL),
+y AS (SELECT k.kind, k.condition, k.value, CASE k.condition WHEN 'gain' THEN greatest(least(v * pow(10.0, k.value / 20), 1.0), -1.0) WHEN 'snr' THEN v + r / pow(10.0, k.value / 20) / rb * coalesce(b, 0)
+        WHEN 'level' THEN greatest(least(v * pow(10.0, k.value / 20) / r, 1.0), -1.0) WHEN 'combined' THEN greatest(least((v + r / pow(10.0, 5.0 / 20) / rb * coalesce(b, 0)) * pow(10.0, k.value / 20), 1.0), -1.0) ELSE v END AS y
+      FROM (SELECT * FROM k WHERE pos >= 0 AND pos < 16000 UNION ALL SELECT kind, condition, value, unnest(range(15000, 16000)), 0 FROM r WHERE condition = 'combined') k JOIN r ON r.kind = k.kind AND r.condition = k.condition AND r.value = k.value LEFT JOIN b ON b.i = pos, rb)
+SELECT kind, condition, value, CAST(16000 AS INT) AS n, round(20 * log10(sqrt(sum(y * y) / 16000) + 1e-12), 3) AS dbfs, round(max(abs(y)), 4) AS peak FROM y GROUP BY kind, condition, value""")
 def realism_conditions(spark, d):
-    """Generated signals under gains, shifts, noise levels and set levels, crossed with a small table of conditions."""
-    conditions = spark.createDataFrame([("gain", -12.0), ("gain", 6.0), ("snr", 0.0), ("snr", 10.0), ("snr", 20.0), ("shift", 800.0), ("level", -26.0)], "condition string, value double")
-    clips = generate.signals(spark).select("kind", F.transform("samples", lambda v: v / 32768).alias("x"))
-    pool = clips.where("kind = 'white'").select(F.lit(0).alias("ord"), F.col("x").alias("samples"))
-    rows = generate.background(clips, pool, "kind", 9).crossJoin(F.broadcast(conditions))
+    """Test signals under gains, shifts, noise levels, a set level and all at once, crossed with a small table of conditions."""
+    conditions = spark.createDataFrame(REALISM, "condition string, value double")
+    clips = generate.signals(spark).where(F.col("kind").isin("tone", "chirp", "square")).select("kind", F.transform("samples", lambda v: v / 32768).alias("x"))
+    rows = clips.crossJoin(F.broadcast(conditions)).withColumn("noise", generate.steady_noise())
     x, v, c = F.col("x"), F.col("value"), F.col("condition")
-    y = F.when(c == "gain", S.clip(S.gain(x, v))).when(c == "snr", S.clip(S.mix(x, F.col("background"), v))).when(c == "shift", S.time_shift(x, v.cast("int"), 1600)).otherwise(S.to_level(x, v))
-    return rows.select("kind", "condition", "value", y.alias("y")).select("kind", "condition", "value", F.size("y").alias("n"), F.round(S.dbfs(F.col("y")), 3).alias("dbfs"))
+    shift = F.when(c == "shift", v.cast("int")).when(c == "combined", 1000)
+    rows = rows.withColumn("x", F.when(shift.isNotNull(), S.time_shift(x, F.coalesce(shift, F.lit(0)), 4000)).otherwise(x))
+    noisy = F.when(c == "combined", S.clip(S.gain(S.mix(x, F.col("noise"), F.lit(5.0)), v)))
+    y = F.when(c == "gain", S.clip(S.gain(x, v))).when(c == "snr", S.mix(x, F.col("noise"), v)).when(c == "level", S.to_level(x, v)).otherwise(F.coalesce(noisy, x))
+    out = rows.select("kind", "condition", "value", y.alias("y"))
+    return out.select("kind", "condition", "value", F.size("y").alias("n"), F.round(S.dbfs(F.col("y")), 3).alias("dbfs"), F.round(S.peak(F.col("y")), 4).alias("peak"))
+
+
+@query()
+def bass_tilt(spark, d):
+    """Test signals with the bass raised by 10 dB, and at the level of a close microphone."""
+    clips = generate.signals(spark).select("kind", F.transform("samples", lambda v: v / 32768).alias("x"))
+    t = clips.select("kind", "x", M.low_shelf(10.0)("x").alias("y"))
+    return t.select("kind", F.round(S.dbfs(F.col("x")), 3).alias("dbfs"), F.round(S.dbfs(F.col("y")), 3).alias("tilted"), F.round(S.dbfs(S.to_level(F.col("y"), F.lit(-11.0))), 3).alias("live"))
 
 
 @query("""

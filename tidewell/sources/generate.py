@@ -38,6 +38,12 @@ def signal(kind: str, n: int = P.CLIP_SAMPLES, rate: int = P.SAMPLE_RATE) -> Col
 KINDS = ("silence", "tone", "chirp", "square", "impulse", "noise", "white", "bursts")
 
 
+def steady_noise(n: int = P.CLIP_SAMPLES) -> Column:
+    """Noise in [-1, 1) from products modulo primes: plain arithmetic, the same in any engine."""
+    prime = (1 << 31) - 1
+    return F.transform(_indices(n), lambda i: F.floor(((i.cast("long") * 48271 + 11) % 65521 * 40692 % prime * 30323 % prime) / 32768) % 2000 / 1000.0 - 1)
+
+
 def signals(spark: SparkSession, n: int = P.CLIP_SAMPLES) -> DataFrame:
     """(kind, samples), one row a kind."""
     rows = spark.range(1)
