@@ -44,6 +44,59 @@ def plain_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(rep)
 
 
+def plain_line_fails(lines):
+    """The line rules, line by line."""
+
+    def alone(line):
+        flat = re.sub(r"[ \t\n\x0B\f\r]+", " ", line).strip(" ")
+        words = [w for w in flat.split(" ") if w]
+        if not words:
+            return False
+        symbols = sum(c in "#*$%&<>!?" for c in line)
+        if symbols >= 3 and 10 * symbols > sum(map(len, words)):
+            return True
+        if len(words) >= 30 and not re.search("[.!?:;,…。、，！？]", flat):
+            return True
+        seps = sum(c in "|»›·" for c in line)
+        if seps >= 3 and 8 * seps >= len(words):
+            return True
+        if len(words) <= 12 and re.search(r"[^ ] (>|/|»|›|→) [^ ].* (>|/|»|›|→) [^ ]", flat):
+            return True
+        return len(words) <= 40 and any(p in line.lower() for p in quality.BOILERPLATE)
+
+    def short(line):
+        words = line.split()
+        return 0 < len(words) <= 4 and words[-1][-1] not in '.!?:;,…"”»)。！？'
+
+    bad = [alone(x) for x in lines]
+    at = 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and short(lines[end]):
+            end += 1
+        if end - at >= 5:
+            bad[at:end] = [True] * (end - at)
+        at = max(end, at + 1)
+    return bad
+
+
+def plain_judge(text):
+    """Whether a text is kept, and what is left of it."""
+    n, *_, rep = plain_quality(text)
+    lines = (text or "").split("\n")
+    bad = plain_line_fails(lines)
+    total, lost = sum(map(len, lines)), sum(len(x) for x, b in zip(lines, bad, strict=True) if b)
+    return not (n < 50 or 2 * rep > n or 100 * lost > 40 * total), "\n".join(x for x, b in zip(lines, bad, strict=True) if not b)
+
+
+def test_quality_equals_plain_rules(spark):
+    rows = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    got = quality.judge(rows).collect()
+    assert len(got) == 1000 and 0 < sum(r.kept for r in got) < 1000
+    for r in got:
+        assert (r.kept, r.clean_text or "") == plain_judge(r.text), r.doc_id
+
+
 def test_quality_counts(spark):
     texts = [*EDGE, "a b a b a b", "l1 x\nl1 x\n\nl1 x\n" * 3, "é# *ñ"]
     for r in quality.judge(docs(spark, texts)).collect():

@@ -9,7 +9,7 @@ from tidewell.llm.common import stash
 
 
 def test_pipeline(spark):
-    from test_operators import check_packing, plain_components, plain_quality
+    from test_operators import check_packing, plain_components, plain_judge
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     bench = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
@@ -22,9 +22,8 @@ def test_pipeline(spark):
     assert set(start) >= set(lang) >= set(rules) >= set(near) >= set(clean)
     assert all(langid.has_letter(start[i]) for i in lang) and len(lang) >= 0.99 * sum(map(langid.has_letter, start.values()))
     for i in lang:
-        n, *_, rep = plain_quality(lang[i])
-        if n < 50 or 2 * rep > n:
-            assert i not in rules
+        kept, text = plain_judge(lang[i])
+        assert (i in rules) == kept and (not kept or rules[i] == text)
     assert set(near) == {top for _, top in plain_components(rules).values()}
     for i in near:
         assert (i in clean) == (not decontaminate.brute(near[i], bench)[4])

@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(v, label) of every vertex of edges (a, b), longs: label is the least vertex of its component."""
+    """(v, label) of every vertex of edges (a, b): label is the least vertex of its component. The result reads a stashed table."""
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     mark = None
     for _ in range(rounds):
@@ -34,4 +34,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = after
     else:
         raise RuntimeError("components have not settled")
-    return now.select(F.col("a").alias("v"), F.col("b").alias("label")).union(now.select(F.col("b"), F.col("b")).distinct())
+    out = now.select(F.col("a").alias("v"), F.col("b").alias("label")).union(now.select(F.col("b"), F.col("b")).distinct())
+    out._tidewell_stash = now._tidewell_stash
+    return out
