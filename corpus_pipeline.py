@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, jaccard, langid, packing, quality
-from tidewell.llm.common import stash, table
+from tidewell.llm.common import stash, table, unstash
 
 #: Least pooled probability of the predicted language.
 LEAST_SCORE = 0.4
@@ -74,7 +74,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        unstash(before)
     return docs
 
 
