@@ -21,7 +21,7 @@ from tidewell.llm.common import kept
 #: Parts that one Python worker remembers, and characters of a part that is remembered.
 REMEMBERED, LONGEST = 300_000, 64
 #: Characters that are encoded at once.
-BLOCK = 2_000_000
+BLOCK = 500_000
 
 
 def tokenizer(path: str):

@@ -230,7 +230,7 @@ def train(docs: DataFrame, key: str, text: str, lang: str, held_out: int, rows:
 
 
 #: Sums of words that a Python worker remembers, and characters of a block of texts.
-REMEMBERED, BLOCK = 250_000, 2_000_000
+REMEMBERED, BLOCK = 250_000, 1_000_000
 
 
 def predict(net: Network | None, texts: list[str | None], known: dict | None = None) -> tuple[list[str], list[float]]:
