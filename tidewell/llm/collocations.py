@@ -10,7 +10,8 @@
    the same in all shards.
 3. Pairs: a suffix array of each shard's word ids, by numpy prefix doubling; the
    intervals of its LCP array of two or more are the distinct pairs with their
-   counts, which are summed by key.
+   counts, which are summed by key: a shard's pairs go to buckets of their hashes,
+   a row for each, and a bucket sorts the pairs of all shards.
 4. Longer phrases: only where each pair in it is frequent. The suffix array of
    what is left gives the phrases of 3 to 5 words; summed by key again.
 5. Scores: cuts are joined to the counts of both parts; phrases inside a longer
@@ -38,6 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import kept, stash, table, tidy, unstash
+from tidewell.llm.shingle import mix
 
 #: Words of a candidate; its least count; phrases of a language that are returned; share of a longer phrase's count, in percent, that drops a part of it.
 LONGEST, LEAST, TOP, INSIDE = 5, 100, 2000, 100
@@ -45,6 +47,8 @@ LONGEST, LEAST, TOP, INSIDE = 5, 100, 2000, 100
 SHARD, BLOCK, PLACE_BITS, PART_BITS = 1 << 21, 1 << 22, 28, 15
 #: Languages whose totals are broadcast; candidates of a bucket.
 TOTALS, BUCKET = 100_000, 200_000
+#: Words of the corpus for each bucket in which counts of shards are summed.
+ENTRIES = 1_000_000
 #: A-Z to lower case, what ends a piece to a line feed, tabs to spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 
@@ -185,55 +189,100 @@ def _numbers(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.int64))
 
 
-PAIRS = "shard long, lang string, a long, b long, c long, ids binary, own binary"
+#: Rows of counted phrases: those of a shard, of `size` words each, whose hashes fall into a bucket (`w` ids, `c` counts).
+COUNTED = "bucket int, size int, shard long, lang string, w binary, c binary, ids binary, own binary"
+_COUNTED = pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("shard", pa.int64()), ("lang", pa.string()), *((c, pa.binary()) for c in ("w", "c", "ids", "own"))])
 
 
-def _pairs(shard: pa.Table, known: pa.Table) -> pa.Table:
+def _entries(w: np.ndarray, count: np.ndarray, buckets: int, shard: int, lang: str) -> pa.Table:
+    """Counted phrases (a matrix of ids) in their buckets."""
+    if not len(w):
+        return _COUNTED.empty_table()
+    h = np.zeros(len(w), np.uint64)
+    for x in w.T:
+        h = mix(h ^ x.astype(np.uint64))
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, w, count = bucket[order], np.ascontiguousarray(w[order], np.int64), count[order].astype(np.int64)
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    end, m = np.append(begin[1:], len(bucket)), len(begin)
+    parts = [pa.array([x[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()) for x in (w, count)]
+    return pa.table([pa.array(bucket[begin], pa.int32()), pa.array([w.shape[1]] * m, pa.int32()), pa.array([shard] * m, pa.int64()), pa.array([lang] * m, pa.string()), *parts, *(pa.nulls(m, pa.binary()),) * 2], schema=_COUNTED)
+
+
+def _pairs(shard: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
     """Of a shard: its pairs of frequent words with their counts, and one row with the ids of its runs (numbers in `own`)."""
     kept("suffix arrays", bool)
     place, number = (known[c].to_numpy() for c in ("place", "id"))
-    rows = []
-    if shard.num_rows and len(place):
-        ids = np.frombuffer(shard["ids"][0].as_buffer(), np.int32)
-        own = np.sort(number)
-        to = np.zeros(int(max(ids.max(), place.max() + 1)) + 1, np.int32)
-        to[place + 1] = np.searchsorted(own, number) + 1
-        ids = to[ids]
-        bond = ids[:-1] * ids[1:] != 0 if len(ids) > 1 else np.zeros(0, bool)
-        near = np.concatenate([bond, [False]])
-        near[1:] |= bond
-        ids = squeezed(np.where(near, ids, 0))  # words alone are in no pair
-        if len(ids):
-            left = room(np.append((ids[:-1] != 0) & (ids[1:] != 0), False))
-            ((_, start, count),) = phrases(ids, np.where(ids == 0, 0, left), 2, 2)
-            m = len(start)
-            rows.append([_numbers(own[ids[start] - 1]), _numbers(own[ids[start + 1] - 1]), _numbers(count), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())])
-            rows.append([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([ids.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())])
-    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("ids", pa.binary()), ("own", pa.binary())])
-    return pa.concat_tables([pa.table([pa.array([shard["shard"][0].as_py()] * len(r[0])), pa.array([shard["lang"][0].as_py()] * len(r[0]), pa.string()), *r], schema=schema) for r in rows] or [schema.empty_table()])
-
-
-def _longer(shard: pa.Table, known: pa.Table, longest: int) -> pa.Table:
+    if not shard.num_rows or not len(place):
+        return _COUNTED.empty_table()
+    name, lang = shard["shard"][0].as_py(), shard["lang"][0].as_py()
+    ids = np.frombuffer(shard["ids"][0].as_buffer(), np.int32)
+    own = np.sort(number)
+    to = np.zeros(int(max(ids.max(), place.max() + 1)) + 1, np.int32)
+    to[place + 1] = np.searchsorted(own, number) + 1
+    ids = to[ids]
+    bond = ids[:-1] * ids[1:] != 0 if len(ids) > 1 else np.zeros(0, bool)
+    near = np.concatenate([bond, [False]])
+    near[1:] |= bond
+    ids = squeezed(np.where(near, ids, 0))  # words alone are in no pair
+    if not len(ids):
+        return _COUNTED.empty_table()
+    left = room(np.append((ids[:-1] != 0) & (ids[1:] != 0), False))
+    ((_, start, count),) = phrases(ids, np.where(ids == 0, 0, left), 2, 2)
+    runs = pa.table([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([name]), pa.array([lang], pa.string()), *(pa.nulls(1, pa.binary()),) * 2, pa.array([ids.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())], schema=_COUNTED)
+    return pa.concat_tables([_entries(own[ids[start[:, None] + np.arange(2)] - 1], count, buckets, name, lang), runs])
+
+
+def _longer(shard: pa.Table, known: pa.Table, longest: int, buckets: int) -> pa.Table:
     """Of a shard: its phrases of three and more words in which every pair is frequent, with their counts."""
     kept("suffix arrays", bool)
-    w, c = [], []
-    if shard.num_rows and known.num_rows:
-        ids = np.frombuffer(shard["ids"][0].as_buffer(), np.int32).astype(np.int64)
-        own = np.frombuffer(shard["own"][0].as_buffer(), np.int64)
-        a, b = (np.searchsorted(own, known[x].to_numpy()) + 1 for x in "ab")
-        frequent = np.sort(a * (len(own) + 1) + b)
-        pair = ids[:-1] * (len(own) + 1) + ids[1:]
-        bond = np.append(frequent[np.minimum(np.searchsorted(frequent, pair), len(frequent) - 1)] == pair, False)
-        run = np.cumsum(np.append(0, ~bond[:-1]))
-        keep = np.bincount(run)[run] >= 3
-        ids, left = ids[keep], room(bond)[keep]
-        for size, start, count in phrases(ids, left, 3, longest):
-            values = own[ids[start[:, None] + np.arange(size)] - 1]
-            w.append(pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, size), pa.int32()), _numbers(values.ravel())))
-            c.append(_numbers(count))
-    m = sum(map(len, c))
-    lang = shard["lang"][0].as_py() if shard.num_rows else None
-    return pa.table([pa.array([lang] * m, pa.string()), pa.chunked_array(w, pa.list_(pa.int64())), pa.chunked_array(c, pa.int64())], names=["lang", "w", "c"])
+    if not shard.num_rows or not known.num_rows:
+        return _COUNTED.empty_table()
+    ids = np.frombuffer(shard["ids"][0].as_buffer(), np.int32).astype(np.int64)
+    own = np.frombuffer(shard["own"][0].as_buffer(), np.int64)
+    a, b = (np.searchsorted(own, x) + 1 for x in np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in known["w"]]).reshape(-1, 2).T)
+    frequent = np.sort(a * (len(own) + 1) + b)
+    pair = ids[:-1] * (len(own) + 1) + ids[1:]
+    bond = np.append(frequent[np.minimum(np.searchsorted(frequent, pair), len(frequent) - 1)] == pair, False)
+    run = np.cumsum(np.append(0, ~bond[:-1]))
+    keep = np.bincount(run)[run] >= 3
+    ids, left = ids[keep], room(bond)[keep]
+    out = [_entries(own[ids[start[:, None] + np.arange(size)] - 1], count, buckets, shard["shard"][0].as_py(), shard["lang"][0].as_py()) for size, start, count in phrases(ids, left, 3, longest)]
+    return pa.concat_tables(out) if out else _COUNTED.empty_table()
+
+
+#: Rows of frequent phrases (lang, w, f), and of those of a shard (shard, own).
+SUMMED = "lang string, w array<long>, f long, shard long, own binary"
+_SUMMED = pa.schema([("lang", pa.string()), ("w", pa.list_(pa.int64())), ("f", pa.int64()), ("shard", pa.int64()), ("own", pa.binary())])
+
+
+def _merged(t: pa.Table, least: int) -> pa.Table:
+    """Of a bucket: its phrases of at least so many occurrences in all shards; pairs also for each shard that has them."""
+    kept("suffix arrays", bool)
+    out = []
+    sizes, shard, lang = t["size"].to_numpy(), t["shard"].to_numpy(), t["lang"].to_pylist()
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        w, c = (np.frombuffer(b"".join(t[x][int(i)].as_buffer() for i in rows), np.int64) for x in ("w", "c"))
+        w = w.reshape(-1, size)
+        row = np.repeat(rows, [len(t["c"][int(i)].as_buffer()) // 8 for i in rows])
+        order = np.lexsort(w.T[::-1])
+        w, c, row = w[order], c[order], row[order]
+        begin = np.flatnonzero(np.append(True, (w[1:] != w[:-1]).any(axis=1)))
+        f = np.add.reduceat(c, begin)
+        often = f >= least
+        at, m = begin[often], int(often.sum())
+        out.append(pa.table([pa.array([lang[i] for i in row[at]], pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(0, m * size + 1, size), pa.int32()), _numbers(w[at].ravel())), _numbers(f[often]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=_SUMMED))
+        if size == 2:
+            there = np.flatnonzero(np.repeat(often, np.diff(np.append(begin, len(c)))))
+            there = there[np.argsort(shard[row[there]], kind="stable")]
+            name = shard[row[there]]
+            begin = np.flatnonzero(np.diff(name, prepend=-1))
+            own = pa.array([w[x].tobytes() for x in np.split(there, begin[1:])] if len(there) else [], pa.binary())
+            m = len(begin)
+            out.append(pa.table([pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.int64()), _numbers(name[begin]), own], schema=_SUMMED))
+    return pa.concat_tables(out) if out else _SUMMED.empty_table()
 
 
 def counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, size: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -243,19 +292,25 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     known = stash(words(cut, least), "words")
     totals = stash(cut.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     each = known.select("shard", "place", "id")
-    got = stash(cut.select("shard", "lang", "ids").groupBy("shard").cogroup(each.groupBy("shard")).applyInArrow(_pairs, PAIRS), "pairs")
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // ENTRIES))
+
+    def merge(t: pa.Table) -> pa.Table:
+        return _merged(t, least)
+
+    got = stash(cut.select("shard", "lang", "ids").groupBy("shard").cogroup(each.groupBy("shard")).applyInArrow(partial(_pairs, buckets=buckets), COUNTED), "pairs")
     unstash(cut)
-    same = Window.partitionBy("a", "b")
-    pairs = got.where("a IS NOT NULL").select("shard", "lang", "a", "b", "c").withColumns({"f": F.sum("c").over(same), "least": F.min("shard").over(same)}).where(F.col("f") >= least)
-    pairs = stash(pairs.select("shard", "a", "b", F.when(F.col("shard") == F.col("least"), F.struct("lang", "f")).alias("word")), "frequent")
-    runs = got.where("ids IS NOT NULL").select("shard", "lang", "ids", "own")
-    more = runs.groupBy("shard").cogroup(pairs.select("shard", "a", "b").groupBy("shard")).applyInArrow(partial(_longer, longest=longest), "lang string, w array<long>, c long")
-    more = more.groupBy("lang", "w").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    two = stash(got.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(merge, SUMMED), "frequent")
     one = known.where("word IS NOT NULL").select("word.lang", F.array("id").alias("w"), "word.f")
-    two = pairs.where("word IS NOT NULL").select("word.lang", F.array("a", "b").alias("w"), "word.f")
-    out = stash(one.union(two).union(more) if longest > 2 else one.union(two), "phrases")
+    found = one.union(two.where("f IS NOT NULL").select("lang", "w", "f"))
+    if longest > 2:
+        runs = got.where("ids IS NOT NULL").select("shard", "lang", "ids", "own")
+        there = two.where("own IS NOT NULL").select("shard", F.col("own").alias("w"))
+        more = runs.groupBy("shard").cogroup(there.groupBy("shard")).applyInArrow(partial(_longer, longest=longest, buckets=buckets), COUNTED)
+        found = found.union(more.groupBy("bucket").applyInArrow(merge, SUMMED).select("lang", "w", "f"))
+    out = stash(found, "phrases")
     names = stash(known.where("word IS NOT NULL").select("id", F.col("word.w").cast("string").alias("word")), "names")
-    for t in (known, got, pairs):
+    for t in (known, got, two):
         unstash(t)
     return out, names, totals
 
