@@ -22,13 +22,15 @@ fixed size (a count sketch); it steers the cost only, never the result.
    the overlap that a link needs; so is a pair. Surviving pairs are verified on
    whole sets in the cell, but not where links found before join them already.
    Written are only the links that join two components: fewer than classes.
-4. Components of the links. Cells of several chunks that still hold several
-   components are searched once more, chunk against chunk: the classes outside
-   the cell's largest component against all others.
+4. Components of the links, of classes; the least key in a component names it.
+   Cells of several chunks that still hold several components are searched once
+   more, chunk against chunk: the classes outside the cell's largest component
+   against all others.
 
 Nulls: a null or wordless text has an empty set, links with nothing and is its
-own component. A row with a null key gets its size and a null component.
-Repeated rows are copies. Empty tables give no rows. Extra columns are ignored.
+own component. A row with a null key links like any other, so components may
+hang together by it; it gets its size and a null component itself. Repeated
+rows are copies. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -415,17 +417,30 @@ def _across(own: list[np.ndarray], n: np.ndarray, label: np.ndarray, one: np.nda
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(dig, s) of the classes whose first document's key is in ids."""
-
-    def run(batches):
-        tidy()
-        for b in batches:
-            own = sets(b.column(0), k)
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["dig", "s"])
-
-    few = ids.count() <= BROADCAST_IDS
-    ids = ids.select("k")
-    return stash(docs.join(F.broadcast(ids) if few else ids, "k", "left_semi").select("t").mapInArrow(run, "dig long, s binary"), "sets")  # a dig twice only if a key repeats
+    """(dig, s) of the classes (dig, k) in ids: from the document with the key k; where that is null, from the rows without a key."""
+
+    def made(wanted=None):
+        def run(batches):
+            tidy()
+            sent = set()
+            for b in batches:
+                own = sets(b.column(0), k)
+                digs = [digest(s) for s in own]
+                if wanted is not None:  # copies in one task are sent once
+                    fresh = [i for i, d in enumerate(digs) if (not wanted.value or d in wanted.value) and not (d in sent or sent.add(d))]
+                    own, digs = [own[i] for i in fresh], [digs[i] for i in fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(digs, pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["dig", "s"])
+
+        return run
+
+    keyed, nameless = ids.where("k IS NOT NULL").select("k"), ids.where("k IS NULL").select("dig")
+    few = keyed.count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(keyed) if few else keyed, "k", "left_semi").select("t").mapInArrow(made(), "dig long, s binary")
+    if n := nameless.count():
+        wanted = docs.sparkSession.sparkContext.broadcast({r.dig for r in nameless.collect()} if n <= BROADCAST_IDS else set())
+        more = docs.where("k IS NULL").select("t").mapInArrow(made(wanted), "dig long, s binary")
+        out = out.union((more if n <= BROADCAST_IDS else more.join(nameless, "dig", "left_semi")).dropDuplicates(["dig"]))
+    return stash(out, "sets")  # a dig twice only if a key repeats
 
 
 def _dealt(cells: DataFrame, sets: DataFrame, spark: SparkSession) -> DataFrame:
@@ -487,28 +502,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORD
     unstash(pairs)
     members = found.select(F.col("b").alias("hub"), F.col("a").alias("dig"), F.col("na").alias("n")).union(found.select("b", "b", "nb").distinct())
 
-    firsts = rows.where("n > 0 AND k IS NOT NULL").groupBy("dig").agg(F.min("k").alias("k"))
+    firsts = rows.where("n > 0").groupBy("dig").agg(F.min("k").alias("k"))  # null if no row of the class has a key
     ids = stash(firsts.join(members.select("dig").distinct(), "dig"), "ids")
     own = _sets(docs, ids, k)
     links = stash(_dealt(_chunked(members), own, spark), "links")
-    named = _named(links, ids)
-    tables = [links, ids]
+    label, tables = components(links), [links, ids]
     if not members.groupBy("hub").agg(F.sum("n").alias("total")).where(f"total > {CELL}").isEmpty():
-        hot = stash(_hot(members, components(links)), "hot")
+        hot = stash(_hot(members, label), "hot")
         more = stash(_dealt(_crossed(hot), own, spark), "links")
-        named = named.union(_named(more, ids))
-        tables += [hot, more]
-    label = components(named)  # labels are least keys
-    tops = stash(firsts.join(label.toDF("k", "c"), "k", "left").select("dig", F.coalesce("c", "k").alias("c")), "tops")
+        tables += [hot, more, label]
+        label = components(links.union(more))
+    linked = firsts.join(label.toDF("dig", "l"), "dig")
+    named = linked.join(linked.groupBy("l").agg(F.min("k").alias("c")), "l").select("dig", "c")
+    tops = stash(firsts.join(named, "dig", "left").select("dig", F.coalesce("c", "k").alias("c")), "tops")
     for t in (own, found, label, *tables):
         unstash(t)
     return rows.join(tops, "dig", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("k")).when(F.col("k").isNotNull(), F.col("c")).alias("component_id"))
 
 
-def _named(links: DataFrame, ids: DataFrame) -> DataFrame:
-    """Links as pairs of the classes' least keys."""
-    return links.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
