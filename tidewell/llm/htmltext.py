@@ -7,7 +7,10 @@ recur on LEAST_PAGES of them are the host's template and are deleted, however
 many other pages the host has. The structural rules then take the article (or,
 without one, the body) without menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments. Class, id and role words
-count as whole tokens only ("side-effects" marks nothing).
+count as whole tokens only ("side-effects" marks nothing), and alone they delete
+no layout: a form, or an element that a word of LAYOUT marks, which holds more
+than half of the page's text, and that mostly as prose, is the page's frame and
+stays. In articles, they delete no headings, table cells or inline elements.
 
 Inside article and main, copies of one article with small changes must not make
 its prose a template. So a page speaks for a template there only if at least OWN
@@ -46,8 +49,8 @@ from tidewell.llm.shingle import mix, windows, word_hashes
 LEAST_PAGES, BROADCAST_ROWS = 5, 1_000_000
 #: Share of its own text with which a page speaks for a template inside articles; minima of a block's shingles, how many recur in a variant, words of those shingles, words from which a block has several.
 OWN, KEYS, VARIANT, SHORT, WHOLE = 0.2, 8, 2, 3, 8
-#: Characters of html whose trees are held at once.
-HELD = 1 << 22
+#: Characters of html whose trees are held at once; letters of prose that a page's frame has at least.
+HELD, FRAME = 1 << 22, 100
 
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -61,6 +64,12 @@ _WORDS = "ad ads advert adverts advertisement adsense banner breadcrumb breadcru
 _BEFORE = "site page main global top bottom left right primary secondary post article entry blog wp js the google header footer user reader mobile"
 _BEHIND = "area bar box block body buttons container content wrap wrapper section list left right top bottom main inner outer link links item items form icons media unit slot banner menu overlay panel column col policy posts articles stories text title thread primary secondary footer header"
 MARKS = re.compile(rf"(?:^|\s)(?:(?:{_BEFORE.replace(' ', '|')})[_-]+)*(?:{_WORDS.replace(' ', '|')})(?:[_-]+(?:{_WORDS.replace(' ', '|')}|{_BEHIND.replace(' ', '|')}|[0-9]+))*(?=\s|$)", re.I)
+#: Words that also name the parts of a layout which hold the article ("right-sidebar"), unlike those of comments, notices and adverts.
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:banner|complementary|masthead|menu|modal|nav|navbar|navigation|popup|related|responds?|share|sharing|side|sidebar|social|toolbar|widgets?)(?=[\s_-]|$)", re.I)
+OTHER = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|comments?|consent|cookies?|disqus|gdpr|newsletter|notices?|promo|promotion|replies|sponsor|sponsored|subscribe)(?=[\s_-]|$)", re.I)
+#: Elements that marks don't delete in an article, and those whose text is no prose.
+PARTS = frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 tbody td tfoot th thead tr".split())
+LISTS = frozenset("dd dt label legend li option".split())
 #: A start tag of one of the first closes an open element of the second, unless one of the third is between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 
@@ -73,12 +82,13 @@ _AROUND_P = frozenset("article main div section td li blockquote body".split())
 
 
 class Node:
-    """An element: tag, marks, parts (texts and nodes), parent, and the open paragraph that a block inside it would end."""
+    """An element: tag, marks, parts (texts and nodes), parent, the open paragraph that a block inside it would end, and
+    whether it is a frame of the page, which is never dropped."""
 
-    __slots__ = ("tag", "marks", "parts", "parent", "p")
+    __slots__ = ("tag", "marks", "parts", "parent", "p", "frame")
 
     def __init__(self, tag: str, marks: str = "", parent: Node | None = None):
-        self.tag, self.marks, self.parts, self.parent = tag, marks, [], parent
+        self.tag, self.marks, self.parts, self.parent, self.frame = tag, marks, [], parent, False
         self.p = self if tag == "p" else None if tag in _AROUND_P or parent is None else parent.p
 
 
@@ -134,6 +144,7 @@ def parse(text: str) -> Node:
     path = _Path()
     root = path.now
     at, n = 0, len(text)
+    maybe: list[Node] = []
     while at < n:
         m = _TOKEN.match(text, at)
         if m is None:  # a quote that never ends: the rest of the tag is dropped at the next '>'
@@ -159,7 +170,7 @@ def parse(text: str) -> Node:
         attrs = m[3] or ""
         marks = " ".join(x[2] or x[3] or x[4] or "" for x in _ATTR.finditer(attrs)) if "=" in attrs else ""
         block = tag in BLOCKS
-        if not block and tag not in DROPPED and tag not in RAW and not MARKS.search(marks):
+        if not block and tag not in DROPPED and tag not in RAW and (path.any(_ARTICLE) or not MARKS.search(marks)):
             continue
         if tag in _ARTICLE and "comment" not in marks and (x := _rescued(path)) is not None:
             path.close(x.parent)
@@ -169,6 +180,8 @@ def parse(text: str) -> Node:
             path.close(x.parent)
         node = Node(tag, marks, path.now)
         path.now.parts.append(node)
+        if tag == "form" or tag not in DROPPED and marks and LAYOUT.search(marks) and not OTHER.search(marks):
+            maybe.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
@@ -186,11 +199,36 @@ def parse(text: str) -> Node:
                     end = x.end()
                     break
             at = end
+    if maybe:
+        _frames(root, maybe)
     return root
 
 
+def _frames(root: Node, maybe: list[Node]) -> None:
+    """Marks as frames those of the nodes that hold more than half of the page's text, and that mostly as prose."""
+    size: dict[int, tuple[int, int]] = {}  # of a node: characters, and those of prose
+    stack = [(root, False, False)]
+    while stack:
+        node, listed, seen = stack.pop()
+        if seen:
+            n = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+            below = [size[id(p)] for p in node.parts if isinstance(p, Node) and id(p) in size]
+            size[id(node)] = n + sum(x for x, _ in below), n * (not listed) + sum(x for _, x in below)
+            continue
+        stack.append((node, listed, True))
+        stack += [(p, listed or p.tag in LISTS, False) for p in node.parts if isinstance(p, Node) and (p.tag == "form" or p.tag not in DROPPED and p.tag != "header")]
+    total = size[id(root)][0]
+    for node in maybe:
+        n, prose = size.get(id(node), (0, 0))
+        node.frame = 2 * n > total and 2 * prose > n and prose >= FRAME
+
+
 def dropped(node: Node, inside: bool) -> bool:
     """Whether a subtree is never main text; inside: of an article or main element."""
+    if node.frame:
+        return False
+    if inside and node.tag in PARTS:
+        return False
     if node.tag in DROPPED or node.tag == "header" and not inside:
         return True
     if node.tag in ("html", "body") or node.tag in ("article", "main") and "comment" not in node.marks:
