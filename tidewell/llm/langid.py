@@ -14,9 +14,11 @@ up to SEGMENT bytes, cut between characters). That gives up what word order says
 and makes the work that of a corpus's distinct words.
 
 Learning: from a bounded sample, ROWS_PER_LANG rows at most of each language
-(those of the least hashes of the id among the labelled rows of the training
-folds), and of each row WORDS_PER_ROW words at most, spread evenly over its
-whole text. Every language with labelled rows is learned. The network goes to
+(those of the least hashes of id and text among the labelled rows of the training
+folds; equal rows count once), and of each row WORDS_PER_ROW words at most, spread
+evenly over its whole text. Every language with labelled rows is learned: where
+rows repeat so that too few differ among the least hashes, the share of hashes
+that is looked at is widened. The network goes to
 the executors as a few kilobytes of weights.
 
 Nulls: rows with a null language aren't learned from; a null text, or one
@@ -197,15 +199,23 @@ def fold_of(key: Column) -> Column:
 def train(docs: DataFrame, key: str, text: str, lang: str, held_out: int, rows: int = ROWS_PER_LANG, words_per_row: int = WORDS_PER_ROW) -> Network | None:
     """A network from a bounded sample of the labelled rows that aren't held out."""
     own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (fold_of(F.col(key)) != held_out))
-    counts = {r[0]: r[1] for r in own.groupBy(lang).count().collect()}
+    own = own.select(F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(SEED)), F.lit(1 << 40)).alias("s"), F.col(text).alias("t"))
+    counts = {r[0]: r[1] for r in own.groupBy("l").count().collect()}  # one row a language
     if not counts:
         return None
-    spot = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(SEED)), F.lit(1 << 40))
-    few = F.lit(False)
-    for name, n in counts.items():  # hashes below the share that gives twice the rows of the language; of those, the least
-        few = few | ((F.col(lang) == name) & (spot < int((1 << 40) * min(1.0, (2 * rows + 40) / n))))
-    picked = own.where(few).select(F.col(lang).alias("l"), spot.alias("s"), F.col(text).alias("t"))
-    picked = picked.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("s", F.xxhash64("t")))).where(F.col("i") <= rows)
+    share = {name: min(1.0, (2 * rows + 40) / n) for name, n in counts.items()}
+    while True:  # hashes below the share that gives twice the rows of the language; of those, the least
+        limits = docs.sparkSession.createDataFrame([(name, int((1 << 40) * x)) for name, x in share.items()], "l string, below long")
+        least = own.join(F.broadcast(limits.withColumn("l", F.col("l").cast(own.schema["l"].dataType))), "l").where("s < below")
+        if all(x == 1 for x in share.values()):
+            break
+        got = {r[0]: r[1] for r in least.select("l", "s").distinct().groupBy("l").count().collect()}
+        short = [name for name, x in share.items() if x < 1 and got.get(name, 0) < rows]
+        if not short:
+            break
+        share |= {name: min(1.0, 8 * share[name]) for name in short}
+    picked = least.select("l", "s", "t").dropDuplicates(["l", "s"])
+    picked = picked.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("s"))).where(F.col("i") <= rows)
 
     def spread(batches):
         for b in batches:
@@ -291,10 +301,9 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 2, net: Network | None = None) -> DataFrame:
-    """The rows with all their columns, and lang_pred and score."""
+    """Rows (row, lang_pred, score): the whole rows as structs, so that no column of theirs clashes."""
     net = net or train(docs, key, text, lang, held_out)
-    got = _predicted(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("k")), net, text)
-    return got.select(*[F.col("k")[c].alias(c) for c in docs.columns], "lang_pred", "score")
+    return _predicted(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("k")), net, text).withColumnRenamed("k", "row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
