@@ -712,3 +712,63 @@ def test_every_language_is_learned(spark):
 def test_held_out_accuracy(spark):
     rows = langid.query(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.col("lang").alias("truth")), "doc_id").where("held_out").collect()
     assert np.mean([r.lang_pred == r.truth for r in rows]) >= 0.95
+
+
+# links, languages and page frames that were lost
+
+
+def _varied(n, gone):
+    """n words, of which the ones at the given places are others."""
+    return " ".join(f"w{i}" + "x" * (i in gone) for i in range(n))
+
+
+@pytest.mark.parametrize("between", [None, 9])
+def test_jaccard_links_run_through_rows_without_an_id(spark, between):
+    a, mid, b = _varied(120, ()), _varied(120, (30, 50)), _varied(120, (30, 50, 80, 100))
+    rows = [(1, a), (between, mid), (2, b), (None, mid), (None, "this row has neither an id nor a link at all"), (None, None)]
+    sets_ = [shingle.shingles(t) for t in (a, mid, b)]
+    share = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    assert share(sets_[0], sets_[1]) >= 0.75 and share(sets_[1], sets_[2]) >= 0.75 and share(sets_[0], sets_[2]) < 0.75
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {1: 1, 2: 1} | ({9: 1} if between else {})
+    assert [r.component_id for r in got if r.doc_id is None] == [None] * (3 + (between is None)) and len(got) == 6
+
+
+def test_jaccard_finds_classes_without_an_id_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    rows = [(1, _varied(120, ())), (None, _varied(120, (30, 50))), (2, _varied(120, (30, 50, 80, 100)))] + [(None, _varied(120, (30, 50)))] * 20
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, None: None} and len(got) == 23
+
+
+@pytest.mark.parametrize("ids", ["one", "pairs"])
+def test_languages_of_repeated_ids_are_learned(spark, ids):
+    """A third of all rows has one id, or is one row again and again; its language is learned all the same."""
+    english, french = "the house on the hill was built with stone", "la maison que nous avons vue était en pierre"
+    key = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(key, f"{french} {i if ids == 'one' else ''}", "fr") for i in range(5000)] + [(i, f"{english} {i}", "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    net = langid.train(df, "doc_id", "text", "lang", 2)
+    assert net.langs == ["en", "fr"]
+    assert langid.predict(net, [english, french])[0] == ["en", "fr"]
+
+
+PROSE = "The river rose in the night, and by morning the lower fields were under water. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body><div class="container right-sidebar"><h1>T</h1><p>{PROSE}</p><div class="sidebar"><ul><li>x</li></ul></div></div></body>', f"T\n\n{PROSE.strip()}"),
+        (f'<body><form action="/"><div><p>{PROSE}</p></div><input name="q"></form></body>', PROSE.strip()),
+        (f'<body><div class="sidebar-left">{PROSE}</div></body>', PROSE.strip()),
+        (f'<article><p>{PROSE}</p><table><tr><td class="share">45 %</td></tr></table><h2 class="banner">H</h2><p>is <span class="notice">important</span> here</p><div class="share">Share</div></article>', f"{PROSE.strip()}\n\n45 %\n\nH\n\nis important here"),
+        ("<body><nav><ul><li>a</li></ul></nav><form><label>Search</label><input></form></body>", ""),
+        (f'<body><div class="cookie-notice"><p>{PROSE}</p></div></body>', ""),
+        (f'<body><p>Short article here.</p><div class="comments"><p>{PROSE}</p></div></body>', "Short article here."),
+        (f'<body><p>{PROSE}</p><div class="sidebar"><p>{PROSE[:100]}</p></div><form><p>Write to us</p></form></body>', PROSE.strip()),
+        (f'<body><div class="nav menu"><ul><li>{PROSE}</li></ul></div><p>Text.</p></body>', "Text."),
+    ],
+)
+def test_class_words_alone_delete_no_frame(page, want):
+    assert htmltext.extract(page) == want

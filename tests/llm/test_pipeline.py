@@ -42,3 +42,33 @@ def test_rows_with_null_or_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()), key=str)
     assert got == sorted([(0, copy), (1, unique), (None, rows[3][1]), (None, rows[4][1]), (2, ""), (2, "")], key=str)
+
+
+def test_stages_take_clashing_columns_and_empty_tables(spark):
+    """Columns with the names of the operators' own come through untouched, in every stage, and so does nothing at all."""
+    start = spark.read.parquet(f"{SMALL}/documents.parquet")
+    own = ["score", "lang_pred", "row_key", "key", "row", "k", "t", "dig", "n_hit", "component_id", "_row", "kept", "n_words"]
+    docs = start.withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in own})
+    again = docs.where("doc_id < 20").unionByName(docs.where("doc_id < 3"))
+    for rows in again, docs.limit(0):
+        seen = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            seen = stash(stage(spark, seen, SMALL), name)
+            assert seen.columns == docs.columns
+            assert all(r[c] == f"{c} of {r.doc_id}" for r in seen.collect() for c in own)
+        assert (seen.count() > 5) == (rows is again)
+        assert (corpus_pipeline.pack(spark, seen, SMALL).count() > 0) == (rows is again)
+
+
+def test_stages_take_very_long_texts(spark):
+    """A text of half a megabyte is judged whole."""
+    from test_operators import plain_judge
+
+    words = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en' AND length(text) > 800").orderBy("doc_id").limit(12).collect()]
+    long = "\n".join(f"{w} {i}." for i in range(60) for w in words)
+    assert len(long) > 500_000
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = rows.union(spark.createDataFrame([(10_000, long, "en", "s", len(long))], rows.schema))
+    kept = corpus_pipeline.rules(spark, corpus_pipeline.language(spark, docs, SMALL), SMALL).where("doc_id = 10000").collect()
+    stays, text = plain_judge(long)
+    assert [r.text for r in kept] == ([text] if stays else [])
