@@ -26,9 +26,8 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cols = docs.columns
     got = langid.annotate(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return got.select(*[F.col("lang_pred").alias(c) if c == "lang" else c for c in cols])
+    return got.select(*[(F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +43,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group. Where ids are null or repeat, rows are told apart by a number of their own."""
     cols = docs.columns
     one = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("different")).first()
-    own = one.n == one.different
-    if not own:  # the number orders rows by id, null ids last; written down, so that it stays the same
-        docs = stash(docs.withColumn("row_key", _row_key(docs)), "numbered")
-    key = "doc_id" if own else "row_key"
-    kept = jaccard.join(docs, key).where(F.col(key) == F.col("component_id")).select(key)
+    row = F.struct(*[F.col(c) for c in cols]).alias("row")  # so that no column of the rows clashes with the key
+    if one.n == one.different:
+        rows = docs.select(row, F.col("doc_id").alias("key"))
+    else:  # the number orders rows by id, null ids last; written down, so that it stays the same
+        rows = stash(docs.select(row, _row_key(docs).alias("key")), "numbered")
+    kept = jaccard.join(rows.select("key", F.col("row.text").alias("text")), "key").where(F.col("key") == F.col("component_id")).select("key")
     kept = stash(kept, "kept")
     few = kept.count() <= jaccard.BROADCAST_IDS
-    return docs.join(F.broadcast(kept) if few else kept, key, "left_semi").select(*cols)
+    return rows.join(F.broadcast(kept) if few else kept, "key", "left_semi").select(*[F.col("row")[c].alias(c) for c in cols])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
