@@ -74,24 +74,46 @@ def speed(factor: float):
     return run
 
 
-def low_shelf(gain_db: float, cutoff_hz: float = 500.0):
-    """A pandas function with the published low-shelf biquad (shelf slope 1), clipped to [-1, 1]."""
+def shelf(gain_db: float, cutoff_hz: float = 500.0) -> tuple[list[float], list[float]]:
+    """Coefficients (b0, b1, b2), (a1, a2) of the published low-shelf biquad, shelf slope 1."""
     a = 10 ** (gain_db / 40)
     w = 2 * np.pi * cutoff_hz / P.SAMPLE_RATE
     c, s = np.cos(w), 2 * np.sqrt(a) * np.sin(w) / 2 * np.sqrt(2)
-    b0, b1, b2 = a * (a + 1 - (a - 1) * c + s), 2 * a * (a - 1 - (a + 1) * c), a * (a + 1 - (a - 1) * c - s)
-    a0, a1, a2 = a + 1 + (a - 1) * c + s, -2 * (a - 1 + (a + 1) * c), a + 1 + (a - 1) * c - s
+    b = a * (a + 1 - (a - 1) * c + s), 2 * a * (a - 1 - (a + 1) * c), a * (a + 1 - (a - 1) * c - s)
+    a0 = a + 1 + (a - 1) * c + s
+    return [float(x / a0) for x in b], [float(-2 * (a - 1 + (a + 1) * c) / a0), float((a + 1 + (a - 1) * c - s) / a0)]
+
+
+def filtered(x: np.ndarray, b: list[float], a: list[float]) -> np.ndarray:
+    """A biquad over samples, as a scan over blocks: all blocks are filtered at once as if each began in silence, the two
+    values that a block hands to the next go from block to block, and what they add is a fixed response in each."""
+    n = len(x)
+    size = max(2, int(np.sqrt(n)))
+    u = b[0] * x
+    u[1:] += b[1] * x[:-1]
+    u[2:] += b[2] * x[:-2]
+    y = np.concatenate([u, np.zeros(-n % size)]).reshape(-1, size)
+    one, two = np.zeros(size + 2), np.zeros(size + 2)  # of a last value of 1, of one before it; behind two values of the past
+    one[1], two[0] = 1.0, 1.0
+    for h in one, two:
+        for t in range(2, size + 2):
+            h[t] = -a[0] * h[t - 1] - a[1] * h[t - 2]
+    one, two = one[2:], two[2:]
+    for t in range(1, size):
+        y[:, t] -= a[0] * y[:, t - 1] + (a[1] * y[:, t - 2] if t > 1 else 0)
+    last, before = np.zeros(len(y)), np.zeros(len(y))
+    for i in range(1, len(y)):
+        p, q = last[i - 1], before[i - 1]
+        last[i], before[i] = y[i - 1, -1] + one[-1] * p + two[-1] * q, y[i - 1, -2] + one[-2] * p + two[-2] * q
+    return (y + last[:, None] * one + before[:, None] * two).ravel()[:n]
+
 
-    def one(v):
-        out, x1, x2, y1, y2 = [], 0.0, 0.0, 0.0, 0.0
-        for x in v:
-            y = (b0 * x + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2) / a0
-            x1, x2, y1, y2 = x, x1, y, y1
-            out.append(min(1.0, max(-1.0, y)))
-        return out
+def low_shelf(gain_db: float, cutoff_hz: float = 500.0):
+    """A pandas function with the low shelf, clipped to [-1, 1]."""
+    b, a = shelf(gain_db, cutoff_hz)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else one(v))
+        return x.map(lambda v: None if v is None else np.clip(filtered(np.asarray(v, float), b, a), -1.0, 1.0).tolist() if len(v) else [])
 
     return run

@@ -173,10 +173,6 @@ def entity_text(name: Column, line: Column, aliases: Column) -> Column:
     return F.array_join(F.filter(F.concat(F.array(name, line), aliases), lambda s: s.isNotNull() & (s != "")), ". ")
 
 
-def display_date(d: Column) -> Column:
-    return F.date_format(d, "d MMM yyyy")
-
-
 def shown_date(text: Column) -> Column:
     """A text yyyy-mm-dd as a shown date; any other as it is, null as empty."""
     known = text.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])-[0-9]{2}$")

@@ -89,20 +89,21 @@ def score(fires: DataFrame, intervals: DataFrame, hours: DataFrame, by: tuple[st
     """One row for each `by`: fires inside no interval (false), intervals without a fire (missed), rates.
 
     fires (stream_id, hop, by...), intervals half-open (stream_id, start_hop,
-    end_hop), hours (by..., hours). Joins are equal on the stream, so intervals
-    of other streams are never compared.
+    end_hop), hours (by..., hours), a small table with one row for each `by`.
+    Starts and fires of a stream are swept in order of hops: a fire lies in an
+    interval if the farthest end of those that began reaches behind it, and an
+    interval is found if the next fire from its start on comes before its end.
     """
-    inside = (F.col("hop") >= F.col("start_hop")) & (F.col("hop") < F.col("end_hop"))
-    f, v = fires.alias("f"), intervals.alias("v")
-    same = (F.col("f.stream_id") == F.col("v.stream_id")) & inside
-    false = f.join(v, same, "left_anti").groupBy(*by).agg(F.count("*").alias("n_false"))
-    n_fires = fires.groupBy(*by).agg(F.count("*").alias("n_fires"))
-    found = f.join(v, same).select(*[F.col(f"f.{c}") for c in by], F.col("v.stream_id"), "start_hop", "end_hop").distinct().groupBy(*by).agg(F.count("*").alias("n_found"))
-    total = intervals.agg(F.count("*").alias("n_keywords"))
-    out = hours.crossJoin(total)
-    for x in (n_fires, false, found):
-        out = out.join(x, list(by), "left") if by else out.crossJoin(x)
-    out = out.fillna(0, ["n_fires", "n_false", "n_found"])
+    begins = intervals.select("stream_id", F.col("start_hop").alias("hop"), F.lit(0).alias("kind"), F.col("end_hop").alias("end"))
+    begins = begins.crossJoin(F.broadcast(hours.select(*by))) if by else begins
+    points = fires.select("stream_id", "hop", F.lit(1).alias("kind"), F.lit(None).cast(begins.schema["end"].dataType).alias("end"), *by)
+    each = Window.partitionBy(*by, "stream_id").rowsBetween(Window.unboundedPreceding, 0)
+    swept = begins.unionByName(points).withColumn("reach", F.max("end").over(each.orderBy("hop", "kind")))
+    swept = swept.withColumn("next", F.min(F.when(F.col("kind") == 1, F.col("hop"))).over(each.orderBy(F.desc("hop"), F.desc("kind"))))
+    fire = F.col("kind") == 1
+    n = swept.groupBy(*by).agg(F.count_if(fire).alias("n_fires"), F.count_if(fire & ~F.coalesce(F.col("reach") > F.col("hop"), F.lit(False))).alias("n_false"), F.count_if(~fire & (F.col("next") < F.col("end"))).alias("n_found"))
+    out = hours.crossJoin(intervals.agg(F.count("*").alias("n_keywords")))
+    out = (out.join(n, list(by), "left") if by else out.crossJoin(n)).fillna(0, ["n_fires", "n_false", "n_found"])
     missed = F.col("n_keywords") - F.col("n_found")
     frr = F.when(F.col("n_keywords") > 0, missed / F.col("n_keywords")).otherwise(0.0)
     return out.select(*by, (F.col("n_false") / F.greatest("hours", F.lit(1e-9))).alias("far_per_hour"), frr.alias("frr"), (1 - frr).alias("tpr"), "n_fires", "n_keywords", "n_false", missed.alias("n_missed"))

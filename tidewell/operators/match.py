@@ -1,8 +1,9 @@
 """Layered entity resolution: descriptor, fuzzy, vector and phonetic layers with guards.
 
-Queries are many, the knowledge base small: its rows (and what is derived from
-them) are broadcast after their number is checked, and the query side is never
-shuffled but for one aggregation by query. Distinct transcripts are matched once.
+Queries are many, the knowledge base is mostly small: its rows are broadcast up
+to SMALL_KB entities. Like words and names are found by keys that are equal on
+both sides (see `alike`); no query is compared with every name. Distinct
+transcripts are matched once.
 
 kb: id, name, aliases array<string>, descriptors array<string>, launch_date date (nullable), ord int.
 queries: query_id, text.
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions.signal import cosine
-from tidewell.functions.similarity import metaphone_udf, ratio_udf, token_set_ratio_udf
+from tidewell.functions.similarity import metaphone_udf, ratio_udf
+from tidewell.operators.alike import alike, scored, sets_near
 
 #: Thresholds and confidences of the layers.
 FUZZY, VECTOR, PROPER, CARRIER, PHONETIC, DESCRIPTOR = 65.0, 0.40, 75.0, 70.0, 60.0, 0.6
@@ -51,11 +53,7 @@ class Matcher:
         kb = self.base.select(F.explode("names").alias("n")).select(F.explode(T.proper_tokens(F.col("n"), self.extra)).alias("b")).distinct()
         words = own.select("a").distinct()
         exact = words.join(small(kb, self.is_small), F.col("a") == F.col("b"), "left_semi")
-        length_a, length_b = F.length("a"), F.length("b")
-        near = (length_a >= 5) & (length_b >= 5) & (200 * F.least(length_a, length_b) >= PROPER * (length_a + length_b) - 1e-6)
-        part = (length_a >= 5) & (length_b >= 5) & (F.contains("a", "b") | F.contains("b", "a"))
-        pairs = words.join(small(kb, self.is_small), near | part).withColumn("r", ratio_udf("a", "b"))
-        close = pairs.where((F.col("r") >= PROPER) | part).select("a")
+        close = alike(words, kb, PROPER, 5, 5).select("a")
         return own.join(exact.union(close).distinct(), "a").select("query_id").distinct()
 
     def by_descriptor(self, q: DataFrame) -> DataFrame:
@@ -73,24 +71,21 @@ class Matcher:
         best = Window.partitionBy("query_id").orderBy(F.col("launch_date").desc_nulls_last(), "ord")
         return hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("query_id", "id", "ord", F.lit(DESCRIPTOR).alias("confidence"))
 
-    def _carried(self, pairs: DataFrame) -> DataFrame:
-        """The (query text, candidate) pairs with a discriminative token pair."""
-        a = F.explode(T.carrier_tokens(F.col("q"), self.extra))
-        b = F.explode(T.carrier_tokens(F.col("cand"), self.extra))
-        t = pairs.select("q", "cand", a.alias("a")).select("q", "cand", "a", b.alias("b"))
-        part = (F.length("a") >= 4) & (F.length("b") >= 4) & (F.contains("a", "b") | F.contains("b", "a"))
-        close = t.select("a", "b").distinct().withColumn("r", ratio_udf("a", "b")).where((F.col("r") >= CARRIER) | part).select("a", "b")
-        return t.join(close, ["a", "b"]).select("q", "cand").distinct()
+    def _carried(self, texts: DataFrame, names: DataFrame) -> DataFrame:
+        """The pairs (a, b) of texts a and names b with a discriminative pair of tokens."""
+        own = texts.select(F.col("a").alias("p"), F.explode(F.array_distinct(T.carrier_tokens(F.col("a"), self.extra))).alias("a"))
+        theirs = names.select(F.col("b").alias("q"), F.explode(F.array_distinct(T.carrier_tokens(F.col("b"), self.extra))).alias("b"))
+        close = alike(own, theirs, CARRIER, 4)
+        return own.join(close, "a").join(theirs, "b").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
 
     def by_fuzzy(self, q: DataFrame) -> DataFrame:
         """(query_id, variant, id, ord, confidence): the best token-set ratio over every name, guarded."""
         kb = self.base.select("id", "ord", "nums", F.posexplode("names").alias("pos", "s"))
         kb = kb.withColumn("cand", F.array_join(T.number_tokens(F.col("s")), " ") if self.digit_aware else F.col("s")).select("id", "ord", "nums", "pos", "cand")
         v = q.select("query_id", "qnums", F.posexplode(F.array_distinct(F.array("t", "flat"))).alias("variant", "v")).select("query_id", "qnums", "variant", T.content_text(F.col("v"), self.digit_aware).alias("q")).where("q <> ''")
-        scored = v.select("q").distinct().crossJoin(small(kb.select("cand").distinct(), self.is_small)).withColumn("s", token_set_ratio_udf("q", "cand")).where(F.col("s") >= FUZZY)
-        if self.generic_guard:
-            scored = scored.join(self._carried(scored.select("q", "cand")), ["q", "cand"])
-        hits = v.join(scored, "q").join(small(kb, self.is_small), "cand").where(T.numbers_agree(F.col("qnums"), F.col("nums")))
+        texts, names = v.select(F.col("q").alias("a")).distinct(), kb.select(F.col("cand").alias("b")).distinct()
+        found = scored(self._carried(texts, names), FUZZY) if self.generic_guard else sets_near(texts, names, FUZZY)
+        hits = v.join(found.toDF("q", "cand", "s"), "q").join(small(kb, self.is_small), "cand").where(T.numbers_agree(F.col("qnums"), F.col("nums")))
         w = Window.partitionBy("query_id", "variant").orderBy(F.desc("s"), "ord", "pos")
         return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("query_id", "variant", "id", "ord", (F.col("s") / 100).alias("confidence"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewell.plans import datasets, detection, records, scoring, text_queries
+from tidewell.plans import datasets, detection, live, records, scoring, signals, text_queries
 
-_PARTS = (detection, datasets, text_queries, scoring, records)
+_PARTS = (detection, datasets, text_queries, scoring, records, live, signals)
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}

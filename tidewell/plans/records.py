@@ -124,7 +124,7 @@ def session_counters(spark, d):
 def session_counters_live(spark, d):
     """The same by a stream over four files, one micro-batch each."""
     e = stream(spark, d)
-    path = f"{counters.shared_folder(spark)}/tidewell-stream/{uuid.uuid4().hex}"
+    path = f"{files.shared_folder(spark)}/tidewell-stream/{uuid.uuid4().hex}"
     e.repartition(4, "hop").write.parquet(f"{path}/in")
     live = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     return counters.latest(counters.counted(live), path)

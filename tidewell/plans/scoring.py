@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import islands, scorer, splits
 from tidewell.plans.detection import _S, stream, table
-from tidewell.streaming import counters, detector, machines
+from tidewell.sources.files import shared_folder
+from tidewell.streaming import detector, machines
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -165,7 +166,7 @@ def parity_join(spark, d):
 
 def _replayed(spark, rows: DataFrame, files_: int = 5) -> DataFrame:
     """A table as a stream of several files, one a micro-batch; the hops of every stream go on from file to file."""
-    path = f"{counters.shared_folder(spark)}/tidewell-stream/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewell-stream/{uuid.uuid4().hex}"
     part = F.least(F.floor(F.col("hop") / 15), F.lit(files_ - 1)).cast("int")
     for i in range(files_):  # a handful; in order of time, which the file source follows
         rows.where(part == i).coalesce(1).write.mode("append").parquet(path)

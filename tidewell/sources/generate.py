@@ -59,21 +59,12 @@ def pink(white: Column) -> Column:
     return F.transform(F.arrays_zip(*[octave(white, w).alias(f"o{w}") for w in (1, 2, 4, 8, 16, 32)]), lambda z: (z["o1"] + z["o2"] + z["o4"] + z["o8"] + z["o16"] + z["o32"]) / 6)
 
 
-def background(clips: DataFrame, pool: DataFrame, key: str, seed: int) -> DataFrame:
-    """Each clip with one of the pool's recordings (ord 0..n-1, samples), picked by a hash of its key; none from an empty pool."""
+def background(clips: DataFrame, pool: DataFrame, key: str, name: str, seed: int) -> DataFrame:
+    """Each clip with one of the pool's recordings (name, samples): `picked` and `background`, by a hash of its key among the
+    names in order; none from an empty pool."""
+    names = pool.select(F.col(name).alias("picked"), (F.row_number().over(Window.orderBy(name)) - 1).alias("_ord"))  # a pool of recordings is a short list
     n = pool.agg(F.count("*").alias("_n"))
-    picked = clips.crossJoin(n).withColumn("_o", F.when(F.col("_n") > 0, F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col("_n"))))
-    return picked.join(pool.select(F.col("ord").alias("_ord"), F.col("samples").alias("background")), F.col("_o") == F.col("_ord"), "left").drop("_n", "_o", "_ord")
-
-
-def stacked(clips: DataFrame, by: str, order: list, gap: int) -> DataFrame:
-    """(…, start, end): sample spans of clips (column n_samples) laid end to end with gaps, in order, for each stream."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("n_samples") + gap).over(w), F.lit(0))
-    return clips.withColumn("start", start).withColumn("end", start + F.col("n_samples"))
-
-
-def hop_intervals(spans: DataFrame, hop: int = P.HOP_SAMPLES, offset: int = 0) -> DataFrame:
-    """Sample spans as half-open hop intervals of at least one hop."""
-    first = F.floor(F.col("start") / hop)
-    return spans.withColumn("start_hop", first + offset).withColumn("end_hop", F.greatest(first + 1, F.floor(F.col("end") / hop)) + offset)
+    code = F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    picked = clips.crossJoin(n).withColumn("_o", F.when(F.col("_n") > 0, code % F.col("_n")))
+    picked = picked.join(names, F.col("_o") == F.col("_ord"), "left").drop("_n", "_o", "_ord")
+    return picked.join(pool.select(F.col(name).alias("picked"), F.col("samples").alias("background")), "picked", "left")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tidewell import params as P
 from tidewell.functions.signal import upto, zeros
@@ -110,31 +116,89 @@ def chunks(df: DataFrame, key: str, size: int = P.HOP_SAMPLES) -> DataFrame:
     return rows.select(key, "chunk", F.size("c").alias("n_samples"), F.concat("c", zeros(F.lit(size) - F.size("c"))).alias("samples"))
 
 
-def write_wavs(df: DataFrame, folder: str) -> DataFrame:
-    """Writes (name, wav) rows as WAV files of a folder (a URI that all executors share); what is there already stays.
-    Returns (name, bytes) of the files. The tasks write; a task that runs twice writes the same bytes to the same names,
-    each file under a name of its own first, then renamed.
-    """
+class _WavWrite(DataSourceArrowWriter):
+    """Tasks write their files into the write's own folder, and list them in a file of their own; the driver gets the lists'
+    names alone. If the write fails, its folder goes."""
+
+    def __init__(self, folder: str, run: str):
+        self.folder, self.run = folder, run
+        at, base = self._open()
+        at.create_dir(base, recursive=True)
+
+    def _open(self):
+        at, base = fs.FileSystem.from_uri(self.folder)
+        return at, f"{base}/_written/{self.run}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        at, base = self._open()
+        path, rows = f"{base}/{uuid.uuid4().hex}.json", []
+        for b in iterator:
+            for name, raw in zip(b.column("name").to_pylist(), b.column("wav").to_pylist(), strict=True):
+                if not name or "/" in name or raw is None:
+                    raise ValueError(f"a file needs a plain name and bytes: {name!r}")
+                part = f"{uuid.uuid4().hex}.part"
+                with at.open_output_stream(f"{base}/{part}") as f:
+                    f.write(raw)
+                rows.append({"name": name, "bytes": len(raw), "part": part})
+        with at.open_output_stream(path) as f:
+            f.write("".join(json.dumps(x) + "\n" for x in rows).encode())
+        return Written(path)
+
+    def abort(self, messages: list) -> None:
+        at, base = self._open()
+        if at.get_file_info(base).type == fs.FileType.Directory:
+            at.delete_dir(base)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """The list of the files that a task has written."""
+
+    path: str
+
+
+class WavFiles(DataSource):
+    """Sink of rows (name, wav): one file a row, in the folder (a URI that all executors share) of the write `run`."""
 
-    def run(batches):
-        import uuid
+    @classmethod
+    def name(cls) -> str:
+        return "wavs"
 
-        from pyarrow import fs
+    def schema(self) -> str:
+        return "name string, wav binary"
 
+    def writer(self, schema, overwrite: bool) -> _WavWrite:
+        if overwrite:
+            raise ValueError("files are added only")
+        return _WavWrite(self.options["path"].rstrip("/"), self.options["run"])
+
+
+def write_wavs(df: DataFrame, folder: str) -> DataFrame:
+    """Writes (name, wav) rows as WAV files of a folder (a URI that all executors share); what is there already stays, but
+    for files of the same names. Returns (name, bytes) of the files, read from the tasks' lists.
+
+    A write that fails leaves no file. Once all are whole, tasks give them their names; one that runs twice finds those
+    that have them already."""
+    spark, run, folder = df.sparkSession, uuid.uuid4().hex, folder.rstrip("/")
+    spark.dataSource.register(WavFiles)
+    df.select("name", F.col("wav").cast("binary").alias("wav")).write.format("wavs").option("run", run).mode("append").save(folder)
+    try:
+        listed = spark.read.schema("name string, bytes long, part string").json(f"{folder}/_written/{run}/*.json")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "name string, bytes long")
+
+    def named(batches):
         at, base = fs.FileSystem.from_uri(folder)
-        at.create_dir(base, recursive=True)
         for b in batches:
-            names, sizes = b.column(0).to_pylist(), []
-            for name, raw in zip(names, b.column(1).to_pylist(), strict=True):
-                part = f"{base}/.{name}-{uuid.uuid4().hex}"
-                with at.open_output_stream(part) as f:
-                    f.write(raw)
-                at.move(part, f"{base}/{name}")
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+            for name, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if at.get_file_info(f"{base}/_written/{run}/{part}").type == fs.FileType.File:
+                    at.move(f"{base}/_written/{run}/{part}", f"{base}/{name}")
+            yield b.select(["name"])
 
-    out = df.select("name", F.col("wav").cast("binary")).mapInArrow(run, "name string, bytes long")
-    return df.sparkSession.createDataFrame(out.collect(), out.schema)  # names and sizes alone
+    listed.select("name", "part").mapInArrow(named, "name string").write.format("noop").mode("overwrite").save()
+    return listed.select("name", "bytes")
 
 
 def append_csv(df: DataFrame, folder: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidewell.operators import detect
+from tidewell.sources.files import remove, shared_folder
 
 STATE = "recent array<double>, last long, hop long"
 
@@ -45,11 +46,11 @@ def windowed_levels(events: DataFrame, late: str = "10 minutes", size: str = "1
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end into a table of the warehouse or shared folder, and reads it."""
+    """Runs a bounded stream to its end into a table of the shared folder, and reads it."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}").rstrip("/")
-    path = f"{base}/tidewell-stream/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewell-stream/{uuid.uuid4().hex}"
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
+    remove(spark, f"{path}/state")
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 

@@ -52,6 +52,6 @@ def captured(levels: DataFrame, **how) -> DataFrame:
 
     def take(c: Capture, row):
         got = c.step(float(row.db))
-        return [(int(got[0]), int(got[1]), bool(got[2]))] if got else []
+        return [(int(got[0]), int(got[1]), None if got[2] is None else bool(got[2]))] if got else []
 
     return _stateful(levels, lambda: Capture(**how), take, "first_hop long, last_hop long, hit_max boolean")
