@@ -371,6 +371,7 @@ def _blocks(t: pa.Table) -> pa.Table:
         head = at[low[np.cumsum(w) - w]][block]
         own = at != head
         parts.append(pa.table(_counted(dig[at[own]], dig[head[own]], n[at[own]], n[head[own]], True), names=names))
+    tidy()
     return pa.concat_tables(parts)
 
 
@@ -404,6 +405,7 @@ def _searched(t: pa.Table) -> pa.Table:
         else:
             links = search(own, n[rows], label[rows], int(hub[0]) if len(hub) else None)
         out += [(int(dig[rows[x]]), int(dig[rows[y]])) for x, y in links]
+    tidy()  # what a large cell took goes back before the next one
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
