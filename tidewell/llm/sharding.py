@@ -8,7 +8,8 @@ p div S, so counts are at most one apart (law `rows`), and any row's place can
 be computed from its number alone, forth and back.
 
 Only (key, size, checksum) move, never the texts. Global numbers are counted in
-hash buckets of bounded size, offset by the buckets' counts.
+hash buckets of bounded size, offset by the buckets' counts; equal rows are
+counted by the part that they lie in, and numbered there.
 
 Nulls: a null text has size 1 and checksum 0; a null key is a value like any
 other. Repeated rows get numbers of their own. Empty tables give no rows.
@@ -69,21 +70,25 @@ class Permutation:
         return self._walk(x, self._back)
 
 
-def numbered(df: DataFrame, order: list[str], n: int, bucket: int = BUCKET) -> DataFrame:
-    """With `row`: a number from 0 that depends on the rows' content alone."""
+def numbered(df: DataFrame, order: list[str], part: str, n: int, bucket: int = BUCKET) -> DataFrame:
+    """With `row`: a number from 0 that depends on the rows' content alone; equal rows share a range of numbers. They are
+    counted by the part that they are in, so that no task gets all rows of a content."""
     buckets = max(1, -(-n // bucket))
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    base = df.groupBy("_b").agg(F.count("*").alias("_n")).select(F.col("_b").alias("_bb"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_base"))  # one row a bucket
-    at = df.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1)
-    return at.join(base, F.col("_b") == F.col("_bb")).withColumn("row", F.col("_r") + F.col("_base")).drop("_b", "_r", "_bb", "_base")
+    own = F.struct(*order, part).alias("_c")
+    runs = df.groupBy(own).agg(F.count("*").alias("_n")).withColumn("_b", F.pmod(F.xxhash64(*[F.col("_c")[c] for c in order]), F.lit(buckets)))
+    base = runs.groupBy("_b").agg(F.sum("_n").alias("_m")).select(F.col("_b").alias("_bb"), (F.sum("_m").over(Window.orderBy("_b")) - F.col("_m")).alias("_base"))  # one row a bucket
+    first = F.sum("_n").over(Window.partitionBy("_b").orderBy("_c")) - F.col("_n")
+    runs = runs.withColumn("_first", first).join(base, F.col("_b") == F.col("_bb")).select("_c", (F.col("_first") + F.col("_base")).alias("_first"))
+    at = df.withColumn("_c", own).withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_c")) - 1)
+    return at.join(runs, "_c").withColumn("row", F.col("_r") + F.col("_first")).drop("_c", "_r", "_first", part)
 
 
 def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Rows (key, size, text_crc32, row, shard, slot)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    slim = stash(docs.select(F.col(key), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32")), "sizes")
+    slim = stash(docs.select(F.col(key), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("_part")), "sizes")
     n = slim.count()
-    schema = StructType([*slim.schema.fields]).add("row", "long").add("shard", "integer").add("slot", "long")
+    schema = StructType([f for f in slim.schema.fields if f.name != "_part"]).add("row", "long").add("shard", "integer").add("slot", "long")
 
     def place(batches):
         p = Permutation(n, seed)
@@ -91,7 +96,7 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
             at = p.forth(b.column(3).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((at % shards).astype(np.int32)), pa.array(at // shards)], names=schema.names)
 
-    return numbered(slim, [key, "size", "text_crc32"], n).withColumn("row", F.col("row").cast("long")).mapInArrow(place, schema)
+    return numbered(slim, [key, "size", "text_crc32"], "_part", n).withColumn("row", F.col("row").cast("long")).mapInArrow(place, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
