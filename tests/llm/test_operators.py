@@ -772,3 +772,151 @@ PROSE = "The river rose in the night, and by morning the lower fields were under
 )
 def test_class_words_alone_delete_no_frame(page, want):
     assert htmltext.extract(page) == want
+
+
+# 8: templates
+
+
+def plain_pages(rows):
+    """The template rule with plain sets: rows (id, host, html); returns the texts, and those without any template."""
+    pages = [(k, host, htmltext.Page(page)) for k, host, page in rows]
+    seen, own = {}, {}
+    for k, host, p in pages:
+        inside = [i for i, b in enumerate(p.blocks) if b[1]]
+        flat, n = htmltext.keys([p.blocks[i][0] for i in inside])
+        own[k] = dict(zip(inside, np.split(flat, np.cumsum(n)[:-1]) if inside else [], strict=True))
+        for h in {t[0] for t in p.trees} | {int(x) for xs in own[k].values() for x in xs}:
+            seen.setdefault((host, h), set()).add(p.main)
+    often = {x for x, mains in seen.items() if x[0] and len(mains) >= htmltext.LEAST_PAGES}
+    said = {}
+    for k, host, p in pages:
+        hit = [t for t in p.trees if (host, t[0]) in often]
+        gone = {i for t in hit for i in range(t[2], t[3])}
+        variant = {i for i, xs in own[k].items() if sum((host, int(x)) in often for x in xs) >= htmltext.VARIANT}
+        mine = sum(len(p.blocks[i][0]) for i in p.take if i not in gone and i not in variant)
+        speaks = 0 < mine >= htmltext.OWN * sum(len(p.blocks[i][0]) for i in p.take)
+        for t in hit:
+            said.setdefault((host, t[0], t[1]), set()).add((speaks, p.main))
+    template = set()
+    for (host, h, inside), who in said.items():
+        n = sum(speaks for speaks, _ in who)
+        if not inside or (n >= htmltext.LEAST_PAGES and 2 * n >= len(who)):
+            template.add((host, h))
+    out, bare = {}, {}
+    for k, host, p in pages:
+        gone = {i for t in p.trees if (host, t[0]) in template for i in range(t[2], t[3])}
+        out[k], bare[k] = ("\n\n".join(p.blocks[i][0] for i in p.take if i not in cut) for cut in (gone, ()))
+    return out, bare
+
+
+def test_templates_equal_plain_rule(spark):
+    """Sites whose blocks have no marks: what recurs goes, also inside articles; near copies of one article keep their prose."""
+    import random
+
+    r = random.Random(88)
+    words = [f"{a}{b}" for a in "ba de fi go lu ma ne po ri su".split() for b in "lan mer nos tik vor".split()]
+    prose = lambda n: " ".join(r.choices(words, k=n)).capitalize() + "."
+    rows = []
+    for s in range(6):
+        box, hint, offer, base = prose(14), prose(9), prose(25), [prose(30) for _ in range(4)]
+        for i in range(r.randrange(4, 16)):
+            own = [prose(r.randrange(5, 40)) for _ in range(r.randrange(1, 4))]
+            if s == 1:  # near copies
+                own = [x.replace(" ", f" {r.choice(words)} ", 1) if j == i % 4 else x for j, x in enumerate(base)]
+            inner = [f"<p>{x}</p>" for x in own]
+            for extra, chance in ((hint, 0.8), (offer, 0.3)):
+                if r.random() < chance:
+                    inner.insert(r.randrange(len(inner) + 1), f"<div class=x{s}><p>{extra}</p></div>")
+            body = "".join(inner) if s == 2 else f"<article>{''.join(inner)}</article>"
+            html_ = f"<html><body><div class=top><p>{box}</p></div>{body}<div><p>{box}</p></div></body></html>"
+            rows += [(len(rows), f"http://s{s}.example/{i}", html_)] * (2 if r.random() < 0.2 else 1)
+    rows = [(k, url, h) for k, (_, url, h) in enumerate(rows)] + [(9000, None, rows[0][2]), (9001, "http://s9.example/", None)]
+    want, bare = plain_pages([(k, re.search("//([^/]*)", url)[1] if url else "", h) for k, url, h in rows])
+    got = {x.page_id: x.text for x in htmltext.texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == want
+    changed = [k for k in want if want[k] != bare[k]]
+    assert len(changed) > 20 and all(want[k] == bare[k] for k, url, _ in rows if url and "s1." in url)
+    assert any("article" in h for k, _, h in rows if k in changed)
+
+
+# 6: reputation
+
+
+def plain_reputation(pages, outcomes):
+    """Rates and lower bounds of hosts, by loops over levels: host, last two labels, last label."""
+    n, b = Counter(), Counter()
+    hosts = {h for _, h in pages}
+    for i, h in pages:
+        for j, bad in outcomes:
+            if i == j:
+                n[h] += 1
+                b[h] += bad
+    level = {"host": lambda h: h, "domain": lambda h: ".".join(h.split(".")[-2:]), "suffix": lambda h: h.split(".")[-1]}
+    total_n, total_b = sum(n.values()), sum(b.values())
+    p0 = (total_b + 1) / (total_n + 2)
+    sums, strength = {}, {}
+    for name, of in level.items():
+        ns, bs = Counter(), Counter()
+        for h in hosts:
+            ns[of(h)] += n[h]
+            bs[of(h)] += b[h]
+        sums[name] = ns, bs
+        used = [(ns[g], bs[g]) for g in ns if ns[g]]
+        p = total_b / total_n
+        spread = sum(y * y / x for x, y in used) - total_b * p
+        one, room = p * (1 - p), total_n - sum(x * x for x, _ in used) / total_n - (len(used) - 1)
+        rho = (spread / one - (len(used) - 1)) / room if one > 0 and room > 0 else 0.0
+        rho = max(min(rho, 1 / (1 + urls.LEAST)), 1 / (1 + urls.MOST))
+        strength[name] = (1 - rho) / rho
+    out = {}
+    for h in hosts:
+        (sn, sb), (dn, db) = ((sums[x][0][level[x](h)], sums[x][1][level[x](h)]) for x in ("suffix", "domain"))
+        ms = (sb + strength["suffix"] * p0) / (sn + strength["suffix"])
+        md = (db + strength["domain"] * ms) / (dn + strength["domain"])
+        alpha, beta = b[h] + strength["host"] * md, n[h] - b[h] + strength["host"] * (1 - md)
+        rate = alpha / (alpha + beta)
+        out[h] = n[h], b[h], rate, rate - urls.Z * (rate * (1 - rate) / (alpha + beta + 1)) ** 0.5
+    return out
+
+
+def test_reputation_equals_plain_levels(spark):
+    """Sites good and bad; repeated pages and outcomes count again; a new host below a bad domain inherits its rate and is blocked."""
+    import random
+
+    r = random.Random(61)
+    rate = {"good.org": 0.02, "mixed.org": 0.4, "bad.biz": 0.97, "worse.biz": 0.99, "fine.net": 0.0}
+    pages, outcomes = [], []
+    for i in range(900):
+        domain = r.choice(list(rate))
+        pages.append((i, f"h{r.randrange(4)}.{domain}"))
+        if r.random() < 0.8:
+            outcomes.append((i, r.random() < rate[domain]))
+    pages += [(9000, "new.bad.biz"), (9001, "new.good.org"), (9002, "alone.xyz"), *pages[:40]]
+    outcomes += outcomes[:25]
+    got = {x.host: x for x in urls.reputation(spark.createDataFrame(pages, "id long, host string"), spark.createDataFrame(outcomes, "id long, bad boolean")).collect()}
+    want = plain_reputation(pages, outcomes)
+    assert set(got) == set(want)
+    for h, (n, bad, mean, low) in want.items():
+        assert (got[h].n_labelled, got[h].n_bad) == (n, bad) and abs(got[h].rate - mean) < 1e-9 and abs(got[h].low - low) < 1e-9
+    assert got["new.bad.biz"].low > urls.LIMIT > got["new.good.org"].rate and got["h0.bad.biz"].low > urls.LIMIT
+    page = spark.createDataFrame([(i, f"http://{h}/x") for i, h in pages], "page_id long, url string")
+    verdicts = {x.host: x.verdict for x in urls.filtered(page, spark.createDataFrame(outcomes, "id long, bad boolean")).collect()}
+    assert {h for h, v in verdicts.items() if v == "block"} == {h for h, x in want.items() if x[3] > urls.LIMIT} and "new.bad.biz" in {h for h, v in verdicts.items() if v == "block"}
+
+
+# 9: equal rows
+
+
+def test_equal_rows_are_numbered_apart(spark, monkeypatch):
+    """Half of all rows are one row; null keys; the number's range of a content doesn't depend on the partitions."""
+    monkeypatch.setattr(sharding, "BUCKET", 50)
+    rows = [(1, "same")] * 300 + [(None, "no key")] * 40 + [(i, f"t{i % 50}") for i in range(250)] + [(None, None)] * 9
+    seen = []
+    for parts in 1, 7:
+        got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted(r.row for r in got) == list(range(len(rows)))
+        assert all((r.shard, r.slot) == (int(p) % 16, int(p) // 16) for r, p in zip(got, sharding.Permutation(len(rows)).forth(np.array([r.row for r in got])), strict=True))
+        seen.append(sorted((str(r.doc_id), r["size"], r.text_crc32, r.row) for r in got))
+    assert seen[0] == seen[1]
+    count = Counter(r.shard for r in got)
+    assert max(count.values()) - min(count.values()) <= 1 and len(count) == 16

@@ -35,7 +35,7 @@ from tidewell.llm.common import kept, table
 #: Words of a window; windows of one automaton (about 200 bytes each on an executor); a document is contaminated at this share of hit words.
 WINDOW, MAX_WINDOWS, SHARE = 13, 1_000_000, 20
 #: Bytes of text that are scanned with one of several automata before the next is built.
-BLOCK = 1 << 28
+BLOCK = 1 << 25
 #: A-Z to lower case; bytes outside 0-9, a-z and 0x80-0xFF to a space. Byte for byte, so offsets stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -1,15 +1,14 @@
-"""Operator 5: bulk-synchronous best-fit packing of token sequences.
+"""Operator 5: best-fit decreasing packing of token sequences, for whole runs of equal lengths at once.
 
 Pieces (documents, or parts of documents longer than a sequence) are sorted by
 length, gaps by size. There are at most as many lengths and gaps as a sequence
-has tokens, so the sorted lists are kept as runs: how many pieces have a
-length, and which ranges of sequences have a gap. Rounds go from the longest
-length down. In a round, the successor sweep gives the smallest gaps that fit
-to the run's pieces, rank by rank (the piece of rank r takes the r-th place, so
-no two pieces meet in one place); the gaps are updated and the next round
-starts. This is best-fit decreasing, for whole runs at once. Only the runs are
-planned on the driver (their number depends on the sequence length, not on the
-data); ranks and places are worked out where the pieces are.
+has tokens, so the sorted lists are kept as runs: how many pieces have a length,
+and which ranges of sequences have a gap. From the longest length down, the
+smallest gaps that fit take the run's pieces, rank by rank (the piece of rank r
+takes the r-th place, so no two pieces meet in one place), and the gaps are
+updated. The runs are planned one after the other on the driver, not by
+distributed sweeps and rounds: their number depends on the sequence length, not
+on the data. Ranks and places are worked out where the pieces are.
 
 Ranks are counted in hash buckets of bounded size and offset by the buckets'
 counts, so a length that a third of the pieces share is spread over tasks.
