@@ -204,3 +204,55 @@ def test_sweeps_have_no_range_join(spark):
         text = p._jdf.queryExecution().optimizedPlan().toString()
         assert ">= start_hop" not in text and "Join Inner, ((" not in text
     assert plans[0].first().n_false == 0
+
+
+# long streams, places
+
+
+@pytest.mark.parametrize(("piece", "hops"), [(16, 10), (16, 16), (64, 1), (1 << 16, 10)])
+def test_long_streams_fire_as_short_ones(spark, piece, hops):
+    from tidewell.operators import long
+
+    r = np.random.default_rng(piece + hops)
+    rows = [(s, h, float(v)) for s, n in ((1, 700), (2, 3), (3, 130), (None, 90)) for h, v in enumerate(r.random(n))]
+    rows += [(4, h, float(200 < h < 230 or h == 390)) for h in range(400)]  # pieces without candidates in between
+    df = spark.createDataFrame(rows, "stream_id long, hop int, prob double")
+    got = sorted((str(x.stream_id), x.hop) for x in long.detect(df, 0.4, 2, 4, hops, piece=piece).collect())
+    want = sorted((str(x.stream_id), x.hop) for x in detect.detect(df, 0.4, 2, 4, hops).collect())
+    assert got == want and len(got) > 30
+    assert long.detect(df.limit(0), 0.4, 2, 4, hops, piece=piece).count() == 0
+
+
+def test_exits_follow_every_entry():
+    from tidewell.operators import long
+
+    r = random.Random(1)
+    for _ in range(300):
+        at = np.array(sorted(r.sample(range(20), r.randrange(0, 15))), np.int64)
+        hops, want = r.randrange(1, 9), []
+        for blocked in range(hops + 1):
+            last = None
+            for a in at.tolist():
+                if a >= blocked and (last is None or a - last >= hops):
+                    last = a
+            want.append(max(0, last + hops - 20) if last is not None else 0)
+        assert long.exits(at, hops, 20) == want
+
+
+def test_places_and_percentiles(spark):
+    from tidewell.operators import ranks
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.choice([1.0, 2.5, 7.0, r.random(), None])) for _ in range(700)] + [("c", 3.0)] + [("d", None)] + [("e", 5.0)] * 300
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {x.g: x for x in ranks.percentiles(df, "v", ["g"], [0, 10, 50, 99, 100]).collect()}
+    for g in {x[0] for x in rows} - {"d"}:
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g].n == len(own)
+        for p in 0, 10, 50, 99, 100:
+            assert abs(got[g][f"p{p}"] - np.percentile(own, p)) < 1e-12
+    assert "d" not in got
+    (one,) = ranks.percentiles(df, "v", [], [50]).collect()
+    assert abs(one.p50 - np.percentile([v for _, v in rows if v is not None], 50)) < 1e-12
+    places = ranks.placed(spark.range(1000).repartition(5).withColumn("k", (F.col("id") * 7919) % 1000), ["k"]).collect()
+    assert sorted((x.k, x.place) for x in places) == [(i, i) for i in range(1000)]

@@ -30,10 +30,11 @@ def small(df: DataFrame, is_small: bool) -> DataFrame:
 
 
 class Matcher:
-    """The layers over one knowledge base. extra: further generic words, such as the organisation's own name."""
+    """The layers over one knowledge base. extra: further generic words, such as the organisation's own name. A layer whose means
+    are missing (vectors, sound codes) is left out; the others work on."""
 
-    def __init__(self, kb: DataFrame, extra=(), use_descriptors: bool = True, generic_guard: bool = True, digit_aware: bool = True, vectors: DataFrame | None = None):
-        self.kb, self.extra, self.use_descriptors, self.generic_guard, self.digit_aware, self.vectors = kb, list(extra), use_descriptors, generic_guard, digit_aware, vectors
+    def __init__(self, kb: DataFrame, extra=(), use_descriptors: bool = True, generic_guard: bool = True, digit_aware: bool = True, vectors: DataFrame | None = None, use_phonetic: bool = True):
+        self.kb, self.extra, self.use_descriptors, self.generic_guard, self.digit_aware, self.vectors, self.use_phonetic = kb, list(extra), use_descriptors, generic_guard, digit_aware, vectors, use_phonetic
         self.is_small = kb.count() <= SMALL_KB
         names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
         self.base = kb.withColumn("names", names).withColumn("nums", T.mission_numbers(F.array_join("names", " ")) if digit_aware else F.array().cast("array<string>"))
@@ -125,7 +126,8 @@ class Matcher:
             fuzzy = fuzzy.union(self.by_vector(rest).select("query_id", "id", "confidence", F.lit("semantic"), (F.col("variant") * 2 + 1)))
         w = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "o")
         chosen = fuzzy.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("query_id", "id", "confidence", "layer")
-        last = self.by_phonetic(rest.join(chosen, "query_id", "left_anti")).select("query_id", "id", "confidence", F.lit("phonetic").alias("layer"))
-        found = chosen.union(last) if out is None else out.union(chosen).union(last)
+        found = chosen if out is None else out.union(chosen)
+        if self.use_phonetic:
+            found = found.union(self.by_phonetic(rest.join(chosen, "query_id", "left_anti")).select("query_id", "id", "confidence", F.lit("phonetic").alias("layer")))
         keyed = queries.withColumn("_t", F.coalesce("text", F.lit("")))
         return keyed.join(found.withColumnRenamed("query_id", "_t"), "_t", "left").drop("_t")

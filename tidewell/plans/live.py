@@ -71,25 +71,30 @@ def _read(f: DataFrame) -> DataFrame:
 
 #: Hours (microseconds) after which an utterance that hasn't ended is an orphan, and after which shown content falls back.
 HOLD, SHOWN = 48 * 3_600_000_000, 10 * 3_600_000_000
+_BODY = "CASE WHEN event_type = 'view' THEN json_extract_string(props, '$.k') WHEN CAST(json_extract(props, '$.k') AS INT) % 5 = 0 THEN '' ELSE 'heard ' || (CAST(json_extract(props, '$.k') AS INT) % 3) END"
 #: The watermark at the end, in milliseconds.
 _MARK = "(SELECT max(epoch_us(ts)) // 1000 FROM events)"
 
 
 @query(f"""
-WITH e AS (SELECT user_id AS channel, epoch_us(ts) AS t, event_id AS id, CASE event_type WHEN 'signup' THEN 'wake' WHEN 'purchase' THEN 'end' WHEN 'error' THEN 'drop' ELSE 'segment' END AS what, json_extract_string(props, '$.k') AS body FROM events),
+WITH e AS (SELECT user_id AS channel, epoch_us(ts) AS t, event_id AS id, CASE event_type WHEN 'signup' THEN 'wake' WHEN 'purchase' THEN 'end' WHEN 'error' THEN 'drop' WHEN 'view' THEN 'segment' ELSE 'partial' END AS what, {_BODY} AS body FROM events),
 o AS (SELECT *, count(*) FILTER (what IN ('wake', 'drop')) OVER w AS g, count(*) FILTER (what = 'wake') OVER w AS session, max(t) OVER (PARTITION BY channel) AS last FROM e WINDOW w AS (PARTITION BY channel ORDER BY t, id ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT channel, g, session, t AS first_at, last FROM o WHERE what = 'wake'),
 x AS (SELECT b.*, (SELECT min(t) FROM o n WHERE n.channel = b.channel AND n.g = b.g + 1) AS next, (SELECT min({{'t': t, 'id': id}}) FROM o WHERE o.channel = b.channel AND o.g = b.g AND what = 'end' AND t <= first_at + {HOLD}) AS fin FROM b),
 y AS (SELECT x.*, CASE WHEN fin IS NOT NULL THEN 'transcript' WHEN (next IS NULL OR next > first_at + {HOLD}) AND (last > first_at + {HOLD} OR (first_at + {HOLD} + 1 + 999) // 1000 <= {_MARK}) THEN 'orphan' END AS what FROM x)
-SELECT y.channel, y.session, y.what, first_at, CASE WHEN y.what = 'orphan' THEN first_at + {HOLD} ELSE fin.t END AS end_at, count(o.id) AS n, coalesce(string_agg(o.body, ' ' ORDER BY o.t, o.id), '') AS transcript
+p AS (SELECT y.channel, y.session, first_at, o.t AS end_at, o.body, lag(o.body) OVER (PARTITION BY o.channel, o.g ORDER BY o.t, o.id) AS prev, (SELECT count(*) FROM o s WHERE s.channel = o.channel AND s.g = o.g AND s.what = 'segment' AND (s.t < o.t OR (s.t = o.t AND s.id < o.id))) AS n
+  FROM y JOIN o ON o.channel = y.channel AND o.g = y.g WHERE o.what = 'partial' AND o.body <> '' AND o.t <= first_at + {HOLD} AND (fin IS NULL OR o.t < fin.t OR (o.t = fin.t AND o.id < fin.id)))
+SELECT channel, session, 'partial' AS what, first_at, end_at, n, body AS transcript FROM p WHERE body IS DISTINCT FROM prev
+UNION ALL SELECT y.channel, y.session, y.what, first_at, CASE WHEN y.what = 'orphan' THEN first_at + {HOLD} ELSE fin.t END AS end_at, count(o.id) AS n, coalesce(string_agg(o.body, ' ' ORDER BY o.t, o.id), '') AS transcript
 FROM y LEFT JOIN o ON o.channel = y.channel AND o.g = y.g AND o.what = 'segment' AND CASE WHEN y.what = 'orphan' THEN o.t <= first_at + {HOLD} ELSE o.t < fin.t OR (o.t = fin.t AND o.id < fin.id) END
-WHERE y.what IS NOT NULL GROUP BY ALL""")
+WHERE y.what IS NOT NULL GROUP BY y.channel, y.session, y.what, first_at, fin""")
 def live_utterances(spark, d):
-    """Utterances of the frame stream by wake and end, their transcripts, and the orphans that a timer drops."""
-    e = F.col("event_type")
-    what = F.when(e == "signup", "wake").when(e == "purchase", "end").when(e == "error", "drop").otherwise("segment")
+    """Utterances of the frame stream by wake and end: partial texts that changed, transcripts, and the orphans that a timer drops."""
+    e, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    what = F.when(e == "signup", "wake").when(e == "purchase", "end").when(e == "error", "drop").when(e == "view", "segment").otherwise("partial")
+    body = F.when(e == "view", k.cast("string")).when(k % 5 == 0, "").otherwise(F.concat(F.lit("heard "), (k % 3).cast("string")))
     build = lambda f: live.run(_read(f), live.Utterances(HOLD), "session long, what string, first_at long, end_at long, n long, transcript string")
-    return live.replay(_marked(spark, d, what, F.get_json_object("props", "$.k")), PARTS, build)
+    return live.replay(_marked(spark, d, what, body), PARTS, build)
 
 
 @query(f"""

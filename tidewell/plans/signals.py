@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import mfcc as M
 from tidewell.functions import signal as S
 from tidewell.functions import text as T
-from tidewell.operators import islands, nearest
+from tidewell.operators import islands, long, nearest, ranks
 from tidewell.plans.detection import _S, stream, table
 from tidewell.sources import generate
 
@@ -152,3 +152,26 @@ def entity_lines(spark, d):
     k = F.col("s_suppkey")
     line = F.when(k % 3 == 1, "").when(k % 3 == 2, F.col("n_name"))
     return e.select("s_suppkey", T.entity_text(F.col("s_name"), line, F.array(F.concat(F.lit("no. "), k.cast("string")), F.when(k % 2 == 0, F.col("r_name")))).alias("line"))
+
+
+#: Pieces of the one long stream, in hops; its policy.
+PIECE, OVER, VOTES, WINDOW, BLOCKED = 512, 50.0, 3, 5, 10
+
+
+@query(f"""
+WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS hop, value AS prob FROM events),
+c AS (SELECT hop FROM (SELECT hop, sum(CAST(prob > {OVER} AS INT)) OVER w AS n, count(*) OVER w AS m FROM s WINDOW w AS (ORDER BY hop ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW)) WHERE m = {WINDOW} AND n >= {VOTES}),
+f AS (SELECT min(hop) AS hop FROM c UNION ALL SELECT (SELECT min(c.hop) FROM c WHERE c.hop >= f.hop + {BLOCKED}) FROM f WHERE f.hop IS NOT NULL)
+SELECT 0 AS stream_id, hop FROM f WHERE hop IS NOT NULL""")
+def long_stream_fires(spark, d):
+    """All events as one stream, numbered, voted and suppressed in pieces that go to many tasks."""
+    s = ranks.placed(table(spark, d, "events").select("ts", "event_id", F.col("value").alias("prob")), ["ts", "event_id"], "hop")
+    return long.detect(s.select(F.lit(0).alias("stream_id"), "hop", "prob"), OVER, VOTES, WINDOW, BLOCKED, piece=PIECE)
+
+
+@query("""
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, count(l_extendedprice) AS n FROM lineitem GROUP BY l_returnflag""")
+def price_percentiles(spark, d):
+    """Exact percentiles of a few large groups, selected by places: no group is held."""
+    p = ranks.percentiles(table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price")), "price", ["l_returnflag"], [10, 50, 90])
+    return p.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")], "n")

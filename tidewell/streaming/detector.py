@@ -12,23 +12,27 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tidewell.operators import detect
 from tidewell.sources.files import remove, shared_folder
 
-STATE = "recent array<double>, last long, hop long"
+STATE = "recent array<double>, last long, hop long, at long"
 
 
 def detector(theta: float, k: int, window: int, refractory: int):
-    """State update for applyInPandasWithState: keeps the last `window` scores, the last fire and the hop count."""
+    """State update for applyInPandasWithState: keeps the last `window` scores, the last fire, the hop count, and the time of
+    the last row. A row that is older than one taken before is left out: counted late, it would move all hops behind it."""
 
     def step(key, batches, state):
-        recent, last, hop = state.get if state.exists else ([], -1, -1)
+        recent, last, hop, at = state.get if state.exists else ([], -1, -1, None)
         recent, fires = list(recent), []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for p in rows["value"]:
+        us = rows["ts"].astype("datetime64[us]").astype("int64")
+        own = us >= at if at is not None else us.notna()
+        at = int(us.max()) if at is None else max(int(at), int(us.max()))
+        for p in rows.loc[own, "value"]:
             hop += 1
             recent = [*recent, float(p)][-window:]
             if len(recent) == window and sum(x > theta for x in recent) >= k and (last < 0 or hop - last >= refractory):
                 last = hop
                 fires.append(hop)
-        state.update((recent, int(last), int(hop)))
+        state.update((recent, int(last), int(hop), at))
         yield pd.DataFrame({"stream_id": [key[0]] * len(fires), "hop": fires})
 
     return step

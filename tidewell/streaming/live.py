@@ -92,9 +92,9 @@ class Ordered(StatefulProcessor):
 
 
 class Utterances(Ordered):
-    """From a wake to its end: the segments in between make the transcript. A new wake, and a drop of the connection, discard
-    an unfinished utterance; events without a wake are ignored; an utterance that hasn't ended `hold` after its wake is an
-    orphan, which is reported and dropped."""
+    """From a wake to its end: the segments in between make the transcript; a partial text is passed on if it isn't empty and
+    not the one before. A new wake, and a drop of the connection, discard an unfinished utterance; events without a wake are
+    ignored; an utterance that hasn't ended `hold` after its wake is an orphan, which is reported and dropped."""
 
     columns = ["session", "what", "first_at", "end_at", "n", "transcript"]
 
@@ -136,6 +136,10 @@ class Utterances(Ordered):
                 return self._row("transcript", at)
             elif row.event == "segment" and row.body:
                 self.segments.appendValue((row.body,))
+            elif row.event == "partial" and row.body and row.body != self.open.get()[1]:
+                first = self.open.get()[0]
+                self.open.update((first, row.body))
+                return [(self.sessions.get()[0], "partial", first, at, sum(1 for _ in self.segments.get()) if self.segments.exists() else 0, row.body)]
         return []
 
 
