@@ -780,8 +780,11 @@ def test_class_words_alone_delete_no_frame(page, want):
 def plain_pages(rows):
     """The template rule with plain sets: rows (id, host, html); returns the texts, and those without any template."""
     pages = [(k, host, htmltext.Page(page)) for k, host, page in rows]
-    seen, own = {}, {}
+    seen, own, hosts = {}, {}, {}
     for k, host, p in pages:
+        for t in p.trees if host else ():
+            if t[1]:
+                hosts.setdefault(t[0], set()).add(host)
         inside = [i for i, b in enumerate(p.blocks) if b[1]]
         flat, n = htmltext.keys([p.blocks[i][0] for i in inside])
         own[k] = dict(zip(inside, np.split(flat, np.cumsum(n)[:-1]) if inside else [], strict=True))
@@ -800,7 +803,7 @@ def plain_pages(rows):
     template = set()
     for (host, h, inside), who in said.items():
         n = sum(speaks for speaks, _ in who)
-        if not inside or (n >= htmltext.LEAST_PAGES and 2 * n >= len(who)):
+        if not inside or (n >= htmltext.LEAST_PAGES and 2 * n >= len(who) and len(hosts[h]) < htmltext.HOSTS):
             template.add((host, h))
     out, bare = {}, {}
     for k, host, p in pages:
@@ -816,7 +819,7 @@ def test_templates_equal_plain_rule(spark):
     r = random.Random(88)
     words = [f"{a}{b}" for a in "ba de fi go lu ma ne po ri su".split() for b in "lan mer nos tik vor".split()]
     prose = lambda n: " ".join(r.choices(words, k=n)).capitalize() + "."
-    rows = []
+    rows, common = [], prose(12)
     for s in range(6):
         box, hint, offer, base = prose(14), prose(9), prose(25), [prose(30) for _ in range(4)]
         for i in range(r.randrange(4, 16)):
@@ -824,9 +827,9 @@ def test_templates_equal_plain_rule(spark):
             if s == 1:  # near copies
                 own = [x.replace(" ", f" {r.choice(words)} ", 1) if j == i % 4 else x for j, x in enumerate(base)]
             inner = [f"<p>{x}</p>" for x in own]
-            for extra, chance in ((hint, 0.8), (offer, 0.3)):
+            for extra, chance in ((hint, 0.8), (offer, 0.3), (common, 0.7)):
                 if r.random() < chance:
-                    inner.insert(r.randrange(len(inner) + 1), f"<div class=x{s}><p>{extra}</p></div>")
+                    inner.insert(r.randrange(len(inner) + 1), f"<p>{extra}</p>" if extra == common else f"<div class=x{s}><p>{extra}</p></div>")
             body = "".join(inner) if s == 2 else f"<article>{''.join(inner)}</article>"
             html_ = f"<html><body><div class=top><p>{box}</p></div>{body}<div><p>{box}</p></div></body></html>"
             rows += [(len(rows), f"http://s{s}.example/{i}", html_)] * (2 if r.random() < 0.2 else 1)
@@ -837,6 +840,7 @@ def test_templates_equal_plain_rule(spark):
     changed = [k for k in want if want[k] != bare[k]]
     assert len(changed) > 20 and all(want[k] == bare[k] for k, url, _ in rows if url and "s1." in url)
     assert any("article" in h for k, _, h in rows if k in changed)
+    assert sum(common in x for x in want.values()) > 20 and all(common in want[k] for k, url, h in rows if url and h and common in h and "s2." not in url)
 
 
 # 6: reputation

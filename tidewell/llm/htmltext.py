@@ -10,7 +10,8 @@ adverts, forms, scripts, styles and reader comments. Class, id and role words
 count as whole tokens only ("side-effects" marks nothing), and alone they delete
 no layout: a form, or an element that a word of LAYOUT marks, which holds more
 than half of the page's text, and that mostly as prose, is the page's frame and
-stays. In articles, they delete no headings, table cells or inline elements.
+stays. In articles, they delete no headings or table cells, and no inline
+elements by words that prose has too (PROSE).
 
 Inside article and main, copies of one article with small changes must not make
 its prose a template. So a page speaks for a template there only if at least OWN
@@ -18,7 +19,8 @@ of its main text is its own: in no recurring subtree, and no variant of a block
 that recurs (of each block KEYS minima of its shingles' hashes are counted like
 subtrees; a variant has two recurring ones). At least LEAST_PAGES such pages,
 and half of all that carry the subtree, are needed. Where hardly a page has that
-much text of its own, the subtree stays.
+much text of its own, the subtree stays. So does one that stands in articles of
+HOSTS hosts or more: a passage that many sites share is no site's template.
 
 A hash holds its host. What recurs is broadcast as sorted numbers up to
 BROADCAST_ROWS of them; beyond that every page gets its own by a join on hashes,
@@ -47,6 +49,8 @@ from tidewell.llm.shingle import mix, windows, word_hashes
 
 #: A subtree is template if it is on pages of at least this many distinct main texts of a host; hashes that are broadcast.
 LEAST_PAGES, BROADCAST_ROWS = 5, 1_000_000
+#: What stands in articles of this many hosts is shared prose.
+HOSTS = 3
 #: Share of its own text with which a page speaks for a template inside articles; minima of a block's shingles, how many recur in a variant, words of those shingles, words from which a block has several.
 OWN, KEYS, VARIANT, SHORT, WHOLE = 0.2, 8, 2, 3, 8
 #: Characters of html whose trees are held at once; letters of prose that a page's frame has at least.
@@ -61,12 +65,15 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe input map menu nav noembed noframes noscript object option script search select style svg template textarea title".split())
 #: Tokens of class, id or role that mark what isn't main text: one of the words, with what commonly stands before and behind it.
 _WORDS = "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related replies respond share sharing sidebar side social sponsor sponsored subscribe toolbar widget widgets"
+_MARKED = frozenset(_WORDS.split())
 _BEFORE = "site page main global top bottom left right primary secondary post article entry blog wp js the google header footer user reader mobile"
 _BEHIND = "area bar box block body buttons container content wrap wrapper section list left right top bottom main inner outer link links item items form icons media unit slot banner menu overlay panel column col policy posts articles stories text title thread primary secondary footer header"
 MARKS = re.compile(rf"(?:^|\s)(?:(?:{_BEFORE.replace(' ', '|')})[_-]+)*(?:{_WORDS.replace(' ', '|')})(?:[_-]+(?:{_WORDS.replace(' ', '|')}|{_BEHIND.replace(' ', '|')}|[0-9]+))*(?=\s|$)", re.I)
 #: Words that also name the parts of a layout which hold the article ("right-sidebar"), unlike those of comments, notices and adverts.
 LAYOUT = re.compile(r"(?:^|[\s_-])(?:banner|complementary|masthead|menu|modal|nav|navbar|navigation|popup|related|responds?|share|sharing|side|sidebar|social|toolbar|widgets?)(?=[\s_-]|$)", re.I)
 OTHER = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|comments?|consent|cookies?|disqus|gdpr|newsletter|notices?|promo|promotion|replies|sponsor|sponsored|subscribe)(?=[\s_-]|$)", re.I)
+#: Words that mark inline elements of prose as well ("notice", "banner"), unlike those of buttons and adverts.
+PROSE = frozenset("banner modal notice notices promotion related side".split())
 #: Elements that marks don't delete in an article, and those whose text is no prose.
 PARTS = frozenset("caption dd dt figcaption h1 h2 h3 h4 h5 h6 tbody td tfoot th thead tr".split())
 LISTS = frozenset("dd dt label legend li option".split())
@@ -127,6 +134,11 @@ class _Path:
 _ARTICLE = ("article", "main")
 
 
+def _of_prose(marks: str) -> bool:
+    """Whether the marks of an inline element may as well be those of prose."""
+    return frozenset(re.split("[^a-z]+", marks.lower())) & _MARKED <= PROSE
+
+
 def _rescued(path: _Path) -> Node | None:
     """The outermost dropped element around, if no article is open: an article is never inside it."""
     if path.any(_ARTICLE):
@@ -170,7 +182,7 @@ def parse(text: str) -> Node:
         attrs = m[3] or ""
         marks = " ".join(x[2] or x[3] or x[4] or "" for x in _ATTR.finditer(attrs)) if "=" in attrs else ""
         block = tag in BLOCKS
-        if not block and tag not in DROPPED and tag not in RAW and (path.any(_ARTICLE) or not MARKS.search(marks)):
+        if not block and tag not in DROPPED and tag not in RAW and (not MARKS.search(marks) or path.any(_ARTICLE) and _of_prose(marks)):
             continue
         if tag in _ARTICLE and "comment" not in marks and (x := _rescued(path)) is not None:
             path.close(x.parent)
@@ -372,32 +384,45 @@ def _numbers(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _inside(p: Page) -> np.ndarray:
+    """Hashes of a page's subtrees inside articles, whatever its host."""
+    return np.array([t[0] for t in p.trees if t[1]], np.uint64)
+
+
 def _own(host: str, p: Page, k: np.ndarray) -> np.ndarray:
-    """All hashes of a page, at its host: of its subtrees, and its keys."""
-    return np.unique(_at(np.concatenate([np.array([t[0] for t in p.trees], np.uint64), k]), host))
+    """All hashes of a page: of its subtrees, and its keys, at its host; of the subtrees inside articles also without."""
+    return np.unique(np.concatenate([_at(np.concatenate([np.array([t[0] for t in p.trees], np.uint64), k]), host), _inside(p)]))
 
 
-def _hashed(batches, what):
-    """Rows (h, what(page)) of all hashes of all pages."""
+def _hashed(batches):
+    """Rows (h, x, g) of all hashes of all pages: at the host, the page's main text, and for subtrees inside articles without host."""
     for b in batches:
         for hosts, got, k, ns in _some(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            hs, tags, at = [], [], 0
-            for j, (host, p, n) in enumerate(zip(hosts, got, ns, strict=True)):
-                hs.append(_own(host, p, k[at : at + n.sum()]))
-                tags.append(np.full(len(hs[-1]), what(p, b, j), np.uint64))
+            hs, tags, raws, at = [], [], [], 0
+            for host, p, n in zip(hosts, got, ns, strict=True):
+                trees = np.array([t[0] for t in p.trees], np.uint64)
+                h, first = np.unique(_at(np.concatenate([trees, k[at : at + n.sum()]]), host), return_index=True)
+                raw = np.concatenate([np.where([t[1] for t in p.trees], trees, np.uint64(0)).astype(np.uint64), np.zeros(n.sum(), np.uint64)]) if len(trees) else np.zeros(n.sum(), np.uint64)
+                hs.append(h)
+                raws.append(raw[first])
+                tags.append(np.full(len(h), p.main, np.uint64))
                 at += n.sum()
             if hs:
-                yield pa.RecordBatch.from_arrays([_numbers(np.concatenate(hs)), _numbers(np.concatenate(tags))], names=["h", "x"])
+                yield pa.RecordBatch.from_arrays([_numbers(np.concatenate(x)) for x in (hs, tags, raws)], names=["h", "x", "g"])
 
 
 def _spoken(hosts: list, got: list[Page], k: np.ndarray, ns: list, known: np.ndarray):
-    """Of each page: its subtrees that recur (hash, whether inside), and whether the page speaks for them."""
+    """Of each page: its subtrees that recur (hash, whether inside, whether the page speaks for them, main text, hash without
+    host), and its host for each subtree inside articles that recurs on some host (hash without host, host)."""
     at = 0
     for host, p, n in zip(hosts, got, ns, strict=True):
         own = k[at : at + n.sum()]
         at += n.sum()
         if not p.trees:
             continue
+        raw = _inside(p)
+        for g in set(raw[_in(raw, known)].tolist()):
+            yield None, None, None, None, g, _hash(host)
         trees = _at([t[0] for t in p.trees], host)
         hit = _in(trees, known)
         if not hit.any():
@@ -407,8 +432,8 @@ def _spoken(hosts: list, got: list[Page], k: np.ndarray, ns: list, known: np.nda
         left = p.left([t[2:] for t, x in zip(p.trees, hit.tolist(), strict=True) if x])
         mine = sum(len(p.blocks[i][0]) for i in left if not variant.get(i))
         speaks = 0 < mine >= OWN * sum(len(p.blocks[i][0]) for i in p.take)
-        for h, inside in {(int(h), p.trees[i][1]) for i, h in enumerate(trees) if hit[i]}:
-            yield h, inside, speaks, p.main
+        for h, inside, g in {(int(h), p.trees[i][1], p.trees[i][0]) for i, h in enumerate(trees) if hit[i]}:
+            yield h, inside, speaks, p.main, g, None
 
 
 def _with(pages: DataFrame, found: DataFrame, run, schema: str) -> DataFrame:
@@ -439,9 +464,11 @@ def _with(pages: DataFrame, found: DataFrame, run, schema: str) -> DataFrame:
 
 
 def _recurring(pages: DataFrame, least: int) -> DataFrame:
-    """Rows (h): subtrees, and keys of blocks inside articles, on pages of many distinct main texts of a host."""
-    seen = pages.mapInArrow(lambda batches: _hashed(batches, lambda p, b, j: p.main), "h long, x long").distinct()
-    return seen.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("h")
+    """Rows (h): subtrees, and keys of blocks inside articles, on pages of many distinct main texts of a host; of subtrees
+    inside articles also their hashes without host."""
+    seen = pages.mapInArrow(_hashed, "h long, x long, g long").distinct()
+    often = seen.groupBy("h").agg(F.count("*").alias("m"), F.max("g").alias("g"), F.min("g").alias("g0")).where(F.col("m") >= least)
+    return often.select(F.explode(F.array("h", F.when(F.col("g") != 0, F.col("g")).otherwise(F.col("g0")))).alias("h")).where("h <> 0").distinct()
 
 
 def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
@@ -452,17 +479,21 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
             for b in batches:
                 own = known(b)
                 out = [x for part in _some(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in _spoken(*part, own)]
-                h, inside, speaks, main = zip(*out, strict=True) if out else ((),) * 4
-                yield pa.RecordBatch.from_arrays([_numbers(np.array(h, np.uint64)), pa.array(inside, pa.bool_()), pa.array(speaks, pa.bool_()), _numbers(np.array(main, np.uint64))], names=["h", "inside", "speaks", "main"])
+                h, inside, speaks, main, g, at = zip(*set(out), strict=True) if out else ((),) * 6
+                long = lambda x: pa.array([None if v is None else v - (v >> 63 << 64) for v in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([long(h), pa.array(inside, pa.bool_()), pa.array(speaks, pa.bool_()), *map(long, (main, g, at))], names=["h", "inside", "speaks", "main", "g", "at"])
 
         return rows
 
     pages = pages.where("host <> ''").select("host", "html")
     recurring = stash(_recurring(pages, least), "recurring")
-    seen = _with(pages, recurring, run, "h long, inside boolean, speaks boolean, main long").distinct()
-    n = seen.groupBy("h", "inside").agg(F.count("*").alias("m"), F.count_if("speaks").alias("n"))
-    out = stash(n.where(~F.col("inside") | (F.col("n") >= least) & (2 * F.col("n") >= F.col("m"))).select("h").distinct(), "templates")
-    unstash(recurring)
+    seen = stash(_with(pages, recurring, run, "h long, inside boolean, speaks boolean, main long, g long, at long").distinct(), "spoken")
+    shared = seen.where("at IS NOT NULL").groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") >= HOSTS).select("g")
+    n = seen.where("h IS NOT NULL").groupBy("h", "inside").agg(F.count("*").alias("m"), F.count_if("speaks").alias("n"), F.first("g").alias("g"))
+    own = n.where("inside").where((F.col("n") >= least) & (2 * F.col("n") >= F.col("m"))).join(shared, "g", "left_anti")
+    out = stash(n.where("NOT inside").select("h").union(own.select("h")).distinct(), "templates")
+    for t in (recurring, seen):
+        unstash(t)
     return out
 
 
