@@ -81,7 +81,7 @@ WITH e AS (SELECT user_id AS channel, epoch_us(ts) AS t, event_id AS id, CASE ev
 o AS (SELECT *, count(*) FILTER (what IN ('wake', 'drop')) OVER w AS g, count(*) FILTER (what = 'wake') OVER w AS session, max(t) OVER (PARTITION BY channel) AS last FROM e WINDOW w AS (PARTITION BY channel ORDER BY t, id ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT channel, g, session, t AS first_at, last FROM o WHERE what = 'wake'),
 x AS (SELECT b.*, (SELECT min(t) FROM o n WHERE n.channel = b.channel AND n.g = b.g + 1) AS next, (SELECT min({{'t': t, 'id': id}}) FROM o WHERE o.channel = b.channel AND o.g = b.g AND what = 'end' AND t <= first_at + {HOLD}) AS fin FROM b),
-y AS (SELECT x.*, CASE WHEN fin IS NOT NULL THEN 'transcript' WHEN (next IS NULL OR next > first_at + {HOLD}) AND (last > first_at + {HOLD} OR (first_at + {HOLD} + 1 + 999) // 1000 <= {_MARK}) THEN 'orphan' END AS what FROM x)
+y AS (SELECT x.*, CASE WHEN fin IS NOT NULL THEN 'transcript' WHEN (next IS NULL OR next > first_at + {HOLD}) AND (last > first_at + {HOLD} OR (first_at + {HOLD} + 1 + 999) // 1000 <= {_MARK}) THEN 'orphan' END AS what FROM x),
 p AS (SELECT y.channel, y.session, first_at, o.t AS end_at, o.body, lag(o.body) OVER (PARTITION BY o.channel, o.g ORDER BY o.t, o.id) AS prev, (SELECT count(*) FROM o s WHERE s.channel = o.channel AND s.g = o.g AND s.what = 'segment' AND (s.t < o.t OR (s.t = o.t AND s.id < o.id))) AS n
   FROM y JOIN o ON o.channel = y.channel AND o.g = y.g WHERE o.what = 'partial' AND o.body <> '' AND o.t <= first_at + {HOLD} AND (fin IS NULL OR o.t < fin.t OR (o.t = fin.t AND o.id < fin.id)))
 SELECT channel, session, 'partial' AS what, first_at, end_at, n, body AS transcript FROM p WHERE body IS DISTINCT FROM prev
