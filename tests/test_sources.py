@@ -175,3 +175,24 @@ def test_scorer_with_nulls(spark):
         assert np.allclose(got[i].probs, got[i].probs_int8) and abs(sum(got[i].probs) - 1) < 1e-12
     assert got[3].q == [0, 3]
     assert scorer.scored(df.limit(0), lambda x: x).count() == 0
+
+
+def test_detector_leaves_out_late_rows():
+    """A row older than one taken before moves no hop; ties at the last time are taken."""
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, values):
+            self.exists, self.get = True, values
+
+    step, state = detector.detector(0.5, 1, 1, 1), State()
+
+    def hops(*rows):
+        df = pd.DataFrame({"ts": pd.to_datetime([f"2024-01-01 00:00:{s:02d}.000001" for s, _, _ in rows]), "event_id": [i for _, i, _ in rows], "value": [v for _, _, v in rows]})
+        return [h for out in step((7,), [df], state) for h in out["hop"]]
+
+    assert hops((10, 1, 0.9), (12, 2, 0.1)) == [0]
+    assert hops((11, 3, 0.9), (12, 4, 0.9), (13, 5, 0.9)) == [2, 3]
+    assert hops((1, 6, 0.9)) == [] and hops((14, 7, 0.9)) == [4]
