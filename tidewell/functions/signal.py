@@ -97,6 +97,11 @@ def dbfs_at_least(x: Column, floor: float = 1e-10) -> Column:
     return 20 * F.log10(F.greatest(rms(x), F.lit(floor)))
 
 
+def decibels(level: Column) -> Column:
+    """20 log10 as arithmetic has it: -inf for 0 and NaN below, where Spark's log10 gives null and a stream loses the hop."""
+    return F.when(level > 0, 20 * F.log10(level)).when(level == 0, F.lit(float("-inf"))).when(level < 0, F.lit(float("nan")))
+
+
 def peak(x: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(x, lambda v: F.abs(v))), F.lit(0.0))
 

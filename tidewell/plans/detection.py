@@ -179,7 +179,7 @@ p AS (SELECT stream_id, isle, min(hop) AS start_hop, max(hop) AS end_hop FROM i
 w AS (SELECT p.*, round(sum(pow(10.0, db / 10)), 6) AS power FROM p JOIN l ON l.stream_id = p.stream_id AND l.hop BETWEEN start_hop AND end_hop GROUP BY ALL)
 SELECT stream_id, start_hop, end_hop, power FROM w QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY power DESC, isle) = 1""")
 def dominant_run(spark, d):
-    return islands.dominant(stream(spark, d).select("stream_id", "hop", (20 * F.log10("prob")).alias("db")), gap=3)
+    return islands.dominant(stream(spark, d).select("stream_id", "hop", S.decibels(F.col("prob")).alias("db")), gap=3)
 
 
 @query(f"WITH {_S}, l AS (SELECT *, sum(CAST(prob >= 20 AS INT)) OVER (PARTITION BY stream_id ORDER BY hop) AS g FROM s) SELECT stream_id, hop, CAST(sum(CAST(prob < 20 AS INT)) OVER (PARTITION BY stream_id, g ORDER BY hop) AS BIGINT) AS silent_run FROM l")
@@ -272,7 +272,7 @@ def utterance_capture(spark, d):
     """Onset above a limit, end after quiet hops below a lower one, with pre-roll, tail and caps."""
     from tidewell.streaming.capture import captures
 
-    return captures(stream(spark, d).withColumn("db", 20 * F.log10("prob")))
+    return captures(stream(spark, d).withColumn("db", S.decibels(F.col("prob"))))
 
 
 @query(f"WITH RECURSIVE {_S}, {_votes(THETA, K, -4, 0, W)}, {_fires('cand', R)} SELECT stream_id, count(*) AS n_stream, count(*) AS n_batch, true AS same FROM fires GROUP BY stream_id")

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions import signal as S
 from tidewell.plans.detection import _S, stream, table
 from tidewell.sources import files, frames
 from tidewell.streaming import live, machines
@@ -142,7 +143,7 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 def _db(spark, d) -> DataFrame:
-    return stream(spark, d).select("stream_id", "hop", (20 * F.log10("prob")).alias("db"))
+    return stream(spark, d).select("stream_id", "hop", S.decibels(F.col("prob")).alias("db"))
 
 
 _HOW = dict(onset=ONSET, drop=DROP, quiet=QUIET, pre=PRE, tail=TAIL, most=LONG, wait=WAIT)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import signal as S
 from tidewell.operators import islands, scorer, splits
 from tidewell.plans.detection import _S, stream, table
 from tidewell.sources.files import shared_folder
@@ -187,7 +188,7 @@ def utterance_fsm_live(spark, d):
 
 @query()
 def utterance_capture_live(spark, d):
-    rows = stream(spark, d).select("stream_id", "hop", (20 * F.log10("prob")).alias("db"))
+    rows = stream(spark, d).select("stream_id", "hop", S.decibels(F.col("prob")).alias("db"))
     return detector.run_to_table(machines.captured(_replayed(spark, rows)))
 
 
