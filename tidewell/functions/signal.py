@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -185,6 +186,17 @@ def step_decay(epoch: Column, first: float, factor: float, every: int) -> Column
     return F.lit(first) * F.pow(F.lit(factor), F.floor(epoch / every))
 
 
+def printed(x: Column, form: str) -> Column:
+    """An array's numbers as C prints them, rounded from their exact values, ties to even; Java's formatter rounds their
+    shortest decimals half up. Null elements stay null."""
+
+    def each(x: pa.Array) -> pa.Array:
+        return pa.array([None if row is None else [None if v is None else form % v for v in row] for row in x.to_pylist()], pa.list_(pa.string()))
+
+    each.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(each, "array<string>")(x.cast("array<double>"))
+
+
 def meter(level: Column) -> Column:
     """Display meter: 0..100."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), level * 420))

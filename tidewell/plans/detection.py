@@ -229,7 +229,7 @@ def gap_before(spark, d):
 @query(f"WITH {_S} SELECT stream_id, hop, array_to_string(list_transform(list(prob) OVER (PARTITION BY stream_id ORDER BY hop ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), lambda x: printf('%.3f', x)), ',') AS preroll FROM s WHERE true QUALIFY prob > 150")
 def preroll(spark, d):
     p = sessions.preroll(stream(spark, d)).where("prob > 150")
-    return p.select("stream_id", "hop", F.array_join(F.transform("preroll", lambda x: F.format_string("%.3f", x)), ",").alias("preroll"))
+    return p.select("stream_id", "hop", F.array_join(S.printed(F.col("preroll"), "%.3f"), ",").alias("preroll"))
 
 
 @query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 100")

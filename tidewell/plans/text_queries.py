@@ -252,7 +252,7 @@ def chunk_replay(spark, d):
 @query("SELECT vec_id, sha256(array_to_string(list_transform(CAST(embedding AS DOUBLE[]), lambda x: printf('%.8e', x)), ',')) AS digest FROM embeddings")
 def matrix_dump(spark, d):
     """Values as text of fixed format, and its digest."""
-    text = F.array_join(F.transform("embedding", lambda x: F.format_string("%.8e", x.cast("double"))), ",")
+    text = F.array_join(S.printed(F.col("embedding"), "%.8e"), ",")
     return table(spark, d, "embeddings").select("vec_id", F.sha2(text, 256).alias("digest"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tidewell import params as P
-from tidewell.functions.signal import upto, zeros
+from tidewell.functions.signal import printed, upto, zeros
 from tidewell.sources.files import listing
 
 
@@ -106,7 +106,7 @@ def read_matrix(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 def matrix_lines(df: DataFrame, key: str, m: str) -> DataFrame:
     """Lines of a matrix as text, eight decimals in scientific form."""
-    return df.select(key, F.posexplode(m).alias("row", "v")).select(key, "row", F.array_join(F.transform("v", lambda x: F.format_string("%.8e", x.cast("double"))), ",").alias("line"))
+    return df.select(key, F.posexplode(m).alias("row", "v")).select(key, "row", F.array_join(printed(F.col("v"), "%.8e"), ",").alias("line"))
 
 
 def chunks(df: DataFrame, key: str, size: int = P.HOP_SAMPLES) -> DataFrame:
