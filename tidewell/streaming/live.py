@@ -4,7 +4,8 @@ Rows of a channel are taken in order of (at, place) within a micro-batch; a row
 that is older than one taken before is left out, so a stream cut into other
 micro-batches gives the same result as long as its rows come in order of time. Timers
 run on event time, to the millisecond: what is due before a row is done before it,
-and what is due when no row comes is done once the watermark has passed it.
+and what is due when no row comes is done once the watermark has passed it. Channels
+share groups (`shards`), whose timeout is the first timer of any of them.
 
 Nulls: rows without channel or time are left out. A null event is none.
 """
@@ -18,10 +19,11 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidewell.sources import frames
 from tidewell.sources.files import remove, shared_folder
+from tidewell.streaming import shards
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,54 +43,56 @@ def stateful(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-class Ordered(StatefulProcessor):
-    """A processor whose rows are taken one after the other: `step` for a row, `due` for what is over at a time, both give output rows."""
+class Ordered:
+    """A processor whose rows are taken one after the other: `step` for a row, `due` for what is over at a time, both give
+    output rows. All that it knows of a channel is the dictionary `s`, kept as JSON between micro-batches: the state store is
+    asked once for a shard of channels and a micro-batch, not for every row."""
 
     columns: list[str] = []
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.at = handle.getValueState("at", "at long")
+    def begin(self) -> dict:
+        """What is known of a new channel."""
+        raise NotImplementedError
 
-    def step(self, at: int, row) -> list[tuple]:
+    def step(self, s: dict, at: int, place, event: str, body: str | None) -> list[tuple]:
         raise NotImplementedError
 
-    def due(self, at: int) -> list[tuple]:
+    def due(self, s: dict, at: int) -> list[tuple]:
         """What is over at this time, before the row of this time is taken."""
         return []
 
-    def done(self) -> list[tuple]:
+    def done(self, s: dict) -> list[tuple]:
         """After the rows of a micro-batch."""
         return []
 
-    def wake_at(self, at: int | None) -> None:
-        """One timer at the first millisecond that isn't before this time (microseconds)."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if at is not None:
-            self.handle.registerTimer(-(-at // 1000))
-
-    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in out], columns=["channel", *self.columns])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.at.get()[0] if self.at.exists() else None
-        every, out = pd.concat(list(rows)).sort_values(["at", "place"], kind="stable"), []
-        for row in every.itertuples():
-            if last is not None and row.at < last:
-                continue
-            last = int(row.at)
-            out += self.due(last) + self.step(last, row)
-        out += self.done()
-        if last is not None:
-            self.at.update((last,))
-        yield self._frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._frame(key, self.due(expiredTimerInfo.getExpiryTimeInMs() * 1000 + 1))
-
-    def close(self) -> None:
-        pass
+    def wake_at(self, s: dict) -> int | None:
+        """The time (microseconds) at which something is due though no row comes."""
+        return None
+
+    def take(self, shard, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        known, out, mark = shards.known(state), [], state.getCurrentWatermarkMs()
+        fresh = {} if state.hasTimedOut else shards.rows(shard, batches, "channel", ["at", "place", "event", "body"])
+        for channel, rows in fresh.items():
+            last, s = known[channel] if channel in known else (None, self.begin())
+            for at, place, event, body in sorted(rows, key=lambda x: (x[0], x[1] is None or x[1] != x[1], x[1])):
+                if last is not None and at < last:
+                    continue
+                last = at
+                out += [(channel, *x) for x in self.due(s, at) + self.step(s, at, place, event, body)]
+            out += [(channel, *x) for x in self.done(s)]
+            known[channel] = (last, s)
+        wake = None
+        for channel, (_, s) in known.items():
+            at = self.wake_at(s)
+            if at is not None and -(-at // 1000) <= mark:  # at the first millisecond that isn't before it
+                out += [(channel, *x) for x in self.due(s, mark * 1000)]
+                at = self.wake_at(s)
+            wake = at if wake is None or at is not None and at < wake else wake
+        shards.keep(state, known)
+        if wake is not None:  # a timeout is over once the watermark is behind it
+            state.setTimeoutTimestamp(max(-(-wake // 1000) - 1, mark))
+        if out:
+            yield pd.DataFrame(out, columns=["channel", *self.columns])
 
 
 class Utterances(Ordered):
@@ -101,45 +105,39 @@ class Utterances(Ordered):
     def __init__(self, hold: int):
         self.hold = hold
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.sessions = handle.getValueState("sessions", "n long")
-        self.open = handle.getValueState("open", "at long, partial string")
-        self.segments = handle.getListState("segments", "text string")
-
-    def _close(self) -> None:
-        self.open.clear()
-        self.segments.clear()
-        self.wake_at(None)
-
-    def _row(self, what: str, at: int) -> list[tuple]:
-        parts = [x[0] for x in self.segments.get()] if self.segments.exists() else []
-        out = [(self.sessions.get()[0], what, self.open.get()[0], at, len(parts), " ".join(parts))]
-        self._close()
+    def begin(self) -> dict:
+        return {"sessions": 0, "open": None, "partial": "", "segments": []}
+
+    def _close(self, s: dict) -> None:
+        s.update(open=None, partial="", segments=[])
+
+    def _row(self, s: dict, what: str, at: int) -> list[tuple]:
+        out = [(s["sessions"], what, s["open"], at, len(s["segments"]), " ".join(s["segments"]))]
+        self._close(s)
         return out
 
-    def due(self, at: int) -> list[tuple]:
-        if self.open.exists() and at > self.open.get()[0] + self.hold:
-            return self._row("orphan", self.open.get()[0] + self.hold)
+    def due(self, s: dict, at: int) -> list[tuple]:
+        if s["open"] is not None and at > s["open"] + self.hold:
+            return self._row(s, "orphan", s["open"] + self.hold)
         return []
 
-    def step(self, at: int, row) -> list[tuple]:
-        if row.event == "wake":
-            self._close()
-            self.sessions.update(((self.sessions.get()[0] if self.sessions.exists() else 0) + 1,))
-            self.open.update((at, ""))
-            self.wake_at(at + self.hold + 1)
-        elif self.open.exists():
-            if row.event == "drop":
-                self._close()
-            elif row.event == "end":
-                return self._row("transcript", at)
-            elif row.event == "segment" and row.body:
-                self.segments.appendValue((row.body,))
-            elif row.event == "partial" and row.body and row.body != self.open.get()[1]:
-                first = self.open.get()[0]
-                self.open.update((first, row.body))
-                return [(self.sessions.get()[0], "partial", first, at, sum(1 for _ in self.segments.get()) if self.segments.exists() else 0, row.body)]
+    def wake_at(self, s: dict) -> int | None:
+        return None if s["open"] is None else s["open"] + self.hold + 1
+
+    def step(self, s: dict, at: int, place, event: str, body: str | None) -> list[tuple]:
+        if event == "wake":
+            self._close(s)
+            s.update(sessions=s["sessions"] + 1, open=at)
+        elif s["open"] is not None:
+            if event == "drop":
+                self._close(s)
+            elif event == "end":
+                return self._row(s, "transcript", at)
+            elif event == "segment" and body:
+                s["segments"].append(body)
+            elif event == "partial" and body and body != s["partial"]:
+                s["partial"] = body
+                return [(s["sessions"], "partial", s["open"], at, len(s["segments"]), body)]
         return []
 
 
@@ -151,26 +149,23 @@ class Shown(Ordered):
     def __init__(self, holds: dict[str, int], idle: str = "idle"):
         self.holds, self.idle = holds, idle
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.over = handle.getValueState("over", "at long")
+    def begin(self) -> dict:
+        return {"over": None}
 
-    def due(self, at: int) -> list[tuple]:
-        if self.over.exists() and at >= self.over.get()[0]:
-            over = self.over.get()[0]
-            self.over.clear()
-            self.wake_at(None)
+    def due(self, s: dict, at: int) -> list[tuple]:
+        if s["over"] is not None and at >= s["over"]:
+            over, s["over"] = s["over"], None
             return [(over, self.idle)]
         return []
 
-    def step(self, at: int, row) -> list[tuple]:
-        if not row.event:
+    def wake_at(self, s: dict) -> int | None:
+        return s["over"]
+
+    def step(self, s: dict, at: int, place, event: str, body: str | None) -> list[tuple]:
+        if not event:
             return []
-        self.over.clear()
-        if row.event in self.holds:
-            self.over.update((at + self.holds[row.event],))
-        self.wake_at(at + self.holds[row.event] if row.event in self.holds else None)
-        return [(at, row.event)]
+        s["over"] = at + self.holds[event] if event in self.holds else None
+        return [(at, event)]
 
 
 class Buffer(Ordered):
@@ -181,29 +176,26 @@ class Buffer(Ordered):
     def __init__(self, most: int):
         self.most = most
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.rows, self.seen, self.fresh = handle.getListState("rows", "place long, body string"), handle.getValueState("seen", "n long"), []
+    def begin(self) -> dict:
+        return {"seen": 0, "rows": []}
 
-    def step(self, at: int, row) -> list[tuple]:
-        self.fresh.append((int(row.place), row.body))
+    def step(self, s: dict, at: int, place, event: str, body: str | None) -> list[tuple]:
+        s["seen"] += 1
+        s["rows"].append((int(place), body))
+        if len(s["rows"]) >= 2 * self.most + 1000:  # the buffer is cut now and then
+            del s["rows"][: -self.most]
         return []
 
-    def done(self) -> list[tuple]:
-        seen = (self.seen.get()[0] if self.seen.exists() else 0) + len(self.fresh)
-        old = list(self.rows.get()) if self.rows.exists() else []
-        kept = [tuple(x) for x in [*old, *self.fresh][-self.most :]]
-        self.fresh = []
-        self.rows.put(kept)
-        self.seen.update((seen,))
-        return [(seen, seen - len(kept), *x) for x in kept]
+    def done(self, s: dict) -> list[tuple]:
+        s["rows"] = s["rows"][-self.most :]
+        return [(s["seen"], s["seen"] - len(s["rows"]), *x) for x in s["rows"]]
 
 
 def run(rows: DataFrame, processor: Ordered, schema: str) -> DataFrame:
     """Streaming output rows of a processor over streaming rows (channel, at timestamp, place, event, body)."""
     own = rows.where("channel IS NOT NULL AND at IS NOT NULL").withWatermark("at", "0 seconds")
-    own = own.select("channel", F.unix_micros("at").alias("us"), "place", F.coalesce("event", F.lit("")).alias("event"), "body", "at").withColumnsRenamed({"at": "stamp", "us": "at"})
-    return own.groupBy("channel").transformWithStateInPandas(processor, f"channel long, {schema}", "append", "EventTime")
+    own = own.select("channel", shards.shard(F.col("channel")), F.unix_micros("at").alias("us"), "place", F.coalesce("event", F.lit("")).alias("event"), "body", "at").withColumnsRenamed({"at": "stamp", "us": "at"})
+    return own.groupBy("shard").applyInPandasWithState(processor.take, f"channel long, {schema}", shards.STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(messages: DataFrame, parts: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -227,3 +219,22 @@ def replay(messages: DataFrame, parts: int, build: Callable[[DataFrame], DataFra
     for name in ("in", "state"):
         remove(spark, f"{base}/{name}")
     return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def replay_hops(rows: DataFrame, parts: int, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (stream_id, hop, ...) as a stream of `parts` micro-batches in order of hops, each written by all cores and read by
+    a stream that starts anew from its checkpoint; returns what build(streaming rows) gave, read back."""
+    spark, schema = rows.sparkSession, rows.schema
+    base = f"{shared_folder(spark)}/tidewell-stream/{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/rows")  # hops are numbered once, not for every micro-batch
+    rows = spark.read.schema(schema).parquet(f"{base}/rows")
+    last = rows.agg(F.max("hop")).first()[0] or 0
+    out = None
+    with stateful(spark):
+        for n in range(parts):
+            rows.where(F.floor(F.col("hop").cast("long") * parts / (last + 1)) == n).write.mode("append").parquet(f"{base}/in")
+            out = build(spark.readStream.schema(schema).parquet(f"{base}/in"))
+            out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").start(f"{base}/out").awaitTermination()
+    for name in ("rows", "in", "state"):
+        remove(spark, f"{base}/{name}")
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
