@@ -6,14 +6,12 @@ anew from its checkpoint.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import signal as S
 from tidewell.plans.detection import _S, stream, table
-from tidewell.sources import files, frames
+from tidewell.sources import frames
 from tidewell.streaming import live, machines
 from tidewell.streaming.capture import captures
 
@@ -157,16 +155,5 @@ def capture_attempts(spark, d):
 
 @query(_CAPTURES)
 def capture_attempts_live(spark, d):
-    """The same as a stream over four files, one micro-batch each."""
-    rows = _db(spark, d)
-    path = f"{files.shared_folder(spark)}/tidewell-stream/{uuid.uuid4().hex}"
-    last = rows.agg(F.max("hop")).first()[0] or 0
-    for n in range(4):  # in order of time: files of hops
-        rows.where(F.floor(F.col("hop") * 4 / (last + 1)) == n).coalesce(1).write.parquet(f"{path}/in/{n}")
-    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
-    out = machines.captured(events, **_HOW)
-    with live.stateful(spark):
-        out.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
-    for name in ("in", "state"):
-        files.remove(spark, f"{path}/{name}")
-    return _named(spark.read.schema(out.schema).parquet(f"{path}/out"))
+    """The same as a stream of four micro-batches."""
+    return _named(live.replay_hops(_db(spark, d), 4, lambda rows: machines.captured(rows, **_HOW)))

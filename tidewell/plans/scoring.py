@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +10,11 @@ from tidewell.functions import signal as S
 from tidewell.operators import islands, scorer, splits
 from tidewell.plans.detection import _S, stream, table
 from tidewell.sources.files import shared_folder
-from tidewell.streaming import detector, machines
+from tidewell.streaming import live, machines
 
 QUERIES: dict = {}
 SQL: dict = {}
+PARTS = 5
 
 
 def query(sql: str | None = None):
@@ -165,20 +164,11 @@ def parity_join(spark, d):
     return a.join(b, ["stream_id", "hop"], "left").groupBy("stream_id").agg(F.count("*").alias("n"), F.count("other").alias("n_both"), F.round(F.max(F.abs(F.col("prob") - F.col("other"))), 6).alias("worst"))
 
 
-def _replayed(spark, rows: DataFrame, files_: int = 5) -> DataFrame:
-    """A table as a stream of several files, one a micro-batch; the hops of every stream go on from file to file."""
-    path = f"{shared_folder(spark)}/tidewell-stream/{uuid.uuid4().hex}"
-    part = F.least(F.floor(F.col("hop") / 15), F.lit(files_ - 1)).cast("int")
-    for i in range(files_):  # a handful; in order of time, which the file source follows
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query()
 def utterance_fsm_live(spark, d):
     """The two-state machine as a stream of several micro-batches; wakes and ends put together afterwards."""
     rows = stream(spark, d).select("stream_id", "hop", "prob", (F.col("prob") / 500).alias("level"))
-    marks = detector.run_to_table(machines.utterance_marks(_replayed(spark, rows), theta=40.0, k=2, window=3, refractory=5, silence=0.05, quiet=3, most=20))
+    marks = live.replay_hops(rows, PARTS, lambda r: machines.utterance_marks(r, theta=40.0, k=2, window=3, refractory=5, silence=0.05, quiet=3, most=20))
     n = F.row_number().over(Window.partitionBy("stream_id", "what").orderBy("hop")).cast("long") - 1
     marks = marks.withColumn("utterance", n)
     wakes = marks.where("what = 'wake'").select("stream_id", "utterance", F.col("hop").alias("wake_hop"), "prob")
@@ -189,7 +179,7 @@ def utterance_fsm_live(spark, d):
 @query()
 def utterance_capture_live(spark, d):
     rows = stream(spark, d).select("stream_id", "hop", S.decibels(F.col("prob")).alias("db"))
-    return detector.run_to_table(machines.captured(_replayed(spark, rows)))
+    return live.replay_hops(rows, PARTS, machines.captured)
 
 
 #: The two-state machine by recursion, one hop at a time.
