@@ -196,12 +196,17 @@ v AS (SELECT ordinal, theta, gap, stream_id, hop, lag(hop) OVER (PARTITION BY or
 n AS (SELECT ordinal, theta, gap, count(*) FILTER (prev IS NULL OR hop - prev > gap) AS n FROM v GROUP BY ALL)
 SELECT CAST(ordinal AS INT) AS ordinal, CAST(theta AS INT) AS theta, CAST(gap AS INT) AS gap, n, abs(n - 1000) AS off FROM n ORDER BY off, ordinal LIMIT 1""")
 def param_grid_best(spark, d):
-    """First parameters in grid order whose island count is nearest to a target."""
-    grid = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(GRID)], "ordinal int, theta int, gap int")
-    v = stream(spark, d).select("stream_id", "hop", "prob").crossJoin(F.broadcast(grid)).where("prob > theta")
-    w = Window.partitionBy("ordinal", "stream_id").orderBy("hop")
-    v = v.withColumn("begins", F.coalesce(F.col("hop") - F.lag("hop").over(w) > F.col("gap"), F.lit(True)))
-    n = v.groupBy("ordinal", "theta", "gap").agg(F.count_if("begins").alias("n")).withColumn("off", F.abs(F.col("n") - 1000))
+    """First parameters in grid order whose island count is nearest to a target: every threshold's last hop before each row by
+    one pass over the streams, and all counts at once; the rows aren't repeated for the grid."""
+    grid = [(i, t, g) for i, (t, g) in enumerate(GRID)]
+    order = Window.partitionBy("stream_id").orderBy("ts", "event_id")
+    over = {t: F.col("prob") > t for _, t, _ in grid}
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = stream(spark, d).select("prob", "hop", *[F.max(F.when(x, F.col("hop"))).over(before).alias(f"prev{t}") for t, x in over.items()])
+    begins = lambda t, g: over[t] & (F.col(f"prev{t}").isNull() | (F.col("hop") - F.col(f"prev{t}") > g))
+    n = rows.agg(*[F.count_if(begins(t, g)).alias(f"n{i}") for i, t, g in grid])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("theta"), F.lit(g).alias("gap"), F.col(f"n{i}").alias("n")) for i, t, g in grid]))
+    n = n.select(each.alias("x")).select("x.*").where("n > 0").withColumn("off", F.abs(F.col("n") - 1000))
     return n.orderBy("off", "ordinal").limit(1)
 
 
